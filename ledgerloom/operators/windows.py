@@ -32,7 +32,7 @@ def keyed_positions(df: DataFrame, keys: list[str], order: list[str], name: str
     sizes = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
+    ranked = ranged.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
     joined = ranked.join(offsets, [*keys, "_part"])
     return joined.withColumn(name, (F.col("_rank") + F.col("_offset")).cast("long")).drop("_part", "_rank", "_offset")
 
@@ -63,7 +63,7 @@ def mark_duplicates(df: DataFrame, number: str, doc_class: str, total: str, posi
     return first_seen(keyed, ["_number", "_class", "_total"], position, file_id, "duplicate_of").drop("_number", "_class", "_total")
 
 
-def best_other(df: DataFrame, group: str, score: str, order: list[Column], name: str) -> DataFrame:
+def best_other(df: DataFrame, group: str, score: str, name: str) -> DataFrame:
     """For each row the best score among the other rows of its group: the top score, or the runner-up for the top row.
 
     Top and runner-up come from one aggregate (max, its count, and the max below it).

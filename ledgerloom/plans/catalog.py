@@ -1,6 +1,6 @@
 """All named queries."""
 
-from ledgerloom.plans import surface  # noqa: F401
+from ledgerloom.plans import linking, reconciling, surface  # noqa: F401
 from ledgerloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

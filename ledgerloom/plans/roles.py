@@ -64,7 +64,7 @@ POLICY_COLUMNS = {
 }
 
 ATTACHMENT_COLUMNS = {
-    "id": "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string))",
+    "id": "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), cast(cast(floor(l_extendedprice * 100) as bigint) as string))",
     "policy_id": "l_orderkey",
     "doc_type": (
         "case l_linenumber when 1 then 'main' when 2 then 'prb' when 3 then 'endorsement' when 4 then 'receipt' "
@@ -95,7 +95,7 @@ _STEM = (
 FILE_COLUMNS = {
     "path": (
         f"concat('/scan/', cast(l_orderkey as string), '/', cast(l_partkey as string), '/', cast(l_suppkey as string), '/', "
-        f"cast(l_linenumber as string))"
+        f"cast(l_linenumber as string), '/', cast(cast(floor(l_extendedprice * 100) as bigint) as string))"
     ),
     "name": f"concat({_STEM}, ' ', {_LABEL}, '.', {_SHIP_YY}, '.pdf')",
     "length": "cast(floor(l_extendedprice) as bigint)",
