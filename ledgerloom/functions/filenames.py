@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.dates import be_two_digits, start_year_be
 from ledgerloom.functions.text import (
@@ -44,29 +44,35 @@ def stem_of(name) -> Column:
     return F.regexp_replace(F.col(name) if isinstance(name, str) else name, r"(?<=.)\.[^.]*$", "")
 
 
-def parse_archive_name(name, suffix_length: int = 25) -> Column:
-    """struct(kind, key, number, suffix, year_be). Kinds in order of test: plate, address, name, unknown."""
-    name = F.col(name) if isinstance(name, str) else name
-    cleaned = F.trim(
-        F.regexp_replace(F.regexp_replace(stem_of(name), r"_\d{4}$", ""), r"(?U)\s*\(.*?\)\s*", " ")
+def with_archive_name(df: DataFrame, name: str = "name", suffix_length: int = 25) -> DataFrame:
+    """Adds kind, key, number, suffix and year_be. Kinds in order of test: plate, address, name, unknown.
+
+    Staged so that each pattern runs once per row.
+    """
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(stem_of(name), r"_\d{4}$", ""), r"(?U)\s*\(.*?\)\s*", " "))
+    year = F.coalesce(_found(F.col(name), YEAR_AFTER_LABEL, 1), _found(F.col(name), YEAR_AFTER_LABEL, 2)).try_cast("int") + 2500
+    staged = df.select("*", cleaned.alias("_cleaned"), year.alias("year_be"))
+    text = F.col("_cleaned")
+    staged = staged.select(
+        "*",
+        F.replace(F.coalesce(_found(text, PLATE_THEN_LABEL, 1), _found(text, OLD_PLATE_THEN_LABEL, 1)), F.lit(" "), F.lit("")).alias("_plate"),
+        _found(text, HOUSE_THEN_PLACE, 1).alias("_house"),
+        F.substring(_found(text, HOUSE_THEN_PLACE, 2), 1, suffix_length).alias("_place"),
+        F.trim(_found(text, NAME_THEN_LABEL, 1)).alias("_person"),
     )
-    year = F.coalesce(_found(name, YEAR_AFTER_LABEL, 1), _found(name, YEAR_AFTER_LABEL, 2)).try_cast("int") + 2500
-    plate = F.coalesce(_found(cleaned, PLATE_THEN_LABEL, 1), _found(cleaned, OLD_PLATE_THEN_LABEL, 1))
-    number = _found(cleaned, HOUSE_THEN_PLACE, 1)
-    suffix = F.substring(_found(cleaned, HOUSE_THEN_PLACE, 2), 1, suffix_length)
-    person = F.trim(_found(cleaned, NAME_THEN_LABEL, 1))
-    none = F.lit(None).cast("string")
-
-    def result(kind: str, key: Column, num: Column = none, suf: Column = none) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), key.alias("key"), num.alias("number"), suf.alias("suffix"), year.alias("year_be")
-        )
-
-    return (
-        F.when(plate.isNotNull(), result("plate", F.replace(plate, F.lit(" "), F.lit(""))))
-        .when(number.isNotNull(), result("address", F.trim(F.concat(number, F.lit(" "), suffix)), number, suffix))
-        .when(F.length(person) >= 3, result("name", person))
-        .otherwise(result("unknown", cleaned))
+    plate, house, place, person = (F.col(c) for c in ("_plate", "_house", "_place", "_person"))
+    is_address, is_name = plate.isNull() & house.isNotNull(), F.length(person) >= 3
+    return staged.select(
+        *df.columns,
+        F.when(plate.isNotNull(), "plate").when(house.isNotNull(), "address").when(is_name, "name").otherwise("unknown").alias("kind"),
+        F.when(plate.isNotNull(), plate)
+        .when(house.isNotNull(), F.trim(F.concat(house, F.lit(" "), place)))
+        .when(is_name, person)
+        .otherwise(text)
+        .alias("key"),
+        F.when(is_address, house).alias("number"),
+        F.when(is_address, place).alias("suffix"),
+        "year_be",
     )
 
 
@@ -100,21 +106,25 @@ def scan_year(stem: Column) -> Column:
     return F.coalesce(_found(stem, SCAN_YEAR, 1), _found(stem, SCAN_YEAR_ALONE, 1)).try_cast("int")
 
 
-def scan_facts(name) -> Column:
-    """struct(plate, year, compulsory, special, address_key, strict_key, prefix_key, first_token) of a scanned file."""
-    stem = stem_of(name)
-    plain = F.trim(F.regexp_replace(stem, SCAN_TAIL_ADDRESS, ""))
-    return F.struct(
+def with_scan_facts(df: DataFrame) -> DataFrame:
+    """Adds plate, year, compulsory, special, plain, address_key, strict_key, prefix_key and first_token of a scan."""
+    stem = F.col("_stem")
+
+    def key(text: Column) -> Column:
+        return F.nullif(address_compact(text), F.lit(""))
+
+    facts = df.select("*", stem_of("name").alias("_stem")).select(
+        *df.columns,
         _found(stem, SCAN_PLATE, 1).alias("plate"),
         scan_year(stem).alias("year"),
         stem.rlike(SCAN_COMPULSORY).alias("compulsory"),
         stem.rlike(SCAN_SPECIAL).alias("special"),
-        plain.alias("plain"),
-        F.nullif(address_compact(plain), F.lit("")).alias("address_key"),
-        F.nullif(address_compact(F.trim(F.regexp_replace(stem, SCAN_TAIL_STRICT, ""))), F.lit("")).alias("strict_key"),
-        F.nullif(address_compact(F.trim(F.regexp_replace(stem, SCAN_TAIL_PREFIX, ""))), F.lit("")).alias("prefix_key"),
+        F.trim(F.regexp_replace(stem, SCAN_TAIL_ADDRESS, "")).alias("plain"),
+        key(F.trim(F.regexp_replace(stem, SCAN_TAIL_STRICT, ""))).alias("strict_key"),
+        key(F.trim(F.regexp_replace(stem, SCAN_TAIL_PREFIX, ""))).alias("prefix_key"),
         F.substring(F.split_part(stem, F.lit(" "), F.lit(1)), 1, 40).alias("first_token"),
     )
+    return facts.withColumn("address_key", key(F.col("plain")))
 
 
 def display_name(plate, doc_type, coverage_start, policy_type, risk_address, insured_name) -> Column:

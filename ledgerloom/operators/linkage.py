@@ -7,11 +7,14 @@ the rows last. A key that a third of all rows share is one row while matching ha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.functions import dates as D, text as X
-from ledgerloom.functions.filenames import parse_archive_name, scan_facts
+from ledgerloom.functions.filenames import with_archive_name, with_scan_facts
 from ledgerloom.schemas import KEY_KIND_TYPES
+from ledgerloom.session import cut_lineage
 
 PLACEHOLDER_PLATES = ["other", "null", "fire", "pa", "ta", "asset", "misc", ""]
 
@@ -83,9 +86,9 @@ def number_tokens(text: Column) -> Column:
 
 
 # -- file to policy --------------------------------------------------------------------------------------------------
-def parsed_files(files: DataFrame, suffix_length: int = 25) -> DataFrame:
-    """Adds kind, key, number, suffix and year_be read from ``name``."""
-    return files.withColumn("_p", parse_archive_name("name", suffix_length)).select("*", "_p.*").drop("_p")
+def parsed_names(files: DataFrame, suffix_length: int = 25) -> DataFrame:
+    """Distinct file names with kind, key, number, suffix and year_be. Written out once: the linkage reads it often."""
+    return cut_lineage(with_archive_name(files.select("name").distinct(), "name", suffix_length))
 
 
 def _policy_stats(policies: DataFrame, texts: dict[str, Column]) -> DataFrame:
@@ -99,9 +102,8 @@ def _policy_stats(policies: DataFrame, texts: dict[str, Column]) -> DataFrame:
     )
     rows = policies.select("id", "pos", D.coverage_year("coverage_start").alias("year"), F.explode(sides).alias("s"))
     first = F.struct("pos", "id")
-    return (
+    stats = (
         rows.select("id", "pos", "year", "s.*")
-        .filter("text <> ''")
         .groupBy("kind", "text", "year")
         .agg(
             F.count("*").alias("n_all"),
@@ -109,11 +111,13 @@ def _policy_stats(policies: DataFrame, texts: dict[str, Column]) -> DataFrame:
             F.min(first).alias("first_all"),
             F.min(F.when(F.col("fits"), first)).alias("first_fit"),
         )
+        .filter("text <> ''")
     )
+    return cut_lineage(stats)
 
 
-def _probes(files: DataFrame) -> DataFrame:
-    return files.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "number", "suffix").distinct()
+def _probes(names: DataFrame) -> DataFrame:
+    return cut_lineage(names.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "number", "suffix").distinct())
 
 
 def _texts(stats: DataFrame, kind: str) -> DataFrame:
@@ -125,9 +129,9 @@ def _renamed(pairs: DataFrame, mapping: DataFrame, kind: str) -> DataFrame:
     return mapping.join(pairs.withColumnRenamed("key", "_norm"), "_norm").select(F.lit(kind).alias("kind"), "key", "text")
 
 
-def _typed_pairs(files: DataFrame, stats: DataFrame) -> DataFrame:
+def _typed_pairs(parsed: DataFrame, stats: DataFrame) -> DataFrame:
     """(kind, key, text) for the type-aware rules."""
-    probes = _probes(files)
+    probes = _probes(parsed)
     plate = probes.filter("kind = 'plate'").select("key", X.plate_key("key").alias("_norm"))
     plates = contained_either_way(plate.select(F.col("_norm").alias("key")).distinct(), _texts(stats, "plate"))
     name = probes.filter("kind = 'name'").select("key", X.plate_key("key").alias("_norm"))
@@ -177,9 +181,9 @@ def link_typed(files: DataFrame, policies: DataFrame, strict_type: bool = True,
 
     The policy type must suit the kind of key; without a fit the strategy is fallback (any type) or no-match. The
     nearest coverage year wins, then input order. A policy without a plate matches no plate.
-    Files: parsed by ``parsed_files``; policies: id, pos, policy_type, license_plate, insured_address, insured_name,
-    coverage_start.
+    Files need a name; policies: id, pos, policy_type, license_plate, insured_address, insured_name, coverage_start.
     """
+    names = parsed_names(files)
     plate = X.plate_key("license_plate")
     stats = _policy_stats(
         policies,
@@ -189,8 +193,8 @@ def link_typed(files: DataFrame, policies: DataFrame, strict_type: bool = True,
             "name": X.plate_key("insured_name"),
         },
     )
-    per_key = _by_key_and_year(_typed_pairs(files, stats), stats)
-    probe = files.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
+    per_key = _by_key_and_year(_typed_pairs(names, stats), stats)
+    probe = names.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
     away = D.year_distance(F.col("year"), F.col("year_be"))
     in_year = (away == 0) | F.col("year_be").isNull() if strict_year else F.lit(True)
     best = (
@@ -210,14 +214,15 @@ def link_typed(files: DataFrame, policies: DataFrame, strict_type: bool = True,
     if not strict_type:
         chosen = chosen.when(F.col("candidates") > 0, F.col("_any.first_all.id"))
         strategy = strategy.when(F.col("candidates") > 0, F.when(F.col("_any").isNotNull(), "fallback").otherwise(late))
-    joined = _join_back(files, best, ["kind", "key", "year_be"])
-    return joined.select(
-        *files.columns,
+    joined = _join_back(names, best, ["kind", "key", "year_be"])
+    answers = joined.select(
+        *names.columns,
         chosen.alias("policy_id"),
         F.coalesce(strategy, F.lit("no-match")).alias("strategy"),
         F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.coalesce("typed_candidates", F.lit(0)).alias("typed_candidates"),
     )
+    return files.join(answers, "name", "left")
 
 
 def _join_back(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -230,9 +235,9 @@ def _join_back(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFram
     return left.join(right, condition, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def _loose_pairs(files: DataFrame, stats: DataFrame, whole_numbers: bool) -> DataFrame:
+def _loose_pairs(parsed: DataFrame, stats: DataFrame, whole_numbers: bool) -> DataFrame:
     """(kind, key, text) for the loose rules: plates either way, names inside, house number and place start."""
-    probes = _probes(files)
+    probes = _probes(parsed)
     plate = probes.filter("kind = 'plate'").select("key", X.loose_key("key").alias("_norm"))
     plates = contained_either_way(plate.select(F.col("_norm").alias("key")).distinct(), _texts(stats, "plate"))
     name = probes.filter("kind = 'name'").select("key", X.loose_key("key").alias("_norm"))
@@ -277,20 +282,22 @@ def link_nearest_year(files: DataFrame, policies: DataFrame, strict_year: bool =
 
     Without a year in the name the first policy alone is the match.
     """
+    names = parsed_names(files, 20)
     stats = _loose_stats(policies, True)
-    per_key = _by_key_and_year(_loose_pairs(files, stats, True), stats)
-    probe = files.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
+    per_key = _by_key_and_year(_loose_pairs(names, stats, True), stats)
+    probe = names.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
     away = D.year_distance(F.col("year"), F.col("year_be"))
     rows = probe.join(per_key, ["kind", "key"]).withColumn("away", away)
     if strict_year:
         rows = rows.filter("away = 0 or year_be is null")
     per_distance = rows.groupBy("kind", "key", "year_be", "away").agg(F.sum("n_all").alias("n"), F.min("first_all").alias("first"))
     best = per_distance.groupBy("kind", "key", "year_be").agg(F.min(F.struct("away", "n", "first")).alias("_b"))
-    joined = _join_back(files, best, ["kind", "key", "year_be"])
+    joined = _join_back(names, best, ["kind", "key", "year_be"])
     matches = F.when(F.col("year_be").isNull(), F.when(F.col("_b").isNotNull(), 1)).otherwise(F.col("_b.n"))
-    return joined.select(
-        *files.columns, F.coalesce(matches, F.lit(0)).cast("long").alias("matches"), F.col("_b.away").alias("away"), F.col("_b.first.id").alias("policy_id")
+    answers = joined.select(
+        *names.columns, F.coalesce(matches, F.lit(0)).cast("long").alias("matches"), F.col("_b.away").alias("away"), F.col("_b.first.id").alias("policy_id")
     )
+    return files.join(answers, "name", "left")
 
 
 def link_year_band(files: DataFrame, policies: DataFrame, band: int = 1) -> DataFrame:
@@ -298,9 +305,10 @@ def link_year_band(files: DataFrame, policies: DataFrame, band: int = 1) -> Data
 
     The range condition becomes equality by listing the years of the band on the file side.
     """
+    names = parsed_names(files, 20)
     stats = _loose_stats(policies, False)
-    per_key = _by_key_and_year(_loose_pairs(files, stats, False), stats)
-    probe = files.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
+    per_key = _by_key_and_year(_loose_pairs(names, stats, False), stats)
+    probe = names.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
     target = F.col("year_be") - 543
     years = F.when(
         F.col("year_be").isNotNull(), F.array_append(F.sequence(target - band, target + band), F.lit(None).cast("int"))
@@ -311,8 +319,9 @@ def link_year_band(files: DataFrame, policies: DataFrame, band: int = 1) -> Data
     same_year = F.col("_y").eqNullSafe(F.col("year"))
     hit = spread.join(both.withColumnsRenamed({"kind": "_kind", "key": "_key"}), (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key")) & same_year)
     best = hit.groupBy("kind", "key", "year_be").agg(F.sum("n_all").alias("_n"), F.min("first_all").alias("_first"))
-    joined = _join_back(files, best, ["kind", "key", "year_be"])
-    return joined.select(*files.columns, F.coalesce("_n", F.lit(0)).alias("matches"), F.col("_first.id").alias("policy_id"))
+    joined = _join_back(names, best, ["kind", "key", "year_be"])
+    answers = joined.select(*names.columns, F.coalesce("_n", F.lit(0)).alias("matches"), F.col("_first.id").alias("policy_id"))
+    return files.join(answers, "name", "left")
 
 
 def ambiguity_gate(links: DataFrame, limit: int = 5) -> DataFrame:
@@ -365,9 +374,8 @@ def scan_groups(files: DataFrame, keep: int = 1) -> DataFrame:
 
     Ranked per (facts, salt) first, so facts shared by a third of all files are cut in parallel.
     """
-    rows = files.select("name", scan_facts("name").alias("f")).select("name", "f.*").distinct()
-    facts = [c for c in rows.columns if c != "name"]
-    return _first_names(rows, facts, keep)
+    rows = with_scan_facts(files.select("name").distinct()).drop("plain", "address_key")
+    return cut_lineage(_first_names(rows, [c for c in rows.columns if c != "name"], keep))
 
 
 def _first_names(rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
@@ -389,12 +397,13 @@ def _year_rank() -> Column:
 def _probed(policies: DataFrame, address: Column) -> tuple[DataFrame, DataFrame]:
     """(policies with their probe, distinct probes): everything the choice depends on."""
     kind, target, plate = _wanted(policies)
-    rows = policies.withColumn(
-        "probe",
+    rows = policies.select(
+        "id",
         F.struct(
             kind.alias("kind"), target.alias("target"), F.coalesce(plate, F.lit("")).alias("plate"), F.coalesce(address, F.lit("")).alias("address")
-        ),
+        ).alias("probe"),
     )
+    rows = cut_lineage(rows)
     return rows, rows.select("probe", "probe.*").distinct()
 
 
@@ -459,7 +468,8 @@ def file_by_prefix_key(policies: DataFrame, files: DataFrame) -> DataFrame:
         F.struct(F.lit(3).alias("tier"), person.alias("tried")),
     )
     kind, target, _ = _wanted(policies)
-    rows = policies.withColumn("probe", F.struct((kind == "P").alias("compulsory_wanted"), target.alias("target"), F.filter(tries, lambda t: F.length(t["tried"]) > 0).alias("tries")))
+    wanted = F.struct((kind == "P").alias("compulsory_wanted"), target.alias("target"), F.filter(tries, lambda t: F.length(t["tried"]) > 0).alias("tries"))
+    rows = cut_lineage(policies.select("id", wanted.alias("probe")))
     probes = rows.select("probe", "probe.*").distinct()
     tried = probes.select("probe", "target", "compulsory_wanted", F.explode("tries").alias("t")).select("probe", "target", "compulsory_wanted", "t.*")
     words = tried.select("tried").distinct()
@@ -507,18 +517,19 @@ def scored_files(policies: DataFrame, files: DataFrame, top: int = 3) -> DataFra
     Policies: id, policy_type, license_plate, address, person, coverage_start, coverage_end.
     """
     kind, target, plate = _wanted(policies)
-    rows = policies.withColumn(
-        "probe",
-        F.struct(
-            (kind == "P").alias("wanted"), target.alias("target"), F.when(~plate.isin("", "OTHER"), plate).alias("plate"),
-            X.address_compact("address").alias("address"), X.name_key_anchored(F.trim("person")).alias("person"),
-        ),
-    )
+    wanted = F.struct(
+        (kind == "P").alias("wanted"),
+        target.alias("target"),
+        F.when(~plate.isin("", "OTHER"), plate).alias("plate"),
+        X.address_compact("address").alias("address"),
+        X.name_key_anchored(F.trim("person")).alias("person"),
+    )
+    rows = cut_lineage(policies.select("id", wanted.alias("probe")))
     probes = rows.select("probe", "probe.*").distinct()
-    scans = files.select("name", scan_facts("name").alias("f")).select(
-        "name", F.col("f.plate"), F.col("f.year"), F.col("f.compulsory"), F.col("f.address_key"), X.name_key_anchored(F.col("f.plain")).alias("person_key")
-    ).distinct()
-    groups = _first_names(scans, ["plate", "year", "compulsory", "address_key", "person_key"], top)
+    scans = with_scan_facts(files.select("name").distinct()).select(
+        "name", "plate", "year", "compulsory", "address_key", X.name_key_anchored("plain").alias("person_key")
+    )
+    groups = cut_lineage(_first_names(scans, ["plate", "year", "compulsory", "address_key", "person_key"], top))
     facts = ["year", "compulsory", "name"]
     with_plate, without = groups.filter("plate is not null"), groups.filter("plate is null")
 
@@ -547,9 +558,7 @@ def scored_files(policies: DataFrame, files: DataFrame, top: int = 3) -> DataFra
         tier(2, 70, "addr-10", on(probes, first(F.col("address"), 10)), on(without, first(F.col("address_key"), 10))),
         tier(3, 60, "name", name_wanted.join(name_pairs.withColumnRenamed("_nk", "_on"), "person"), on(name_files, F.col("_nk"))),
     ]
-    hits = tiers[0]
-    for t in tiers[1:]:
-        hits = hits.unionByName(t)
+    hits = cut_lineage(reduce(DataFrame.unionByName, tiers))
     right_kind = F.col("compulsory") == F.col("wanted")
     lead = hits.groupBy("probe").agg(F.min(F.struct("tier", (~right_kind).cast("int").alias("miss"))).alias("_lead"))
     same_year = F.coalesce(F.col("year") == F.col("target"), F.lit(False))

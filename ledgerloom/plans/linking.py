@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.functions.filenames import SCAN_PLATE, display_name, parse_loose_name, review_copy_name, scan_year, stem_of
+from ledgerloom.functions.filenames import SCAN_PLATE, display_name, parse_loose_name, review_copy_name, scan_year, stem_of, with_archive_name
 from ledgerloom.operators import aggregates as A, linkage as L, rules as RU
 from ledgerloom.plans import roles as R
 from ledgerloom.plans.registry import query
@@ -67,7 +67,7 @@ TYPED = f"""{PARSED},
 
 
 def parsed(spark, sf):
-    return L.parsed_files(R.files(spark, sf))
+    return with_archive_name(R.files(spark, sf))
 
 
 def ordered_policies(spark, sf):
@@ -75,7 +75,7 @@ def ordered_policies(spark, sf):
 
 
 def linked(spark, sf):
-    return L.link_typed(parsed(spark, sf), ordered_policies(spark, sf)).withColumn("doc_kind", RU.file_kind("name", "kind"))
+    return L.link_typed(R.files(spark, sf), ordered_policies(spark, sf)).withColumn("doc_kind", RU.file_kind("name", "kind"))
 
 
 @query("fn_24_parse_filename", f"WITH {PARSED} SELECT path, kind, key, number, suffix, cast(year_be as bigint) AS year_be FROM parsed")
@@ -111,7 +111,7 @@ def rul_3(spark, sf):
 
 @query("jn_10_link_type_aware", f"WITH {TYPED} SELECT path, policy_id, strategy, candidates, typed_candidates FROM linked")
 def jn_10(spark, sf):
-    return L.link_typed(parsed(spark, sf), ordered_policies(spark, sf)).select("path", "policy_id", "strategy", "candidates", "typed_candidates")
+    return L.link_typed(R.files(spark, sf), ordered_policies(spark, sf)).select("path", "policy_id", "strategy", "candidates", "typed_candidates")
 
 
 _LOOSE_ADDR = "lower(replace(insured_address, ' ', ''))"
@@ -144,7 +144,7 @@ _PART = " OR ".join(f"contains(t.text, k.{v})" for v in ("number", "num2", "num3
        SELECT p.path, coalesce(b.matches, 0) AS matches, b.policy_id FROM parsed p LEFT JOIN best b ON p.kind = b.kind AND p.key = b.key AND p.year_be = b.year_be AND b.rn = 1""",
 )
 def jn_9(spark, sf):
-    files = L.parsed_files(R.files(spark, sf), 20)
+    files = R.files(spark, sf)
     return L.link_nearest_year(files, ordered_policies(spark, sf)).select("path", "matches", "policy_id")
 
 
@@ -155,7 +155,7 @@ def jn_9(spark, sf):
        SELECT p.path, coalesce(b.matches, 0) AS matches, b.policy_id FROM parsed p LEFT JOIN best b ON p.kind = b.kind AND p.key = b.key AND p.year_be = b.year_be""",
 )
 def jn_11(spark, sf):
-    files = L.parsed_files(R.files(spark, sf), 20)
+    files = R.files(spark, sf)
     return L.link_year_band(files, ordered_policies(spark, sf)).select("path", "matches", "policy_id")
 
 
@@ -166,7 +166,7 @@ def jn_11(spark, sf):
        SELECT p.path, coalesce(b.matches, 0) > 5 AS ambiguous, CASE WHEN b.matches <= 5 THEN b.policy_id END AS policy_id FROM parsed p LEFT JOIN best b ON p.kind = b.kind AND p.key = b.key AND p.year_be = b.year_be""",
 )
 def rte_4(spark, sf):
-    links = L.link_year_band(L.parsed_files(R.files(spark, sf), 20), ordered_policies(spark, sf))
+    links = L.link_year_band(R.files(spark, sf), ordered_policies(spark, sf))
     return L.ambiguity_gate(links).select("path", "ambiguous", "policy_id")
 
 
@@ -175,7 +175,7 @@ def rte_4(spark, sf):
     f"""WITH {_loose_sql(_WHOLE, '')} SELECT kind, key, year_be, min(away) AS away FROM cand GROUP BY 1, 2, 3""",
 )
 def win_5(spark, sf):
-    files = L.parsed_files(R.files(spark, sf), 20)
+    files = R.files(spark, sf)
     links = L.link_nearest_year(files, ordered_policies(spark, sf)).filter("policy_id is not null")
     best = links.groupBy("kind", "key", "year_be").agg(F.min("away").cast("long").alias("away"))
     return best.withColumn("year_be", F.col("year_be").cast("long"))
@@ -200,7 +200,7 @@ def agg_7(spark, sf):
        round(avg(CASE WHEN policy_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS rate, cast(sum(typed_candidates) as bigint) AS links FROM linked GROUP BY 1""",
 )
 def agg_8(spark, sf):
-    df = L.link_typed(parsed(spark, sf), ordered_policies(spark, sf))
+    df = L.link_typed(R.files(spark, sf), ordered_policies(spark, sf))
     return A.match_rate(df, "kind", "typed_candidates")
 
 
