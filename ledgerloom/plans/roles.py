@@ -170,3 +170,78 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: documents arriving in batches."""
     return _pick(table(spark, sf_dir, "events"), PAPER_COLUMNS)
+
+
+_SCHEDULE = (
+    f"concat('THE MOTOR INSURANCE SCHEDULE', chr(10), 'Policy No: DO-', {_FAMILY}, '-', {_YY.format(d='o_orderdate')}, '/', "
+    "substr(lpad(cast(o_orderkey as string), 10, '0'), 3), chr(10), 'The Insured', chr(10), "
+    f"'นาย ', {_WORD}, ' ', substr(c_name, 10), chr(10), 'Address ', {_HOUSE}, ' ', {_PLACE}, chr(10), "
+    "'MRH', substr(lpad(cast(o_custkey as string), 14, '0'), 1, 6), ' ', substr(lpad(cast(o_custkey as string), 14, '0'), 7), chr(10), "
+    f"{_PLATE}, ' กรุงเทพมหานคร', chr(10), {_MAKE}, ' CITY ', cast(c_nationkey as string), chr(10), "
+    "'From ', cast(day(o_orderdate) as string), '/', cast(month(o_orderdate) as string), '/', cast(year(o_orderdate) + 543 as string), ' to ', "
+    "cast(day(o_orderdate) as string), '/', cast(month(o_orderdate) as string), '/', cast(year(o_orderdate) + 544 as string), chr(10), "
+    "'Net Premium ', cast(cast(o_totalprice as decimal(18,2)) as string), chr(10), 'Stamp Duty ', cast(c_nationkey + 1 as string), '.00', chr(10), "
+    "'VAT ', cast(c_custkey + 1 as string), '.50', chr(10), 'Total Premium ', "
+    "cast(cast(o_totalprice as decimal(18,2)) + c_nationkey + c_custkey + 2 + cast(0.5 as decimal(18,2)) as string), chr(10), "
+    "case o_orderstatus when 'O' then 'AXA' when 'F' then 'MSIG' else 'none' end, chr(10), 'Signed', chr(10), 'Checked', chr(10), 'Filed', chr(10), "
+    "'Model YEAR ', cast(year(o_orderdate) as string))"
+)
+SCHEDULE_COLUMNS = {
+    "doc_id": "o_orderkey",
+    "text": _SCHEDULE,
+    "truth_number": f"concat('D0-', {_FAMILY}, '-', {_YY.format(d='o_orderdate')}, '/', substr(lpad(cast(o_orderkey as string), 10, '0'), 3))",
+    "truth_vin": "concat('MRH', lpad(cast(o_custkey as string), 14, '0'))",
+    "truth_plate": f"replace({_PLATE}, ' ', '')",
+    "truth_name": f"concat('นาย ', {_WORD}, ' ', substr(c_name, 10))",
+    "truth_make": _MAKE,
+    "truth_start": "cast(cast(o_orderdate as date) as string)",
+    "truth_net": "cast(o_totalprice as double)",
+    "truth_year": "cast(year(o_orderdate) as bigint)",
+    "day_month": "concat(cast(day(o_orderdate) as string), '-', cast(month(o_orderdate) as string))",
+}
+ROLE_SQL["schedules"] = _select(SCHEDULE_COLUMNS, "orders JOIN customer ON o_custkey = c_custkey")
+
+
+def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders join customer: the text of one printed schedule per order, with the facts it was printed from."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return _pick(orders.join(customer, orders.o_custkey == customer.c_custkey), SCHEDULE_COLUMNS)
+
+
+_NET, _STAMP, _VAT = (
+    "cast(l_extendedprice as decimal(18,2))",
+    "cast(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(9,4)) as decimal(18,2))",
+    "cast(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(9,4)) as decimal(18,2))",
+)
+LEDGER_COLUMNS = {
+    "id": ATTACHMENT_COLUMNS["id"],
+    "policy_id": "l_orderkey",
+    "doc_type": "case when l_linenumber > 5 then 'unknown' else 'motor_main' end",
+    "policy_number": "case when l_linenumber < 7 then concat('D0-70-41/', cast(l_orderkey as string)) end",
+    "license_plate": "case when l_linenumber < 6 then 'plate' end",
+    "insured_name": "case when l_linenumber = 4 then concat('ตัวอย่าง อิเล็กทรอนิกส์ ', cast(l_suppkey as string)) else concat('ชื่อ ', cast(l_suppkey as string)) end",
+    "chassis_no": "case when l_linenumber = 3 then concat('QRH', lpad(cast(l_partkey as string), 14, '0')) else concat('MRH', lpad(cast(l_partkey as string), 14, '0')) end",
+    "net_premium": _NET,
+    "stamp_duty": f"case when l_linenumber <> 2 then {_STAMP} end",
+    "vat": _VAT,
+    "total_premium": (
+        f"cast({_NET} + {_STAMP} + {_VAT} + case when l_quantity > 45 then cast(cast(l_extendedprice as decimal(18,2)) * cast('0.05' as decimal(4,2)) as decimal(18,2)) "
+        "when l_quantity > 40 then cast('0.02' as decimal(18,2)) when l_quantity > 38 then cast('0.01' as decimal(18,2)) "
+        "else cast(0 as decimal(18,2)) end as decimal(18,2))"
+    ),
+    "coverage_start": "cast(l_shipdate as date)",
+    "coverage_end": (
+        "cast(case when l_quantity < 3 then l_shipdate - interval 1 day when l_quantity < 6 then l_shipdate + interval 800 day "
+        "else l_shipdate + interval 365 day end as date)"
+    ),
+    "commission_pct": "cast(l_quantity as decimal(9,4))",
+    "commission_baht": "case when l_linestatus = 'F' then cast(l_quantity as decimal(18,2)) end",
+    "prepaid_tax_1pct": "cast(l_quantity as decimal(18,2))",
+    "paired_prb_total": "case when l_returnflag = 'A' then cast(l_suppkey as decimal(18,2)) end",
+}
+ROLE_SQL["ledgers"] = _select(LEDGER_COLUMNS, "lineitem")
+
+
+def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem: one premium reading per line, some of them wrong on purpose."""
+    return _pick(table(spark, sf_dir, "lineitem"), LEDGER_COLUMNS)
