@@ -1,27 +1,35 @@
-"""The two ratio functions Spark lacks. Both run on distinct, already blocked pairs."""
+"""The two ratio functions Spark lacks. Both run on distinct, already blocked pairs.
+
+The functions are made inside their callers, so they travel to the workers by value.
+"""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: str, b: str) -> Column:
     """Ratcliff-Obershelp ratio of (first, second), in that order; 0 when either is empty."""
-    return pd.Series(
-        [SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], index=a.index, dtype="float64"
-    )
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
 
 
-@F.pandas_udf("string")
-def closest_of(words: pd.Series, choices: pd.Series) -> pd.Series:
+def closest_of(word: str, choices: Column) -> Column:
     """The choice most like the word, ratio 0.78 or better; null otherwise."""
-    out = []
-    for word, names in zip(words, choices):
-        scored = [(SequenceMatcher(None, name, word or "").ratio(), name) for name in (names if names is not None else [])]
-        best = max(scored, default=(0.0, None))
-        out.append(best[1] if best[0] >= 0.78 else None)
-    return pd.Series(out, index=words.index, dtype="object")
+
+    @F.pandas_udf(T.StringType())
+    def closest(words: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for w, names in zip(words, lists):
+            best = max(((SequenceMatcher(None, n, w or "").ratio(), n) for n in (names if names is not None else [])), default=(0.0, None))
+            out.append(best[1] if best[0] >= 0.78 else None)
+        return pd.Series(out, dtype="object")
+
+    return closest(word, choices)
