@@ -519,7 +519,7 @@ def scored_files(policies: DataFrame, files: DataFrame, top: int = 3) -> DataFra
     kind, target, plate = _wanted(policies)
     wanted = F.struct(
         (kind == "P").alias("wanted"),
-        target.alias("target"),
+        F.coalesce(target, F.lit(-1)).alias("target"),
         F.when(~plate.isin("", "OTHER"), plate).alias("plate"),
         X.address_compact("address").alias("address"),
         X.name_key_anchored(F.trim("person")).alias("person"),
@@ -532,42 +532,41 @@ def scored_files(policies: DataFrame, files: DataFrame, top: int = 3) -> DataFra
     groups = cut_lineage(_first_names(scans, ["plate", "year", "compulsory", "address_key", "person_key"], top))
     facts = ["year", "compulsory", "name"]
     with_plate, without = groups.filter("plate is not null"), groups.filter("plate is null")
+    right_kind = F.col("compulsory") == F.col("wanted")
 
     def tier(number: int, score: int, reason: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right.select("_on", *facts), "_on").select(
-            "probe", "target", "wanted", F.lit(number).alias("tier"), F.lit(score).alias("score"), F.lit(reason).alias("reason"), *facts
+        """The best ``top`` files per (kind wanted, year, key) asked for, then per probe. A key that a third of all
+        files share is cut to ``top`` names per year and kind before any probe meets it."""
+        few = _first_names(right.select("_on", *facts).distinct(), ["_on", "year", "compulsory"], top)
+        hit = F.col("year") == F.col("target")
+        order = [(~right_kind).cast("int"), F.desc("score"), F.col("name")]
+        asked = left.select("wanted", "target", "_on").distinct().join(few, "_on")
+        asked = asked.withColumn("same", F.coalesce(hit, F.lit(False))).withColumn("miss", (~right_kind).cast("int"))
+        asked = asked.withColumn("score", F.when(F.col("same"), F.least(F.lit(100), F.lit(score + 20))).otherwise(F.lit(score)))
+        place = F.row_number().over(W.partitionBy("wanted", "target", "_on").orderBy(*order))
+        best = asked.withColumn("_r", place).filter(F.col("_r") <= top)
+        text = F.when(F.col("same"), F.lit(reason + "+year")).otherwise(F.lit(reason))
+        return left.select("probe", "wanted", "target", "_on").join(best, ["wanted", "target", "_on"]).select(
+            "probe", F.lit(number).alias("tier"), "miss", "score", text.alias("reason"), "name"
         )
 
     on = lambda df, c: df.withColumn("_on", c).filter("_on is not null")
     first = lambda c, n: F.when(F.length(c) >= n, F.substring(c, 1, n))
     shorter = F.filter(prefixes(F.col("plate"), 5), lambda p: p != F.col("plate"))
+    # A name file answers when its key (at most 15 characters) starts the name, or starts with the name's first 8.
     name_files = without.filter(F.length("person_key") >= 6).withColumn("_nk", F.substring("person_key", 1, 15))
-    name_keys = name_files.select("_nk").distinct()
     name_wanted = probes.filter(F.length("person") >= 6)
-    # The file key (at most 15 characters) starts the name, or starts with the name's first 8.
-    persons = name_wanted.select("person").distinct()
-    n1 = persons.select("person", F.explode(prefixes(F.col("person"), 6, 15)).alias("_nk")).join(name_keys, "_nk")
-    n2 = persons.withColumn("_s", F.substring("person", 1, 8)).join(
-        name_keys.select("_nk", F.explode(prefixes(F.col("_nk"), 6, 8)).alias("_s")), "_s"
-    )
-    name_pairs = n1.select("person", "_nk").unionByName(n2.select("person", "_nk")).distinct()
     tiers = [
         tier(0, 100, "plate-exact", on(probes, F.col("plate")), on(with_plate, F.col("plate"))),
         tier(0, 80, "plate-prefix", probes.select("*", F.explode(shorter).alias("_on")), on(with_plate, F.col("plate"))),
         tier(1, 90, "addr-15", on(probes, first(F.col("address"), 15)), on(without, first(F.col("address_key"), 15))),
         tier(2, 70, "addr-10", on(probes, first(F.col("address"), 10)), on(without, first(F.col("address_key"), 10))),
-        tier(3, 60, "name", name_wanted.join(name_pairs.withColumnRenamed("_nk", "_on"), "person"), on(name_files, F.col("_nk"))),
+        tier(3, 60, "name", name_wanted.select("*", F.explode(prefixes(F.col("person"), 6, 15)).alias("_on")), on(name_files, F.col("_nk"))),
+        tier(3, 60, "name", on(name_wanted, F.substring("person", 1, 8)), name_files.select("*", F.explode(prefixes(F.col("_nk"), 6, 8)).alias("_on"))),
     ]
-    hits = cut_lineage(reduce(DataFrame.unionByName, tiers))
-    right_kind = F.col("compulsory") == F.col("wanted")
-    lead = hits.groupBy("probe").agg(F.min(F.struct("tier", (~right_kind).cast("int").alias("miss"))).alias("_lead"))
-    same_year = F.coalesce(F.col("year") == F.col("target"), F.lit(False))
-    kept = (
-        hits.join(lead, "probe")
-        .filter((F.col("tier") == F.col("_lead.tier")) & ((~right_kind).cast("int") == F.col("_lead.miss")))
-        .withColumn("score", F.when(same_year, F.least(F.lit(100), F.col("score") + 20)).otherwise(F.col("score")))
-        .withColumn("reason", F.when(same_year, F.concat("reason", F.lit("+year"))).otherwise(F.col("reason")))
-    )
+    hits = cut_lineage(reduce(DataFrame.unionByName, tiers)).distinct()
+    lead = hits.groupBy("probe").agg(F.min(F.struct("tier", "miss")).alias("_lead"))
+    kept = hits.join(lead, "probe").filter((F.col("tier") == F.col("_lead.tier")) & (F.col("miss") == F.col("_lead.miss")))
     place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "name"))
     ranked = kept.withColumn("rank", place).filter(F.col("rank") <= top).select("probe", "rank", F.col("name").alias("file"), "score", "reason")
     best = ranked.filter("rank = 1").select("probe", F.col("score").alias("_best"))
