@@ -25,7 +25,6 @@ HEADLINE = [
     "jn_16_scored_tiers",
     "jn_18_assignment",
     "jn_20_unique_parent",
-    "ext_1_schedule_fields",
     "rul_2_class_from_text",
     "val_1_field_sanity",
     "dml_4b_upsert_result",
