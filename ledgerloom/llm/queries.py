@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import containment, harmonic, neighbour_votes, pfor, simhash_trie, surrogates, tokens, warc, weak_labels
+from ledgerloom.llm import chroma, containment, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, tokens, warc, weak_labels
 from ledgerloom.llm.shared import in_fold, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_chroma_alignment")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a short recording, fingerprinted and aligned with those of ids divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("media"))
+    return chroma.aligned(rows, chroma.melody).withColumnRenamed("id", "vec_id")
+
+
 @query("op2_neighbour_votes")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; rows of fold 2 of 4 are never learned from."""
@@ -58,6 +65,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_longest_previous_factor")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated strings of 400 bytes."""
+    found = repeated_bytes.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_patched_blocks")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents as patched frame-of-reference files, read them back."""
