@@ -153,11 +153,14 @@ def _prefix(depth: int) -> Column:
 def _node_pairs(words: DataFrame, budget: int, leaf: int) -> list[tuple[int, DataFrame]]:
     """By depth, the pairs (tree, pa, pb, errors, na, nb) of prefixes whose subtrees one task may finish."""
     ready = []
-    depth, pairs = 0, words.select("tree").distinct().select("tree", F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"), F.lit(0).alias("errors"))
+    depth, pairs = 0, None
     while True:
         sizes = materialize(words.groupBy("tree", _prefix(depth).alias("p")).agg(F.count("*").alias("n")), "nodes")
-        sized = pairs.join(sizes.select("tree", F.col("p").alias("pa"), F.col("n").alias("na")), ["tree", "pa"])
-        sized = sized.join(sizes.select("tree", F.col("p").alias("pb"), F.col("n").alias("nb")), ["tree", "pb"])
+        if pairs is None:  # the root with itself
+            sized = sizes.select("tree", F.col("p").alias("pa"), F.col("p").alias("pb"), F.lit(0).alias("errors"), F.col("n").alias("na"), F.col("n").alias("nb"))
+        else:
+            sized = pairs.join(sizes.select("tree", F.col("p").alias("pa"), F.col("n").alias("na")), ["tree", "pa"])
+            sized = sized.join(sizes.select("tree", F.col("p").alias("pb"), F.col("n").alias("nb")), ["tree", "pb"])
         sized = materialize(sized.select("tree", "pa", "pb", "errors", "na", "nb"), "pairs")
         fits = (F.greatest("na", "nb") <= leaf) | F.lit(depth == BITS)
         ready.append((depth, sized.filter(fits)))

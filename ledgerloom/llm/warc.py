@@ -151,25 +151,50 @@ def _candidates(file, start: int, end: int, size: int) -> Iterator[int]:
         at = stop
 
 
-def records_in_range(file, start: int, end: int, size: int) -> Iterator[dict]:
-    """The records whose members start in [start, end), in order.
+def _walk(file, at: int, stop: int, size: int) -> int:
+    """The first member place from ``stop`` on, following members from ``at``; ValueError where one is unsound."""
+    while at < min(stop, size):
+        if (found := _record_at(file, at)) is None:
+            raise ValueError(f"no sound WARC record at byte {at}")
+        at = found[1]
+    return at
+
+
+def _first_in_range(file, start: int, end: int, size: int) -> int | None:
+    """Where the first member that starts in [start, end) does, None if none does.
 
-    The first is found by gzip magic and accepted if its header decodes, its length fits and a further sound record or the
-    file's end follows; magic bytes inside compressed data fail that. From there members follow one another.
+    A candidate is gzip magic whose member decodes as a record, as do all members that follow it up to the first beyond
+    the range, and that one. If some candidate decodes but its followers don't, it is a record stored inside another or
+    the archive is damaged: then members are followed from the file's start, which tells the two apart.
     """
+    if start == 0:
+        return 0 if size else None
     for at in _candidates(file, start, end, size):
-        if (first := _record_at(file, at)) is None:
+        if _record_at(file, at) is None:
             continue
-        if first[1] < size and _record_at(file, first[1]) is None:
-            continue
-        found = first
-        while True:
-            yield found[0]
-            at = found[1]
-            if at >= end or at >= size:
-                return
-            if (found := _record_at(file, at)) is None:
-                raise ValueError(f"no sound WARC record at byte {at}")
+        try:
+            _walk(file, _walk(file, at, end, size), size if end >= size else end + 1, size)
+            return at
+        except ValueError:
+            at = _walk(file, 0, start, size)
+            return at if at < end else None
+    return None
+
+
+def records_in_range(file, start: int, end: int, size: int) -> Iterator[dict]:
+    """The records whose members start in [start, end), in order; see ``_first_in_range`` for how the first is found.
+
+    A record that is followed by damage is reported by ValueError, not skipped. Only an archive stored uncompressed within
+    a record, and longer than a whole range, could be taken for the file's own members.
+    """
+    at = _first_in_range(file, start, end, size)
+    while at is not None and at < min(end, size):
+        if (found := _record_at(file, at)) is None:
+            raise ValueError(f"no sound WARC record at byte {at}")
+        yield found[0]
+        at = found[1]
+    if at is not None and at < size and _record_at(file, at) is None:
+        raise ValueError(f"no sound WARC record at byte {at}")
 
 
 def _page(record: dict) -> tuple:

@@ -60,7 +60,7 @@ def test_components_match_brute_force(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
     texts = []
-    for _ in range(60):
+    for _ in range(24):
         words = [rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 40, 900]))]
         for _ in range(3):
             texts.append(" ".join(words))
@@ -72,7 +72,7 @@ def test_components_match_brute_force(spark):
     prints = [(plain_fingerprint(t), i) for i, t in items]
     name = components(prints, lambda x, y: (x ^ y).bit_count() <= 2)
     want = sorted(((-1 if i is None else i), f, -1 if name[f] is None else name[f]) for f, i in prints)
-    for leaf in (4, 1 << 15):
+    for leaf in (12, 1 << 15):
         rows = T.simhash_components(df, leaf=leaf).collect()
         assert sorted(((-1 if r.id is None else r.id), r.word % 2**64, -1 if r.component_id is None else r.component_id) for r in rows) == want
     assert T.simhash_components(df.limit(0)).collect() == []
