@@ -207,18 +207,20 @@ def _forest(votes: np.ndarray, q: np.ndarray, least: float = 0.01) -> list[int]:
 
 
 def fit_label_model(votes: np.ndarray, first: np.ndarray, rounds: int = 20, hold: float = 1.0) -> tuple[LabelModel, np.ndarray]:
-    """EM from the first guess; ``hold`` is how strongly the labels of training rows weigh in the posterior."""
+    """EM from the first guess; ``hold`` is how strongly the labels of training rows weigh in the posterior.
+
+    Ties are estimated before the first round, so that a voter and its near copy don't outvote the rest, and twice later.
+    """
     q = np.clip(first.astype(float), 0.04, 0.96)
-    parents = [-1] * votes.shape[1]
     anchor = q.copy()
     for r in range(rounds):
-        if r == rounds // 2:
+        if r in (0, rounds // 3, 2 * rounds // 3):
             parents = _forest(votes, q)
         model = LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), parents, _tables(votes, q, parents))
         p = np.clip(model.posterior(votes), 1e-4, 1 - 1e-4)
         odds = np.log(p / (1 - p)) + hold * np.log(anchor / (1 - anchor))
         new = 1 / (1 + np.exp(-odds))
-        if np.abs(new - q).max() < 1e-4 and r > rounds // 2:
+        if np.abs(new - q).max() < 1e-4 and r > 2 * rounds // 3:
             q = new
             break
         q = new
