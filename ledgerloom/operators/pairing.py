@@ -6,7 +6,6 @@ other side answers is dropped first, so a plate, VIN or name shared by a third o
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.functions import dates as D, text as X
@@ -385,6 +384,7 @@ def import_plan(docs: DataFrame, duplicates: str = "duplicate_of") -> DataFrame:
 # -- pairing by evidence ---------------------------------------------------------------------------------------------
 # Points per kind of evidence.
 EVIDENCE_POINTS = {"vin": 80, "year": 20, "next_to": 18, "near": 8, "token": 3, "token_cap": 22}
+READY_FROM, READY_BESIDE_FROM, READY_MARGIN = 80, 44, 8
 
 
 def evidence_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -393,51 +393,151 @@ def evidence_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"vins": vin_candidates(t), "tokens": X.identity_tokens(t)})
 
 
-def _picker(points_of: dict[str, int]):
-    """The per-batch function, made here so that it travels to the workers by value."""
-
-    def pick(batch: pd.DataFrame) -> pd.DataFrame:
-        """Mains in order take the best unused partner; only a ready pair uses its partner up. A batch holds few rows."""
-        rows = batch.sort_values("pos").to_dict("records")
-        prbs = [r for r in rows if r["doc_type"] == "motor_prb"]
-        used, out = set(), []
-        for main in (r for r in rows if r["doc_type"] == "motor_main"):
-            scored = []
-            for prb in prbs:
-                if prb["doc_id"] in used:
-                    continue
-                apart = abs(main["pos"] - prb["pos"])
-                same_year = main["year"] is not None and main["year"] == prb["year"]
-                shared = set(main["tokens"]) & set(prb["tokens"])
-                telling = sum(1 for t in shared if len(t) >= 5 or any(c.isdigit() for c in t))
-                points = points_of["vin"] if set(main["vins"]) & set(prb["vins"]) else 0
-                points += points_of["year"] if same_year else 0
-                points += points_of["next_to"] if apart == 1 else points_of["near"] if apart <= 3 else 0
-                points += min(points_of["token_cap"], points_of["token"] * telling)
-                scored.append((points, prb["doc_id"], points >= 80 or (points >= 44 and apart == 1 and same_year)))
-            if not scored:
-                continue
-            scored.sort(key=lambda s: -s[0])
-            best, runner_up = scored[0], scored[1][0] if len(scored) > 1 else 0
-            ready = bool(best[2] and best[0] - runner_up >= 8)
-            if ready:
-                used.add(best[1])
-            out.append((main["batch_id"], main["doc_id"], best[1], best[0], runner_up, "ready_for_review" if ready else "needs_manual_check"))
-        return pd.DataFrame(out, columns=["batch_id", "main_id", "prb_id", "score", "runner_up", "status"])
-
-    return pick
-
-
-def pair_by_evidence(docs: DataFrame, most_files: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(pairs, batches refused for holding more than ``most_files``).
-
-    The quota is the intake's own and is what bounds a group here: sizes are counted first, and a batch over it goes
-    whole to the refused side. Documents: batch_id, doc_id (string), pos, doc_type, year, vins, tokens.
+def _evidence_edges(mains: DataFrame, prbs: DataFrame) -> DataFrame:
+    """Pairs of a batch that share more than a year: (batch_id, m, p, points and what they are made of).
+
+    Each kind of evidence is an equi-join of its own: on VIN, on position plus or minus three, on a telling token.
+    """
+    m, p = mains.select("batch_id", "m", "m_pos", "vins", "tokens"), prbs.select("batch_id", "p", "p_pos", "vins", "tokens")
+
+    def on(kind: str, left: Column, right: Column, what: Column) -> DataFrame:
+        a = m.select("batch_id", "m", F.explode(left).alias("_on"))
+        b = p.select("batch_id", "p", F.explode(right).alias("_on"))
+        return a.join(b, ["batch_id", "_on"]).select("batch_id", "m", "p", F.lit(kind).alias("kind"), what.alias("what")).distinct()
+
+    steps = F.array(*[F.col("m_pos") + d for d in range(-3, 4)])
+    telling = F.filter("tokens", lambda t: (F.length(t) >= 5) | t.rlike("[0-9]"))
+    shared = F.col("_on").cast("string")
+    found = on("vin", F.col("vins"), F.col("vins"), shared).unionByName(on("token", telling, telling, shared))
+    found = found.unionByName(on("place", steps, F.array("p_pos"), shared))
+    pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("what"))))
+    return found.groupBy("batch_id", "m", "p").agg(pick("vin").alias("same_vins"), pick("token").alias("same_tokens"), F.max(F.when(F.col("kind") == "place", F.col("what").cast("int"))).alias("at"))
+
+
+def _scored_edges(mains: DataFrame, prbs: DataFrame) -> DataFrame:
+    of = EVIDENCE_POINTS
+    edges = _evidence_edges(mains, prbs)
+    edges = edges.join(mains.select("batch_id", "m", "m_order", "m_pos", F.col("year").alias("m_year")), ["batch_id", "m"])
+    edges = edges.join(prbs.select("batch_id", "p", "p_order", F.col("year").alias("p_year")), ["batch_id", "p"])
+    apart, same_year = F.abs(F.col("at") - F.col("m_pos")), F.coalesce(F.col("m_year") == F.col("p_year"), F.lit(False))
+    token_points = F.least(F.lit(of["token_cap"]), of["token"] * F.size("same_tokens"))
+    score = F.when(F.size("same_vins") > 0, of["vin"]).otherwise(0) + F.when(same_year, of["year"]).otherwise(0)
+    score = score + F.when(apart == 1, of["next_to"]).when(apart <= 3, of["near"]).otherwise(0) + token_points
+    edges = edges.withColumns({"apart": apart, "same_year": same_year}).withColumn("score", score.cast("int"))
+    strong = (F.col("score") >= READY_FROM) | ((F.col("score") >= READY_BESIDE_FROM) & F.coalesce(F.col("apart") == 1, F.lit(False)) & F.col("same_year"))
+    return edges.withColumn("strong", strong)
+
+
+def _taken(edges: DataFrame) -> DataFrame:
+    """(batch_id, m, p, m_order): the strong pairs that mains take, each in its turn, leading by READY_MARGIN.
+
+    Only a score within the margin of a strong one can matter, so weaker edges are left out. A main is settled once what
+    earlier undecided mains may still take cannot change its answer; all such mains settle in one round, and the
+    earliest undecided one of every batch always does.
+    """
+    open_ = cut_lineage(edges.filter(F.col("score") > READY_BESIDE_FROM - READY_MARGIN).select("batch_id", "m", "p", "m_order", "p_order", "score", "strong"))
+    takers = open_.groupBy("batch_id", "m").agg(F.max("strong").alias("may")).filter("may").drop("may")
+    open_ = open_.join(takers, ["batch_id", "m"])
+    taken = []
+    while True:
+        contended = open_.filter("strong").groupBy("batch_id", "p").agg(F.min("m_order").alias("first"))
+        seen = open_.join(contended, ["batch_id", "p"], "left").withColumn("free", F.coalesce(F.col("first") >= F.col("m_order"), F.lit(True)))
+        rank = F.struct("score", (-F.col("p_order")).alias("before"), "p", "strong")
+        state = seen.groupBy("batch_id", "m", "m_order").agg(
+            F.max(F.when(F.col("free"), rank)).alias("top"), F.sort_array(F.collect_list(F.when(F.col("free"), F.col("score"))), asc=False).alias("scores"), F.coalesce(F.max(F.when(~F.col("free"), F.col("score"))), F.lit(0)).alias("held")
+        )
+        second = F.coalesce(F.get("scores", F.lit(1)), F.lit(0))
+        lead = F.col("top.score") - F.greatest(second, "held")
+        takes = F.col("top.strong") & (lead >= READY_MARGIN)
+        never = (F.col("held") == 0) | ((F.col("top.score") > F.col("held")) & (~F.col("top.strong") | (F.col("top.score") - second < READY_MARGIN)))
+        state = cut_lineage(state.select("batch_id", "m", "m_order", F.col("top.p").alias("p"), F.coalesce(takes, F.lit(False)).alias("takes"), F.coalesce(never, F.lit(False)).alias("never")))
+        settled = state.filter("takes or never")
+        new = state.filter("takes").select("batch_id", "m", "p", "m_order")
+        taken.append(new)
+        gone = new.select("batch_id", "p", F.col("m_order").alias("_by"))
+        rest = open_.join(settled.select("batch_id", "m"), ["batch_id", "m"], "left_anti").join(gone, ["batch_id", "p"], "left")
+        open_ = cut_lineage(rest.filter("_by is null or _by > m_order").drop("_by"))
+        if open_.isEmpty():
+            break
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return cut_lineage(out)
+
+
+def _first_free(mains: DataFrame, prbs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(batch_id, m, ``name``, ``name``_n): in its turn, a main's first free partner of equal ``keys``, and how many are free.
+
+    Partners only are used up, so the first free one moves on in order: partner p is it from the time when all before it
+    are used until its own use. Times are the mains' turns.
+    """
+    never = F.lit(2**31 - 1)
+    by_order = W.partitionBy(*keys).orderBy("p_order").rowsBetween(W.unboundedPreceding, -1)
+    spans = prbs.withColumn("_until", F.coalesce("used_at", never)).withColumn("_from", F.coalesce(F.max("_until").over(by_order), F.lit(-1)))
+    starts = spans.filter("_until > _from").select(*keys, F.col("_from").alias("t"), F.lit(0).alias("_k"), F.struct("p", "_until").alias("_s"), F.lit(0).alias("_gone"), F.lit(None).cast("string").alias("m"))
+    uses = prbs.filter("used_at is not null").select(*keys, F.col("used_at").alias("t"), F.lit(0).alias("_k"), F.lit(None).cast("struct<p:string,_until:int>").alias("_s"), F.lit(1).alias("_gone"), F.lit(None).cast("string").alias("m"))
+    turns = mains.select(*keys, F.col("m_order").alias("t"), F.lit(-1).alias("_k"), F.lit(None).cast("struct<p:string,_until:int>").alias("_s"), F.lit(0).alias("_gone"), "m")
+    so_far = W.partitionBy(*keys).orderBy("t", "_k").rowsBetween(W.unboundedPreceding, 0)
+    rows = starts.unionByName(uses).unionByName(turns)
+    rows = rows.withColumn("_s", F.last("_s", ignorenulls=True).over(so_far)).withColumn("_gone", F.sum("_gone").over(so_far)).filter("m is not null")
+    total = prbs.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = rows.join(total, keys, "left")
+    first = F.when(F.col("_s._until") >= F.col("t"), F.col("_s.p"))
+    return rows.select("batch_id", "m", first.alias(name), (F.coalesce("_n", F.lit(0)) - F.col("_gone")).alias(f"{name}_n"))
+
+
+def pair_by_evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, unmatched) over batches of any size. Documents: batch_id, doc_id (string), pos, doc_type, year, vins, tokens.
+
+    Mains take partners in order of position. A main's answer is its best free partner; a tie goes to the earlier one. A
+    ready answer uses the partner up, others don't. ``reasons`` tell the evidence. Partners that share nothing but the
+    year, or nothing at all, are answers only where there is no better one, and are found by order, not by listing pairs.
+    Unmatched are the mains and compulsory documents in no ready pair.
     """
-    sizes = docs.groupBy("batch_id").agg(F.count("*").alias("files"))
-    refused = sizes.filter(F.col("files") > most_files)
-    accepted = docs.join(refused, "batch_id", "left_anti").filter(F.col("doc_type").isin("motor_main", "motor_prb"))
-    year = F.col("year").cast("string").alias("year")
-    rows = accepted.select("batch_id", F.col("doc_id").cast("string").alias("doc_id"), "pos", "doc_type", year, "vins", "tokens")
-    shape = "batch_id string, main_id string, prb_id string, score int, runner_up int, status string"
-    return rows.withColumn("batch_id", F.col("batch_id").cast("string")).groupBy("batch_id").applyInPandas(_picker(EVIDENCE_POINTS), shape), refused
+    doc = docs.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("doc_id").cast("string").alias("doc_id"), "pos", "doc_type", F.col("year").cast("string").alias("year"), "vins", "tokens")
+    turn = W.partitionBy("batch_id", "doc_type").orderBy("pos", "doc_id")
+    doc = cut_lineage(doc.filter(F.col("doc_type").isin("motor_main", "motor_prb")).withColumn("_order", F.row_number().over(turn)))
+    side = lambda kind, n: doc.filter(F.col("doc_type") == kind).select("batch_id", F.col("doc_id").alias(n), F.col("_order").alias(f"{n}_order"), F.col("pos").alias(f"{n}_pos"), "year", "vins", "tokens")
+    mains, prbs = side("motor_main", "m"), side("motor_prb", "p")
+    edges = cut_lineage(_scored_edges(mains, prbs))
+    taken = _taken(edges)
+    used = taken.select("batch_id", "p", F.col("m_order").alias("used_at"))
+    prbs = cut_lineage(prbs.join(used, ["batch_id", "p"], "left").select("batch_id", "p", "p_order", "year", "used_at"))
+
+    free = edges.join(used, ["batch_id", "p"], "left").filter("used_at is null or used_at >= m_order")
+    best = W.partitionBy("batch_id", "m").orderBy(F.desc("score"), "p_order")
+    ranked = free.withColumn("_rank", F.row_number().over(best)).withColumn("_years", F.count(F.when(F.col("same_year"), 1)).over(W.partitionBy("batch_id", "m"))).withColumn("_all", F.count("*").over(W.partitionBy("batch_id", "m")))
+    facts = F.struct("p", "score", "strong", "same_vins", "same_tokens", "apart", "same_year")
+    tops = ranked.filter("_rank <= 2").groupBy("batch_id", "m").agg(F.max(F.when(F.col("_rank") == 1, facts)).alias("b1"), F.max(F.when(F.col("_rank") == 2, F.col("score"))).alias("s2"), F.first("_years").alias("_years"), F.first("_all").alias("_all"))
+    of_year = _first_free(mains.filter("year is not null"), prbs.filter("year is not null"), ["batch_id", "year"], "by_year")
+    of_batch = _first_free(mains, prbs, ["batch_id"], "by_batch")
+    rows = mains.select("batch_id", "m").join(tops, ["batch_id", "m"], "left").join(of_year, ["batch_id", "m"], "left").join(of_batch, ["batch_id", "m"], "left")
+    rows = rows.filter("by_batch_n > 0")
+    year_points = F.lit(EVIDENCE_POINTS["year"])
+    plain_year = F.coalesce("by_year_n", F.lit(0)) - F.coalesce("_years", F.lit(0))  # free, same year, nothing else shared
+    plain = F.col("by_batch_n") - F.coalesce("_all", F.lit(0)) - plain_year
+    scores = F.concat(
+        F.filter(F.array(F.col("b1.score"), F.col("s2")), lambda x: x.isNotNull()),
+        F.when(plain_year > 1, F.array(year_points, year_points)).when(plain_year == 1, F.array(year_points)).otherwise(F.array().cast("array<int>")),
+        F.when(plain > 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array().cast("array<int>")),
+    )
+    rows = rows.withColumn("_scores", F.sort_array(scores, asc=False))
+    score, runner_up = F.get("_scores", F.lit(0)), F.coalesce(F.get("_scores", F.lit(1)), F.lit(0))
+    by_evidence = F.coalesce(F.col("b1.score") == score, F.lit(False))
+    partner = F.when(by_evidence, F.col("b1.p")).when(score == year_points, F.col("by_year")).otherwise(F.col("by_batch"))
+    reasons = F.filter(
+        F.array(
+            F.when(by_evidence & (F.size("b1.same_vins") > 0), F.concat(F.lit("vin: "), F.array_join("b1.same_vins", ", "))),
+            F.when(F.when(by_evidence, F.col("b1.same_year")).otherwise(score == year_points), F.lit("same year")),
+            F.when(by_evidence & (F.col("b1.apart") == 1), F.lit("next to each other")).when(by_evidence & (F.col("b1.apart") <= 3), F.lit("near each other")),
+            F.when(by_evidence & (F.size("b1.same_tokens") > 0), F.concat(F.lit("shared: "), F.array_join(F.slice("b1.same_tokens", 1, 5), ", "))),
+        ),
+        lambda r: r.isNotNull(),
+    )
+    ready = by_evidence & F.col("b1.strong") & (score - runner_up >= READY_MARGIN)
+    pairs = rows.select(
+        "batch_id", F.col("m").alias("main_id"), partner.alias("prb_id"), score.alias("score"), runner_up.alias("runner_up"),
+        F.when(ready, "ready_for_review").otherwise("needs_manual_check").alias("status"), reasons.alias("reasons"),
+    )
+    matched = taken.select("batch_id", F.explode(F.array("m", "p")).alias("doc_id"))
+    return pairs, doc.join(matched, ["batch_id", "doc_id"], "left_anti").select("batch_id", "doc_id", "doc_type")

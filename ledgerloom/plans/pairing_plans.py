@@ -88,7 +88,7 @@ def jn_19(spark, sf):
         F.col("conv_id").cast("string").alias("batch_id"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("turn").cast("int").alias("pos"),
         kind.alias("doc_type"), (F.length("text") % 3).alias("year"), "text",
     )
-    return P.pair_by_evidence(P.evidence_of(docs))[0]
+    return P.pair_by_evidence(P.evidence_of(docs))[0].withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query(

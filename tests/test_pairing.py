@@ -148,11 +148,67 @@ def test_anchor_cascade(spark):
     }
 
 
-def test_evidence_pairs_and_refused_batches(spark):
+def one_after_another(docs):
+    """The mains of a batch in turn, each against every free partner."""
+    pairs, unmatched = [], []
+    for batch in sorted({d[0] for d in docs}):
+        rows = sorted((d for d in docs if d[0] == batch), key=lambda d: (d[2], d[1]))
+        free = [d for d in rows if d[3] == "motor_prb"]
+        done = set()
+        for _, main, pos, kind, year, vins, tokens in rows:
+            if kind != "motor_main" or not free:
+                continue
+            def points(p):
+                n = sum(len(t) >= 5 or any(c.isdigit() for c in t) for t in set(tokens) & set(p[6]))
+                apart = abs(pos - p[2])
+                return 80 * bool(set(vins) & set(p[5])) + 20 * (year is not None and year == p[4]) + (18 if apart == 1 else 8 if apart <= 3 else 0) + min(22, 3 * n)
+            order = sorted(free, key=lambda p: -points(p))
+            best, second = order[0], points(order[1]) if len(order) > 1 else 0
+            high = points(best) >= 80 or (points(best) >= 44 and abs(pos - best[2]) == 1 and year is not None and year == best[4])
+            ready = high and points(best) - second >= 8
+            pairs.append((batch, main, best[1], points(best), second, "ready_for_review" if ready else "needs_manual_check"))
+            if ready:
+                done |= {main, best[1]}
+                free.remove(best)
+        unmatched += [(batch, d[1]) for d in rows if d[3] in ("motor_main", "motor_prb") and d[1] not in done]
+    return sorted(pairs), sorted(unmatched)
+
+
+EVIDENCE = "batch_id string, doc_id string, pos int, doc_type string, year int, vins array<string>, tokens array<string>"
+
+
+def paired(spark, rows):
+    pairs, unmatched = P.pair_by_evidence(spark.createDataFrame(rows, EVIDENCE))
+    return sorted(tuple(r)[:6] for r in pairs.collect()), sorted((r.batch_id, r.doc_id) for r in unmatched.collect())
+
+
+def test_evidence_pairs_equal_one_pass(spark):
+    rng = random.Random(21)
+    rows = []
+    for b in range(40):
+        for i in range(rng.randint(1, 14)):
+            kind = rng.choice(["motor_main", "motor_prb", "motor_main", "motor_prb", "fire"])
+            tokens = [rng.choice(["TOKEN1", "LONGWORD", "abc", "X9", "Y8", "Z7", "W6", "V5"]) for _ in range(rng.randint(0, 7))]
+            rows.append((f"b{b}", f"d{i:02d}", rng.choice([i, i, i - 1]), kind, rng.choice([2024, 2025, None]), rng.sample(["V1", "V2", "V3"], rng.choice([0, 0, 1])), tokens))
+    assert paired(spark, rows) == one_after_another(rows)
+
+
+def test_evidence_pairs_in_a_large_batch(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(5000):
+        kind = "motor_main" if i % 2 == 0 else "motor_prb"
+        rows.append(("big", f"d{i:05d}", i, kind, 2020 + i // 2 % 5, [f"V{i // 2}"] if rng.random() < 0.7 else [], [f"T{i // 4}", f"U{i // 2}", f"N{i // 2}"]))
+    got, unmatched = paired(spark, rows)
+    want, left = one_after_another(rows)
+    assert got == want and unmatched == left
+    assert sum(p[5] == "ready_for_review" for p in got) > 1000
+
+
+def test_evidence_reasons(spark):
     rows = [("a", str(i), i, "motor_main" if i % 2 == 0 else "motor_prb", 2025, ["V"] if i < 2 else [], ["TOKEN1"]) for i in range(4)]
-    rows += [("big", str(i), i, "motor_main", 2025, [], []) for i in range(21)]
-    docs = spark.createDataFrame(rows, "batch_id string, doc_id string, pos int, doc_type string, year int, vins array<string>, tokens array<string>")
-    pairs, refused = P.pair_by_evidence(docs)
-    got = sorted((r.main_id, r.prb_id, r.score, r.runner_up, r.status) for r in pairs.collect())
-    assert got == [("0", "1", 121, 31, "ready_for_review"), ("2", "3", 41, 0, "needs_manual_check")]
-    assert [r.batch_id for r in refused.collect()] == ["big"]
+    pairs, unmatched = P.pair_by_evidence(spark.createDataFrame(rows, EVIDENCE))
+    got = {r.main_id: r for r in pairs.collect()}
+    assert got["0"].reasons == ["vin: V", "same year", "next to each other", "shared: TOKEN1"] and got["0"].status == "ready_for_review"
+    assert got["2"].reasons == ["same year", "next to each other", "shared: TOKEN1"] and got["2"].prb_id == "3"
+    assert sorted(r.doc_id for r in unmatched.collect()) == ["2", "3"]
