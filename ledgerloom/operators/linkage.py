@@ -20,6 +20,10 @@ PLACEHOLDER_PLATES = ["other", "null", "fire", "pa", "ta", "asset", "misc", ""]
 
 
 # -- blocking --------------------------------------------------------------------------------------------------------
+#: Substrings of up to this many characters are blocks of their own; longer ones are told by several.
+NUMBER_PIECE = 15
+
+
 def pieces(text: Column, shortest: int, longest: int) -> Column:
     """Distinct substrings of ``shortest``..``longest`` characters."""
     sizes = F.sequence(F.lit(shortest), F.least(F.length(text), F.lit(longest)))
@@ -249,7 +253,12 @@ def _loose_pairs(parsed: DataFrame, stats: DataFrame, whole_numbers: bool) -> Da
     wanted = probes.filter("kind = 'address'").select("key", F.explode(variants).alias("number"), start.alias("start"))
     text = F.col("text")
     runs = F.regexp_extract_all(text, F.lit(r"([0-9][0-9/\-]*)"), F.lit(1))
-    numbers = number_tokens(text) if whole_numbers else F.array_distinct(F.flatten(F.transform(runs, lambda r: pieces(r, 1, 15))))
+    numbers = number_tokens(text) if whole_numbers else F.array_distinct(F.flatten(F.transform(runs, lambda r: pieces(r, 1, NUMBER_PIECE))))
+
+    # A number inside a longer run shares all its pieces with it; one longer than a piece is told by its runs of that size.
+    number_ = F.col("number")
+    long = F.lit(False) if whole_numbers else F.length(number_) > NUMBER_PIECE
+    blocks = F.when(long, X.grams("number", NUMBER_PIECE)).otherwise(F.array(number_))
 
     def tagged(tag: str, items: Column) -> Column:
         return F.transform(items, lambda b: F.concat(F.lit(tag), b))
@@ -259,7 +268,7 @@ def _loose_pairs(parsed: DataFrame, stats: DataFrame, whole_numbers: bool) -> Da
     )
     keys = wanted.select(
         F.struct("key", "number", "start").alias("key"),
-        F.array_union(F.array(F.concat(F.lit("n"), "number")), tagged("g", X.grams("start", 3))).alias("blocks"),
+        F.array_union(tagged("n", blocks), tagged("g", X.grams("start", 3))).alias("blocks"),
     )
     hits = join_on_rarest(keys, texts)
     whole = X.whole_number_in(F.col("key.number"), text) if whole_numbers else text.contains(F.col("key.number"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ledgerloom.session import cut_lineage
 
 
-def number_in_partitions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_in_partitions(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """1-based global positions over a range-partitioned frame with a ``_part`` column.
 
     The frame must be written out: sizes and ranks read it separately and have to see the same partitions. Each partition ranks its own rows; the small table of partition sizes gives every partition its offset.

@@ -167,14 +167,14 @@ def val_2(spark, sf):
 
 @query(
     "val_3_premium_ledger",
-    """WITH c AS (SELECT *, coalesce(commission_baht, cast(round(net_premium * commission_pct / 100, 2) as decimal(18,2))) AS cb FROM
+    """WITH c AS (SELECT *, coalesce(commission_baht, cast(round(coalesce(net_premium, 0) * coalesce(commission_pct, 0) * cast('0.01' as decimal(4,2)), 2) as decimal(18,2))) AS cb FROM
            (SELECT * REPLACE (cast(net_premium as decimal(18,2)) AS net_premium) FROM ledgers)),
        w AS (SELECT *, cast(round(cb * cast('0.10' as decimal(4,2)), 2) as decimal(18,2)) AS wh FROM c)
        SELECT id, coalesce(abs(net_premium + stamp_duty + vat - total_premium) > 0.02, false) AS rejected, cast(wh as double) AS wht_10pct,
-         cast(total_premium + coalesce(paired_prb_total, 0) - prepaid_tax_1pct - cb + wh as double) AS collected_amount FROM w WHERE commission_baht IS NOT NULL""",
+         cast(total_premium + coalesce(paired_prb_total, 0) - prepaid_tax_1pct - cb + wh as double) AS collected_amount FROM w""",
 )
 def val_3(spark, sf):
-    df = R.ledgers(spark, sf).filter("commission_baht is not null").withColumns(
+    df = R.ledgers(spark, sf).withColumns(
         {"wht_10pct": F.lit(None).cast("decimal(18,2)"), "rounding": F.lit(None).cast("decimal(18,2)")}
     )
     out = V.premium_ledger(df).select("id", "rejected", "wht_10pct", "collected_amount")

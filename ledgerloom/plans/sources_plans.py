@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import windows as WN
 from ledgerloom.plans import roles as R
 from ledgerloom.plans.registry import query
 from ledgerloom.session import ensure_checkpoint_dir
@@ -118,15 +117,19 @@ def str_1(spark, sf):
 @query("str_2_complete_batches", "SELECT batch_id, count(*) AS files FROM papers WHERE cast(batch_id as bigint) % 2 = 1 GROUP BY 1")
 def str_2(spark, sf):
     folder, schema = _arrivals(spark, sf)
-    return IN.complete_batches_once(RD.read_table(spark, folder, schema))
+    base = scratch(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    done = IN.complete_batches(IN.read_arrivals(spark, folder, schema)).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+    done.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(IN.COMPLETE_BATCH).parquet(f"{base}/out").select("batch_id", F.col("files").cast("long").alias("files"))
 
 
 @query("str_3_progress", "SELECT batch_id, count(*) AS done, CAST(count(*) + CASE WHEN cast(batch_id as bigint) % 2 = 0 THEN 5 ELSE 0 END AS bigint) AS total FROM papers GROUP BY batch_id")
 def str_3(spark, sf):
     folder, schema = _arrivals(spark, sf)
-    name = f"progress_{uuid.uuid4().hex}"
-    IN.progress(IN.read_arrivals(spark, folder, schema), name, f"{scratch(spark)}/cp").awaitTermination()
-    return spark.table(name).select("batch_id", "done", F.col("total").cast("long").alias("total"))
+    base = scratch(spark)
+    IN.progress(IN.read_arrivals(spark, folder, schema), f"{base}/out", f"{base}/cp").awaitTermination()
+    return IN.read_progress(spark, f"{base}/out").select("batch_id", "done", F.col("total").cast("long").alias("total"))
 
 
 @query("str_4_first_seen", "SELECT sha256(marker) AS sha256, count(*) AS files FROM papers GROUP BY 1")
@@ -145,5 +148,11 @@ def str_4(spark, sf):
     """SELECT file_id, CASE WHEN file_id > min(file_id) OVER (PARTITION BY marker) THEN min(file_id) OVER (PARTITION BY marker) END AS same_file_as FROM papers""",
 )
 def str_4b(spark, sf):
+    """Files arrive in order of file_id, two files of rows to a micro-batch; each points at the first with its content."""
+    base = scratch(spark)
     papers = R.papers(spark, sf).select("file_id", F.sha2("marker", 256).alias("sha256"))
-    return WN.first_seen(papers, ["sha256"], "file_id", "file_id", "same_file_as").select("file_id", "same_file_as")
+    early = papers.agg(F.percentile_approx("file_id", 0.5)).head()[0]
+    for part in (F.col("file_id") <= F.lit(early), F.col("file_id") > F.lit(early)):
+        papers.filter(F.coalesce(part, F.lit(True))).write.mode("append").parquet(f"{base}/in")
+        IN.process_pointers(IN.read_arrivals(spark, f"{base}/in", papers.schema), f"{base}/out", f"{base}/seen", f"{base}/cp").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("file_id", "same_file_as")

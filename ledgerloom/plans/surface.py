@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions.filenames import url_class
-from ledgerloom.operators import aggregates as A, filters as FL
+from ledgerloom.operators import aggregates as A, filters as FL, windows as WN
 from ledgerloom.operators.windows import global_positions
 from ledgerloom.plans import roles as R
 from ledgerloom.plans.registry import query
 from ledgerloom.schemas import SUMMARY_COLUMNS
+from ledgerloom.session import cut_lineage
 
 TODAY = date(2000, 6, 15)
 POLICY_VIEW = "id, policy_number, policy_type, insured_name, license_plate, cast(coverage_end as string) AS coverage_end"
@@ -225,9 +226,12 @@ def srt_2(spark, sf):
     return view(FL.page(FL.ordered(R.policies(spark, sf), "coverage_start"), 3, 50))
 
 
-@query("srt_3_nulls_last", "SELECT id, pdf_size FROM policies ORDER BY pdf_size DESC NULLS LAST, id LIMIT 100")
+@query("srt_3_nulls_last", "SELECT id, pdf_size, row_number() OVER (ORDER BY pdf_size DESC NULLS LAST, id) AS position FROM policies")
 def srt_3(spark, sf):
-    return FL.newest_first_nulls_last(R.policies(spark, sf).select("id", "pdf_size"), "pdf_size", "id").limit(100)
+    """Every row with its place; the sorted rows are written, and each file's rows are numbered in turn."""
+    rows = R.policies(spark, sf).select("id", "pdf_size")
+    ranged = FL.newest_first_nulls_last(rows, "pdf_size", "id").withColumn("_part", F.spark_partition_id())
+    return WN.number_in_partitions(cut_lineage(ranged), [F.desc_nulls_last("pdf_size"), "id"], "position")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set on a local master."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it names a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(configured)
     return configured

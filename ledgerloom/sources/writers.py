@@ -30,18 +30,32 @@ def write_backup(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return spark.read.text(path).groupBy("_table").agg(F.count("*").alias("rows"))
 
 
-def restored(current: DataFrame, rows: DataFrame, append: bool) -> DataFrame:
-    """The table after a restore: the backup alone, or the table plus the backup rows whose id it lacks."""
+def one_per_id(df: DataFrame, *position: str) -> DataFrame:
+    """One row per id: the first by ``position``, or by all columns as JSON where none is given. Rows without id all stay."""
+    order = F.struct(*position, F.to_json(F.struct("*"))) if position else F.to_json(F.struct("*"))
+    kept = df.filter("id is not null").groupBy("id").agg(F.min_by(F.struct("*"), order).alias("_row")).select("_row.*")
+    return kept.unionByName(df.filter("id is null"))
+
+
+def surplus_rows(df: DataFrame) -> DataFrame:
+    """(id, dropped): how many rows of an id ``one_per_id`` leaves out, for ids that have several."""
+    return df.filter("id is not null").groupBy("id").agg((F.count("*") - 1).alias("dropped")).filter("dropped > 0")
+
+
+def restored(current: DataFrame, rows: DataFrame, append: bool, *position: str) -> DataFrame:
+    """The table after a restore: the backup alone, or the table plus the backup rows whose id it lacks (the first of an
+    id by ``position``; ``surplus_rows`` tells what that leaves out)."""
     if not append:
         return rows
-    fresh = rows.dropDuplicates(["id"]).join(current.select("id"), "id", "left_anti")
+    fresh = one_per_id(rows, *position).join(current.select("id"), "id", "left_anti")
     return current.unionByName(fresh, allowMissingColumns=True)
 
 
-def write_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """A new snapshot folder; one row per id. The caller switches its pointer to the returned path."""
+def write_snapshot(df: DataFrame, root: str, version: str, *position: str) -> str:
+    """A new snapshot folder; one row per id, the first by ``position``. The caller switches its pointer to the returned
+    path."""
     path = f"{root.rstrip('/')}/{version}"
-    df.dropDuplicates(["id"]).write.mode("errorifexists").parquet(path)
+    one_per_id(df, *position).write.mode("errorifexists").parquet(path)
     return path
 
 
@@ -54,7 +68,7 @@ def append_valid(df: DataFrame, valid, path: str, reject_path: str) -> None:
 
 def write_json_report(totals: DataFrame, path: str) -> None:
     """Totals are one small aggregate; the key lists of a report go through ``write_key_list``."""
-    totals.coalesce(1).write.json(path)
+    totals.write.json(path)
 
 
 def write_key_list(keys: DataFrame, path: str) -> None:

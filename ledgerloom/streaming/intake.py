@@ -29,10 +29,21 @@ def process_new(arrivals: DataFrame, step: Callable[[DataFrame], DataFrame], tar
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress(arrivals: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Files seen and the latest per batch, updated as they come."""
+def progress(arrivals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Files seen and the latest per batch. Each micro-batch writes the batches it changed to a folder of its own id, so a
+    replayed one overwrites itself; ``read_progress`` takes the newest row of each batch."""
     counts = arrivals.groupBy("batch_id").agg(F.count("*").alias("done"), F.max("expected").alias("total"), F.max("file_id").alias("current"))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(changed: DataFrame, at: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{target}/at={at}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_progress(spark: SparkSession, target: str) -> DataFrame:
+    """(batch_id, done, total, current) as of the newest micro-batch."""
+    rows = spark.read.parquet(target)
+    return rows.groupBy("batch_id").agg(F.max_by(F.struct("done", "total", "current"), "at").alias("_row")).select("batch_id", "_row.*")
 
 
 def first_arrivals(arrivals: DataFrame, key: str = "sha256") -> DataFrame:
@@ -41,15 +52,42 @@ def first_arrivals(arrivals: DataFrame, key: str = "sha256") -> DataFrame:
 
 
 def with_pointers(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """``same_file_as`` for a micro-batch: the file seen earlier with the same hash, in past batches first."""
+    """``same_file_as`` for a micro-batch: the file seen earlier with the same hash, in past batches first.
+
+    ``seen`` (sha256, file_id) has one row per hash; append ``new_hashes`` of each batch to keep it so.
+    """
     marked = first_seen(batch, ["sha256"], "file_id", "file_id", "_here")
     if seen is None:
         return marked.withColumnRenamed("_here", "same_file_as")
-    earlier = seen.groupBy("sha256").agg(F.min("file_id").alias("_before"))
+    earlier = seen.select("sha256", F.col("file_id").alias("_before"))
     return marked.join(earlier, "sha256", "left").withColumn("same_file_as", F.coalesce("_before", "_here")).drop("_here", "_before")
 
 
-COMPLETE_BATCH = "batch_id string, files int, file_ids array<string>"
+def new_hashes(marked: DataFrame) -> DataFrame:
+    """(sha256, file_id) of a batch from ``with_pointers``: its files that point at none, each the first of its hash."""
+    return marked.filter("same_file_as is null and sha256 is not null").select("sha256", "file_id")
+
+
+def process_pointers(arrivals: DataFrame, target: str, seen_folder: str, checkpoint: str) -> StreamingQuery:
+    """Every file with ``same_file_as`` to ``target``, new hashes to ``seen_folder``, each in a folder of the micro-batch.
+
+    A batch reads the hashes of the batches before it only, so a replayed one gives the same rows.
+    """
+    spark = arrivals.sparkSession
+    schema = T.StructType([*arrivals.select("sha256", "file_id").schema.fields, T.StructField("at", T.IntegerType())])
+
+    def write(batch: DataFrame, at: int) -> None:
+        seen = spark.read.schema(schema).parquet(seen_folder).filter(F.col("at") < at) if at else None
+        batch = batch.persist()
+        marked = with_pointers(batch, seen)
+        new_hashes(marked).write.mode("overwrite").parquet(f"{seen_folder}/at={at}")
+        marked.write.mode("overwrite").parquet(f"{target}/batch={at}")
+        batch.unpersist()
+
+    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+COMPLETE_BATCH = "batch_id string, files int"
 
 
 def _barrier() -> StatefulProcessor:
@@ -60,18 +98,21 @@ def _barrier() -> StatefulProcessor:
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.files = handle.getMapState("files", "file_id string", "seen boolean")
+            self.count = handle.getValueState("count", "n int")
             self.released = handle.getValueState("released", "done boolean")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            expected = 0
+            expected, count = 0, self.count.get()[0] if self.count.exists() else 0
             for part in rows:
                 expected = max(expected, int(part["expected"].max()))
                 for file_id in part["file_id"]:
-                    self.files.updateValue((file_id,), (True,))
-            ids = sorted(k[0] for k in self.files.keys())
-            if len(ids) >= expected and not self.released.exists():
+                    if not self.files.containsKey((file_id,)):
+                        self.files.updateValue((file_id,), (True,))
+                        count += 1
+            self.count.update((count,))
+            if count >= expected and not self.released.exists():
                 self.released.update((True,))
-                yield pd.DataFrame({"batch_id": [key[0]], "files": [len(ids)], "file_ids": [ids]})
+                yield pd.DataFrame({"batch_id": [key[0]], "files": [count]})
 
         def close(self) -> None:
             pass
@@ -82,7 +123,7 @@ def _barrier() -> StatefulProcessor:
 def complete_batches(arrivals: DataFrame) -> DataFrame:
     """Batches all of whose files have arrived (columns batch_id, file_id, expected). Needs the RocksDB state store.
 
-    State per batch is its file ids, and the intake quota bounds those.
+    State is one entry per file and a count per batch; neither is read as a whole. Files follow by a join on batch_id.
     """
     return arrivals.select("batch_id", "file_id", "expected").groupBy("batch_id").transformWithStateInPandas(
         statefulProcessor=_barrier(), outputStructType=COMPLETE_BATCH, outputMode="Append", timeMode="None"

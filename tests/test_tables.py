@@ -207,3 +207,49 @@ def test_pointers_across_batches(spark):
     batch = spark.createDataFrame([("h1", "0005"), ("h2", "0006"), ("h2", "0007")], "sha256 string, file_id string")
     got = {r.file_id: r.same_file_as for r in IN.with_pointers(batch, seen).collect()}
     assert got == {"0005": "0001", "0006": None, "0007": "0006"}
+
+
+def test_pointers_through_the_stream(spark, folder):
+    schema = "file_id string, sha256 string"
+    batches = [[("1", "a"), ("2", "b"), ("3", "a")], [("4", "b"), ("5", "c"), ("6", None)], [("7", "c"), ("8", "a"), ("9", None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        IN.process_pointers(IN.read_arrivals(spark, f"{folder}/in", spark.createDataFrame([], schema).schema), f"{folder}/out", f"{folder}/seen", f"{folder}/cp").awaitTermination()
+    got = {r.file_id: r.same_file_as for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {"1": None, "2": None, "3": "1", "4": "2", "5": None, "6": None, "7": "5", "8": "1", "9": None}
+
+
+def test_progress_keeps_the_newest_row(spark, folder):
+    schema = "batch_id string, file_id string, expected int"
+    for rows in ([("a", "1", 3), ("b", "1", 1)], [("a", "2", 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        IN.progress(IN.read_arrivals(spark, f"{folder}/in", spark.createDataFrame([], schema).schema), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    assert {(r.batch_id, r.done, r.total, r.current) for r in IN.read_progress(spark, f"{folder}/out").collect()} == {("a", 2, 3, "2"), ("b", 1, 1, "1")}
+
+
+def test_one_row_per_id_by_position(spark, folder):
+    df = spark.createDataFrame([("1", "late", 9), ("1", "first", 2), ("2", "only", 5), (None, "x", 1), (None, "y", 2)], "id string, t string, at int")
+    assert sorted((r.id or "", r.t) for r in WR.one_per_id(df, "at").collect()) == [("", "x"), ("", "y"), ("1", "first"), ("2", "only")]
+    assert [(r.id, r.dropped) for r in WR.surplus_rows(df).collect()] == [("1", 1)]
+    path = WR.write_snapshot(df.filter("id is not null"), folder, "v2", "at")
+    assert {(r.id, r.t) for r in spark.read.parquet(path).collect()} == {("1", "first"), ("2", "only")}
+
+
+def test_folder_of_a_cluster_must_be_named():
+    from ledgerloom import session as S
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        S.ensure_checkpoint_dir(Session())
