@@ -147,8 +147,9 @@ def display_name(plate, doc_type, coverage_start, policy_type, risk_address, ins
     return F.coalesce(F.concat(stem, ending), F.lit(NEEDS_REVIEW_NAME))
 
 
-def archive_name(policy_type, plate, address, name, number, end, start, is_compulsory: Column | None = None) -> Column:
-    """Name in the archive folders, with the Buddhist year of the end date."""
+def archive_name(policy_type, plate, address, name, number, end, start, is_compulsory: Column | None = None, uploads: bool = False) -> Column:
+    """Name in the archive folders, with the Buddhist year of the end date. ``uploads`` names as the upload jobs do: burglary
+    like fire, third party and public liability like personal accident, and never a policy number."""
     kind = F.upper(F.trim(F.coalesce(F.col(policy_type), F.lit(""))))
     compulsory = (kind == "P") if is_compulsory is None else (is_compulsory | (kind == "P"))
     tail = F.coalesce(F.concat(F.lit("."), F.lpad(be_two_digits(end, start).cast("string"), 2, "0")), F.lit(""))
@@ -156,13 +157,17 @@ def archive_name(policy_type, plate, address, name, number, end, start, is_compu
     def label(*columns: str, fallback: str) -> Column:
         return F.coalesce(*[F.nullif(safe_file_text(c), F.lit("")) for c in columns], F.lit(fallback))
 
+    fire, person = ["FIRE", "IAR", "ASSET"], ["PA", "TA", "GOLF"]
+    if uploads:
+        fire, person = [*fire, "BURGLAR"], [*person, "3RD", "PUBLIC"]
+    last = [name, plate] if uploads else [name, plate, number]
     plate_text = F.coalesce(F.nullif(safe_file_text(no_blanks(plate), 40), F.lit("")), F.lit("ไม่ระบุทะเบียน"))
     return F.concat(
         F.when(compulsory, F.concat(plate_text, F.lit(" พรบ")))
         .when(kind == "M", F.concat(plate_text, F.lit(" กธ")))
-        .when(kind.isin("FIRE", "IAR", "ASSET"), F.concat(label(address, fallback="ไม่ระบุที่อยู่"), F.lit(" กธ")))
-        .when(kind.isin("PA", "TA", "GOLF"), F.concat(label(address, name, fallback="ไม่ระบุ"), F.lit(" PA")))
-        .otherwise(F.concat(label(name, plate, number, fallback="unknown"), F.lit(" กธ"))),
+        .when(kind.isin(*fire), F.concat(label(address, fallback="ไม่ระบุที่อยู่"), F.lit(" กธ")))
+        .when(kind.isin(*person), F.concat(label(address, name, fallback="ไม่ระบุ"), F.lit(" PA")))
+        .otherwise(F.concat(label(*last, fallback="unknown"), F.lit(" กธ"))),
         tail,
         F.lit(".pdf"),
     )

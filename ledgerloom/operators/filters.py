@@ -154,8 +154,9 @@ def newest_first_nulls_last(df: DataFrame, column: str, *tie: str) -> DataFrame:
 
 
 def repeatable_sample(df: DataFrame, keys: list[str], size: int, seed: int = 42) -> DataFrame:
-    """The ``size`` rows with the smallest keyed hash: the same rows on every run and any partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(size)
+    """The ``size`` rows with the smallest keyed hash (SHA-256 of the keys and the seed): the same rows on every run."""
+    mixed = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))), 256)
+    return df.orderBy(mixed, *keys).limit(size)
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

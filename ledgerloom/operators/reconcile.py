@@ -102,6 +102,14 @@ def file_presence(files: DataFrame, hits: DataFrame, name: str) -> DataFrame:
     return files.join(per_name, name, "left").withColumn("hits", F.coalesce("_hits", F.lit(0))).drop("_hits")
 
 
+def file_hits(files: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """Every hit of every file, one row each: the files' columns, origin and id. Files without a hit give none.
+
+    The rows are the answer itself, so their number is that of the hits; a join splits a name that very many share.
+    """
+    return files.filter(F.col(name).isNotNull()).join(hits.select(name, "origin", "id"), name)
+
+
 def copy_plan(source: DataFrame, target: DataFrame, by_time: bool = False, tolerance_seconds: int = 2) -> DataFrame:
     """``action`` write / skip / overwrite per source name from a target listing of the same names.
 

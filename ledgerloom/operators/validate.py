@@ -205,6 +205,18 @@ def merge_readings(first: DataFrame, second: DataFrame, keys: list[str]) -> Data
     return joined.select(*keys, F.coalesce(two, one).alias("value"), status.alias("status")).filter("value is not null")
 
 
+def merge_warnings(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """Per document: ``review_fields`` whose two readings differ, and ``warnings``, one for each of them, and one where net,
+    stamp and VAT miss the total by more than 1. ``merged``: keys, field, value, status, as ``merge_readings`` gives."""
+    amount = lambda f: F.max(F.when(F.col("field") == f, F.col("value").try_cast("decimal(18,2)")))
+    rows = merged.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col("status") == "review", F.col("field")))).alias("review_fields"), *[amount(a).alias(f"_{a}") for a in AMOUNTS])
+    net, stamp, vat, total = (F.col(f"_{a}") for a in AMOUNTS)
+    off = F.coalesce(F.abs(net + stamp + vat - total) > 1, F.lit(False))
+    messages = F.transform("review_fields", lambda f: F.concat(f, F.lit(": the two readings differ")))
+    warnings = F.concat(messages, F.when(off, F.array(F.lit("amounts: net + stamp + vat is not the total"))).otherwise(F.array().cast("array<string>")))
+    return rows.select(*keys, "review_fields", warnings.alias("warnings"))
+
+
 def infer_policy_type(df: DataFrame) -> DataFrame:
     guess = F.when(F.col("doc_type") == "motor_main", "M").when(F.col("doc_type") == "motor_prb", "P")
     return df.withColumn("policy_type", F.coalesce(F.nullif("policy_type", F.lit("")), guess))

@@ -278,6 +278,25 @@ def mrg_1(spark, sf):
     return V.merge_readings(first, second, ["doc_id"])
 
 
+@query(
+    "mrg_1b_merge_warnings",
+    """WITH l AS (SELECT id, net_premium, stamp_duty, vat, total_premium, l_linenumber AS n FROM (SELECT *, cast(split_part(id, '-', 2) as int) AS l_linenumber FROM ledgers)),
+       v AS (SELECT id, 'stamp_duty' AS differs FROM l WHERE stamp_duty IS NOT NULL AND n = 1 UNION ALL SELECT id, 'total_premium' FROM l WHERE n = 3)
+       SELECT l.id, coalesce(string_agg(v.differs, ',' ORDER BY v.differs), '') AS review_fields,
+         (CASE WHEN any_value(abs(net_premium + coalesce(stamp_duty, 0) + CASE WHEN n = 1 THEN 1 ELSE 0 END + vat - (total_premium + CASE WHEN n = 3 THEN 2 ELSE 0 END)) > 1 AND (stamp_duty IS NOT NULL)) THEN 1 ELSE 0 END) + count(v.differs) AS warnings
+       FROM l LEFT JOIN v ON l.id = v.id GROUP BY l.id""",
+)
+def mrg_1b(spark, sf):
+    """Two readings of the four amounts; the second reads the stamp 1 higher on first lines and the total 2 higher on third."""
+    df = R.ledgers(spark, sf).select("id", F.split_part("id", F.lit("-"), F.lit(2)).cast("int").alias("n"), *[F.col(a).cast("decimal(18,2)").alias(a) for a in V.AMOUNTS])
+    more = {"stamp_duty": F.when(F.col("n") == 1, 1).otherwise(0), "total_premium": F.when(F.col("n") == 3, 2).otherwise(0)}
+    first = df.unpivot("id", [F.col(a) for a in V.AMOUNTS], "field", "value")
+    second = df.withColumns({a: (F.col(a) + x).cast("decimal(18,2)") for a, x in more.items()}).unpivot("id", [F.col(a) for a in V.AMOUNTS], "field", "value")
+    text = lambda d: d.withColumn("value", F.col("value").cast("string"))
+    out = V.merge_warnings(V.merge_readings(text(first), text(second), ["id", "field"]), ["id"])
+    return out.select("id", F.array_join("review_fields", ",").alias("review_fields"), F.size("warnings").cast("long").alias("warnings"))
+
+
 @query(
     "mrg_2_fill_missing",
     """SELECT p.id, coalesce(p.pdf_filename, a.id) AS pdf_filename, coalesce(p.pdf_size, a.pdf_size) AS pdf_size FROM policies p

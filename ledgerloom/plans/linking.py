@@ -109,6 +109,18 @@ def rul_3(spark, sf):
     return parsed(spark, sf).groupBy("name", kind.alias("doc_kind")).agg(F.count("*").alias("files"))
 
 
+@query(
+    "rul_3b_preflight_skips",
+    """SELECT l_orderkey % 7 AS k, count(*) AS files FROM lineitem WHERE l_orderkey % 7 NOT IN (1, 2, 5) GROUP BY 1""",
+)
+def rul_3b(spark, sf):
+    """Names by remainder; the preflight rule skips two more than the loader's."""
+    name = F.expr("case l_orderkey % 7 when 1 then 'F' when 2 then 'งานแลป กธ.69' when 3 then 'กธ F.69' when 4 then 'กธ.69.pdf' when 5 then 'a.XLS' when 6 then 'พรบ.69' else 'ยกเลิก' end")
+    lines = R.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 7).alias("k"), name.alias("name"))
+    kept = lines.filter(RU.file_kind("name", skip=RU.PREFLIGHT_SKIP_NAMES).isNotNull())
+    return kept.groupBy("k").agg(F.count("*").alias("files"))
+
+
 @query("jn_10_link_type_aware", f"WITH {TYPED} SELECT path, policy_id, strategy, candidates, typed_candidates FROM linked")
 def jn_10(spark, sf):
     return L.link_typed(R.files(spark, sf), ordered_policies(spark, sf)).select("path", "policy_id", "strategy", "candidates", "typed_candidates")

@@ -110,9 +110,16 @@ def fn_10(spark, sf):
     return P.similar_names(names, names).withColumn("ratio", F.round(sequence_ratio("main_name", "prb_name"), 6))
 
 
-@query("fn_20_fuzzy_month")
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in D.THAI_MONTHS) + "]"
+
+
+@query(
+    "fn_20_fuzzy_month",
+    f"""WITH w AS (SELECT {_MONTHS}[month(coverage_start)] AS month, month(coverage_start) AS m FROM policies)
+       SELECT concat(substr(month, 1, m % 3 + 1), substr(month, m % 3 + 3)) AS word, count(*) AS rows, month FROM w GROUP BY ALL""",
+)
 def fn_20(spark, sf):
-    """Month words with one letter lost, put right (no SQL counterpart)."""
+    """Month words with one letter lost, put right: the month is the one of the date."""
     p = R.policies(spark, sf)
     word = F.get(F.array(*[F.lit(m) for m in D.THAI_MONTHS]), F.month("coverage_start") - 1)
     broken = F.concat(F.substring(word, F.lit(1), F.month("coverage_start") % 3 + 1), F.substring(word, F.month("coverage_start") % 3 + 3, F.lit(20)))

@@ -201,6 +201,20 @@ def jn_7(spark, sf):
     return RC.action_totals(plan)
 
 
+@query(
+    "jn_8b_every_hit",
+    """SELECT f.path, h.origin, h.id FROM files f JOIN (SELECT pdf_filename AS name, 'policies' AS origin, cast(id as string) AS id FROM policies
+         UNION ALL SELECT concat(p.pdf_filename), 'attachments', a.id FROM attachments a JOIN policies p ON a.policy_id = p.id AND a.doc_type = 'main') h ON f.name = h.name""",
+)
+def jn_8b(spark, sf):
+    """Every record behind every file: policies, and the main attachments under their policy's file name."""
+    policies = R.policies(spark, sf)
+    own = policies.select(F.col("pdf_filename").alias("name"), F.lit("policies").alias("origin"), F.col("id").cast("string").alias("id"))
+    mains = R.attachments(spark, sf).filter("doc_type = 'main'").select("policy_id", F.col("id").alias("att"))
+    hung = mains.join(policies, F.col("policy_id") == policies.id).select(F.col("pdf_filename").alias("name"), F.lit("attachments").alias("origin"), F.col("att").alias("id"))
+    return RC.file_hits(R.files(spark, sf).select("path", "name"), own.unionByName(hung), "name").select("path", "origin", "id")
+
+
 @query(
     "jn_8_file_presence",
     """WITH h AS (SELECT pdf_filename AS name, count(*) AS n, min(id) AS first_id FROM policies WHERE pdf_filename IS NOT NULL GROUP BY 1)
@@ -536,6 +550,20 @@ def val_5(spark, sf):
     return df.select("id", "policy_id", F.array_join("errors", ",").alias("errors"))
 
 
+@query(
+    "fn_27c_upload_names",
+    """WITH p AS (SELECT *, CASE WHEN customer_key % 5 = 0 THEN 'BURGLAR' WHEN customer_key % 5 = 1 THEN '3rd' WHEN customer_key % 5 = 2 THEN ' public ' ELSE policy_type END AS kind FROM policies)
+       SELECT id, concat(CASE upper(trim(kind)) WHEN 'M' THEN concat(replace(license_plate, ' ', ''), ' กธ') WHEN 'P' THEN concat(replace(license_plate, ' ', ''), ' พรบ')
+         WHEN 'FIRE' THEN concat(replace(insured_address, '/', ''), ' กธ') WHEN 'BURGLAR' THEN concat(replace(insured_address, '/', ''), ' กธ')
+         WHEN 'PA' THEN concat(replace(insured_address, '/', ''), ' PA') WHEN '3RD' THEN concat(replace(insured_address, '/', ''), ' PA') WHEN 'PUBLIC' THEN concat(replace(insured_address, '/', ''), ' PA')
+         ELSE concat(insured_name, ' กธ') END, '.', lpad(cast((year(coverage_end) + 543) % 100 as string), 2, '0'), '.pdf') AS file_name FROM p""",
+)
+def fn_27c(spark, sf):
+    kind = F.expr("case customer_key % 5 when 0 then 'BURGLAR' when 1 then '3rd' when 2 then ' public ' else policy_type end")
+    df = R.policies(spark, sf).withColumn("kind", kind)
+    return df.select("id", archive_name("kind", "license_plate", "insured_address", "insured_name", "policy_number", "coverage_end", "coverage_start", uploads=True).alias("file_name"))
+
+
 @query(
     "fn_27_archive_name_and_folder",
     """SELECT id, CASE policy_type WHEN 'M' THEN 'motor' WHEN 'P' THEN 'prb' WHEN 'FIRE' THEN 'fire' WHEN 'PA' THEN 'pa_ta' ELSE 'other' END AS folder,

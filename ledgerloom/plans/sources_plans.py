@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans import roles as R
 from ledgerloom.plans.registry import query
+from ledgerloom.schemas import LEGACY
 from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.sources import readers as RD, writers as WR
 from ledgerloom.streaming import intake as IN
@@ -156,3 +157,65 @@ def str_4b(spark, sf):
         papers.filter(F.coalesce(part, F.lit(True))).write.mode("append").parquet(f"{base}/in")
         IN.process_pointers(IN.read_arrivals(spark, f"{base}/in", papers.schema), f"{base}/out", f"{base}/seen", f"{base}/cp").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("file_id", "same_file_as")
+
+
+def _legacy_rows(spark, sf):
+    """Policies as rows of the legacy export, with quotes, blanks and a row without number for each cancelled one."""
+    p = R.policies(spark, sf)
+    given = {"policy": F.when(~F.col("manually_edited"), F.col("policy_number")), "namethai": F.concat(F.lit('"'), "insured_name", F.lit('", x')), "address1": F.col("insured_address"), "license": F.col("license_plate"), "app": F.when(F.col("customer_key") % 2 == 0, F.col("customer_key").cast("string"))}
+    return p.select(*[given.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in LEGACY.fields])
+
+
+_SHOWN = ["policy", "app", "namethai", "address1", "license"]
+_LEGACY_ROWS = """SELECT CASE WHEN NOT manually_edited THEN policy_number END AS policy, CASE WHEN customer_key % 2 = 0 THEN cast(customer_key as string) END AS app,
+    concat('"', insured_name, '", x') AS namethai, insured_address AS address1, license_plate AS license FROM policies"""
+
+
+@query("src_2_legacy_utf16", f"SELECT * FROM ({_LEGACY_ROWS}) WHERE policy IS NOT NULL")
+def src_2(spark, sf):
+    """Written in UTF-16 and read back: rows with a policy number."""
+    path = f"{scratch(spark)}/utf16"
+    _legacy_rows(spark, sf).write.option("header", True).option("encoding", "UTF-16").option("quote", '"').option("escape", '"').csv(path)
+    return RD.read_legacy_utf16(spark, path).select(*_SHOWN)
+
+
+@query("src_3_legacy_bom", f"SELECT * FROM ({_LEGACY_ROWS}) WHERE policy IS NOT NULL OR app IS NOT NULL")
+def src_3(spark, sf):
+    """Written in UTF-8 and read back: rows with a policy or an application number."""
+    path = f"{scratch(spark)}/utf8"
+    WR.write_export(_legacy_rows(spark, sf), path, "policy", "app")
+    return RD.read_legacy_bom(spark, path).select(*_SHOWN)
+
+
+def _customer_files(spark, sf):
+    """Customers of a nation, sorted, as one text file in the nation's folder."""
+    path = f"{scratch(spark)}/files"
+    lines = R.table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+    lines.repartition("nation").sortWithinPartitions("nation", "value").write.partitionBy("nation").text(path)
+    return path
+
+
+def _nation():
+    return F.regexp_extract("path", r"nation=(\d+)", 1).cast("long").alias("nation")
+
+
+@query("src_5_folder_listing", "SELECT cast(c_nationkey as bigint) AS nation, cast(sum(octet_length(encode(c_name)) + 1) as bigint) AS length FROM customer GROUP BY 1")
+def src_5(spark, sf):
+    return RD.list_files(spark, _customer_files(spark, sf), "*.txt").select(_nation(), "length")
+
+
+@query("src_9b_file_hashes", "SELECT cast(c_nationkey as bigint) AS nation, sha256(concat(string_agg(c_name, chr(10) ORDER BY c_name), chr(10))) AS sha256 FROM customer GROUP BY 1")
+def src_9b(spark, sf):
+    """Hash of each whole file."""
+    return RD.hash_files(spark, _customer_files(spark, sf), "*.txt").select(_nation(), "sha256")
+
+
+@query("src_7_review_map", "SELECT concat(cast(o_orderkey as string), '.pdf') AS filename, CASE WHEN o_orderstatus = 'O' THEN 'main' ELSE 'unknown' END AS doc_type, o_orderpriority AS text FROM orders")
+def src_7(spark, sf):
+    """A review map per clerk and priority, written as JSON, read back and flattened."""
+    parsed = F.map_filter(F.create_map(F.lit("doc_type"), F.when(F.col("o_orderstatus") == "O", "main"), F.lit("raw_text"), F.col("o_orderpriority")), lambda k, v: v.isNotNull())
+    entry = F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("key"), F.struct(parsed.alias("parsed")).alias("value"))
+    maps = R.table(spark, sf, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(entry)).alias("records")).select("records")
+    path = f"{scratch(spark)}/review"
+    maps.write.json(path)
+    return RD.read_review_lines(spark, path).select("filename", "doc_type", "text")

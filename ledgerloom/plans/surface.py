@@ -242,9 +242,9 @@ def srt_4(spark, sf):
     return A.group_counts(R.policies(spark, sf), F.col("company_code")).orderBy(F.desc("rows"), "company_code").limit(15)
 
 
-@query("srt_5_sample")
+@query("srt_5_sample", "SELECT path, name, length FROM files ORDER BY sha256(concat(path, '|42')), path LIMIT 300")
 def srt_5(spark, sf):
-    """300 files by keyed hash (xxhash64 has no SQL counterpart here)."""
+    """300 files by keyed hash."""
     return FL.repeatable_sample(R.files(spark, sf).select("path", "name", "length"), ["path"], 300)
 
 

@@ -78,8 +78,18 @@ MANIFEST = (
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
-    """A file-to-record map flattened: position, filename and the parsed fields."""
-    entries = spark.read.schema(REVIEW).option("multiLine", True).json(path).select(F.posexplode(F.map_entries("records")).alias("position", "e"))
+    """A file-to-record map flattened: position, filename and the parsed fields. A pretty-printed map is one value, so one
+    task reads a file; split a large one into lines of smaller maps and use ``read_review_lines``."""
+    return _flat_review(spark.read.schema(REVIEW).option("multiLine", True).json(path))
+
+
+def read_review_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from JSON lines, each with a map of its own; files split at line ends."""
+    return _flat_review(spark.read.schema(REVIEW).json(path))
+
+
+def _flat_review(maps: DataFrame) -> DataFrame:
+    entries = maps.select(F.posexplode(F.map_entries("records")).alias("position", "e"))
     field = lambda n: F.try_element_at(F.col("e.value.parsed"), F.lit(n))
     return entries.select(
         "position", F.col("e.key").alias("filename"), F.coalesce(field("doc_type"), F.lit("unknown")).alias("doc_type"),

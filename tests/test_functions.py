@@ -180,3 +180,23 @@ def test_heading_is_not_a_number(spark):
 def test_document_class(spark, facts, expected):
     cols = [F.lit(facts.get(k)).cast("string") for k in ("title", "raw", "ptype", "number", "given", "filename")]
     assert spark.range(1).select(RU.document_class(*cols)).first()[0] == expected
+
+
+def test_model_follows_the_chosen_make(spark):
+    text = "HONDA CITY\nTOYOTA ALTIS 1.8\nMODEL x"
+    row = E.read_fields(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert (row.car_make, row.car_model) == ("TOYOTA", "ALTIS 1.8")
+
+
+def test_vin_runs_beside_other_signs(spark):
+    vin = "MRHGM2640JP012345"
+    cases = [f"_{vin}_", f"เลข{vin}ตัว", f"x {vin}.", f"Z{vin}Z9"]
+    got = values(spark, cases, E.vin_candidates)
+    assert got == [[vin], [vin], [vin], []]
+
+
+def test_merge_warnings(spark):
+    rows = [("d", "net_premium", "100.00", "candidate"), ("d", "stamp_duty", "1.00", "review"), ("d", "vat", "7.00", "kept"), ("d", "total_premium", "110.00", "review"), ("e", "net_premium", "1.00", "kept")]
+    df = spark.createDataFrame(rows, "doc_id string, field string, value string, status string")
+    got = {r.doc_id: (r.review_fields, len(r.warnings)) for r in V.merge_warnings(df, ["doc_id"]).collect()}
+    assert got == {"d": (["stamp_duty", "total_premium"], 3), "e": ([], 0)}

@@ -253,3 +253,16 @@ def test_folder_of_a_cluster_must_be_named():
 
     with pytest.raises(RuntimeError):
         S.ensure_checkpoint_dir(Session())
+
+
+def test_long_house_numbers_are_found(spark):
+    from ledgerloom.operators import linkage as L
+
+    policies = spark.createDataFrame(
+        [("p1", "1กก 1", "12345/12345/12345 ถนนสีลม", "นาย ก", date(2026, 1, 1), "FIRE", 0), ("p2", "1กก 2", "12345/12345/12346 ถนนสีลม", "นาย ข", date(2026, 1, 1), "FIRE", 1)],
+        "id string, license_plate string, insured_address string, insured_name string, coverage_start date, policy_type string, pos int",
+    )
+    files = spark.createDataFrame([("12345-12345-12345ถนนสีลม กธ.69.pdf",)], "name string")
+    parsed = L.parsed_names(files, 20).first()
+    got = L.link_year_band(files, policies).first()
+    assert parsed.kind == "address" and len(parsed.number) == 17 and (got.matches, got.policy_id) == (1, "p1")
