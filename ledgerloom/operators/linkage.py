@@ -384,7 +384,13 @@ def scan_groups(files: DataFrame, keep: int = 1) -> DataFrame:
     Ranked per (facts, salt) first, so facts shared by a third of all files are cut in parallel.
     """
     rows = with_scan_facts(files.select("name").distinct()).drop("plain", "address_key")
-    return cut_lineage(_first_names(rows, [c for c in rows.columns if c != "name"], keep))
+    facts = [c for c in rows.columns if c != "name"]
+    return cut_lineage(_least_names(rows, facts) if keep == 1 else _first_names(rows, facts, keep))
+
+
+def _least_names(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first name per ``keys``, a partial aggregate: files that only differ in it are one row before any join."""
+    return rows.groupBy(*keys).agg(F.min("name").alias("name"))
 
 
 def _first_names(rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
@@ -430,8 +436,9 @@ def file_strict_cascade(policies: DataFrame, files: DataFrame) -> DataFrame:
     """
     rows, probes = _probed(policies, X.address_compact("address"))
     groups = scan_groups(files)
-    facts = ["year", "compulsory", "special", "name"]
-    plates = groups.filter("plate is not null").select("plate", *facts)
+    told = ["year", "compulsory", "special"]
+    facts = [*told, "name"]
+    plates = _least_names(groups.filter("plate is not null"), ["plate", *told])
     pairs = contained_pairs(
         plates.select(F.col("plate").alias("key")).distinct(),
         probes.filter("kind in ('M', 'P') and plate <> ''").select(F.col("plate").alias("text")).distinct(),
@@ -443,9 +450,8 @@ def file_strict_cascade(policies: DataFrame, files: DataFrame) -> DataFrame:
         .withColumn("tier", F.lit(0))
     )
     addressed = groups.filter("plate is null and strict_key is not null")
-    keyed = addressed.select(
-        F.explode(F.array_distinct(F.array("strict_key", F.substring("strict_key", 1, 12)))).alias("akey"), *facts
-    )
+    keyed = addressed.select(F.explode(F.array_distinct(F.array("strict_key", F.substring("strict_key", 1, 12)))).alias("akey"), *facts)
+    keyed = _least_names(keyed, ["akey", *told])
     wanting = probes.filter("kind in ('FIRE', 'ASSET', 'IAR', 'BURGLAR', 'PA', 'TA') and address <> ''")
     size = F.length("address")
     starts = F.when(size >= 15, F.array(F.struct(F.lit(2).alias("tier"), F.substring("address", 1, 15).alias("akey")), F.struct(F.lit(2).alias("tier"), F.substring("address", 1, 12).alias("akey"))))
@@ -482,7 +488,7 @@ def file_by_prefix_key(policies: DataFrame, files: DataFrame) -> DataFrame:
     probes = rows.select("probe", "probe.*").distinct()
     tried = probes.select("probe", "target", "compulsory_wanted", F.explode("tries").alias("t")).select("probe", "target", "compulsory_wanted", "t.*")
     words = tried.select("tried").distinct()
-    groups = scan_groups(files).filter("prefix_key is not null").select("prefix_key", "year", "compulsory", "name")
+    groups = _least_names(scan_groups(files).filter("prefix_key is not null"), ["prefix_key", "year", "compulsory"])
     keys = groups.select("prefix_key").distinct()
     extends = keys.select("prefix_key", F.explode(prefixes(F.col("prefix_key"), 1)).alias("tried")).join(words, "tried")
     starts = words.select("tried", F.explode(prefixes(F.col("tried"), 8)).alias("prefix_key")).join(keys, "prefix_key")
@@ -496,8 +502,9 @@ def file_by_first_token(policies: DataFrame, files: DataFrame) -> DataFrame:
     """id, file. Any policy with a plate by plate; then fire types by the first word of the address."""
     rows, probes = _probed(policies, F.split_part(F.substring(F.trim("address"), 1, 40), F.lit(" "), F.lit(1)))
     groups = scan_groups(files)
-    facts = ["year", "compulsory", "name"]
-    plates = groups.filter("plate is not null").select("plate", *facts)
+    told = ["year", "compulsory"]
+    facts = [*told, "name"]
+    plates = _least_names(groups.filter("plate is not null"), ["plate", *told])
     pairs = contained_pairs(
         plates.select(F.col("plate").alias("key")).distinct(), probes.filter("plate <> ''").select(F.col("plate").alias("text")).distinct()
     )
@@ -508,7 +515,7 @@ def file_by_first_token(policies: DataFrame, files: DataFrame) -> DataFrame:
     )
     by_token = (
         probes.filter("kind in ('FIRE', 'ASSET', 'IAR', 'BURGLAR') and address <> ''")
-        .join(groups.filter("plate is null").select(F.col("first_token").alias("address"), *facts), "address")
+        .join(_least_names(groups.filter("plate is null").withColumn("address", F.col("first_token")), ["address", *told]), "address")
         .withColumn("tier", F.lit(1))
     )
     shape = ["probe", "target", "kind", "tier", *facts]
