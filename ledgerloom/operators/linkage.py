@@ -277,13 +277,39 @@ def _loose_pairs(parsed: DataFrame, stats: DataFrame, whole_numbers: bool) -> Da
     return _renamed(plates, plate, "plate").unionByName(_renamed(names, name, "name")).unionByName(addresses)
 
 
-def _loose_stats(policies: DataFrame, expand: bool) -> DataFrame:
+def _loose_texts(expand: bool) -> dict[str, Column]:
     norm = X.loose_key if expand else X.plate_key
     plate = norm("license_plate")
-    return _policy_stats(
-        policies,
-        {"plate": F.when(~plate.isin("other", "null"), plate), "address": norm("insured_address"), "name": norm("insured_name")},
-    )
+    return {"plate": F.when(~plate.isin("other", "null"), plate), "address": norm("insured_address"), "name": norm("insured_name")}
+
+
+def _loose_stats(policies: DataFrame, expand: bool) -> DataFrame:
+    return _policy_stats(policies, _loose_texts(expand))
+
+
+def linked_ids(files: DataFrame, policies: DataFrame, band: int | None = None) -> DataFrame:
+    """(kind, key, year_be, id): every policy behind each key and year that file names ask for.
+
+    Without ``band`` those tied on the nearest year, as ``link_nearest_year`` counts them; with it those within so many
+    years or without a year, as ``link_year_band`` does. Files that share key and year share the rows: join ``parsed_names`` by
+    (kind, key, year_be) for the ids of a file. Keys without a year are not asked for.
+    """
+    nearest = band is None
+    names = parsed_names(files, 20)
+    stats = _loose_stats(policies, nearest)
+    pairs = cut_lineage(_loose_pairs(names, stats, nearest))
+    probe = names.filter("kind <> 'unknown' and key <> '' and year_be is not null").select("kind", "key", "year_be").distinct()
+    target, none = F.col("year_be") - 543, F.lit(-1)
+    if nearest:
+        away = D.year_distance(F.col("year"), F.col("year_be"))
+        best = probe.join(_by_key_and_year(pairs, stats), ["kind", "key"]).groupBy("kind", "key", "year_be").agg(F.min(away).alias("_a"))
+        asked = best.select("kind", "key", "year_be", F.explode(F.array_distinct(F.array(target - F.col("_a"), target + F.col("_a")))).alias("_y"))
+    else:
+        asked = probe.select("kind", "key", "year_be", F.explode(F.array_append(F.sequence(target - band, target + band), none)).alias("_y"))
+    sides = F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in _loose_texts(nearest).items()])
+    year = F.coalesce(D.coverage_year("coverage_start"), none)
+    members = policies.select("id", year.alias("_y"), F.explode(sides).alias("s")).select("id", "_y", "s.*").filter("text <> ''")
+    return asked.join(pairs, ["kind", "key"]).join(members, ["kind", "text", "_y"]).select("kind", "key", "year_be", "id").distinct()
 
 
 def link_nearest_year(files: DataFrame, policies: DataFrame, strict_year: bool = False) -> DataFrame:

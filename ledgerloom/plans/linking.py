@@ -160,6 +160,32 @@ def jn_9(spark, sf):
     return L.link_nearest_year(files, ordered_policies(spark, sf)).select("path", "matches", "policy_id")
 
 
+_MEMBERS = f"""members AS (SELECT k.kind, k.text, year(coverage_start) AS y, id
+    FROM (SELECT *, unnest([{{'kind': 'plate', 'text': lower(replace(license_plate, ' ', ''))}}, {{'kind': 'address', 'text': {_LOOSE_ADDR}}}, {{'kind': 'name', 'text': lower(replace(insured_name, ' ', ''))}}]) AS k FROM policies))"""
+
+
+@query(
+    "jn_9b_tied_ids",
+    f"""WITH {_loose_sql(_WHOLE, '')}, {_MEMBERS},
+       best AS (SELECT kind, key, year_be, min(away) AS away FROM cand WHERE year_be IS NOT NULL GROUP BY 1, 2, 3)
+       SELECT DISTINCT b.kind, b.key, b.year_be, m.id FROM best b JOIN pairs p ON b.kind = p.kind AND b.key = p.key JOIN members m ON p.kind = m.kind AND p.text = m.text AND abs(m.y - (b.year_be - 543)) = b.away""",
+)
+def jn_9b(spark, sf):
+    """The policies tied on the nearest year, per key and year asked for."""
+    return L.linked_ids(R.files(spark, sf), ordered_policies(spark, sf))
+
+
+@query(
+    "jn_11b_band_ids",
+    f"""WITH {_loose_sql(_PART, '')}, {_MEMBERS},
+       q AS (SELECT DISTINCT kind, key, year_be FROM parsed WHERE year_be IS NOT NULL)
+       SELECT DISTINCT q.kind, q.key, q.year_be, m.id FROM q JOIN pairs p ON q.kind = p.kind AND q.key = p.key JOIN members m ON p.kind = m.kind AND p.text = m.text AND abs(m.y - (q.year_be - 543)) <= 1""",
+)
+def jn_11b(spark, sf):
+    """The policies within a year, per key and year asked for."""
+    return L.linked_ids(R.files(spark, sf), ordered_policies(spark, sf), 1)
+
+
 @query(
     "jn_11_link_year_band",
     f"""WITH {_loose_sql(_PART, '')},
