@@ -7,9 +7,17 @@ from pyspark.sql import Column, functions as F
 from ledgerloom.functions.text import no_blanks, western_digits
 
 # Month names, January to December.
-THAI_MONTHS = "มกราคม กุมภาพันธ์ มีนาคม เมษายน พฤษภาคม มิถุนายน กรกฎาคม สิงหาคม กันยายน ตุลาคม พฤศจิกายน ธันวาคม".split()
-THAI_MONTHS_SHORT = "ม.ค. ก.พ. มี.ค. เม.ย. พ.ค. มิ.ย. ก.ค. ส.ค. ก.ย. ต.ค. พ.ย. ธ.ค.".split()
-ENGLISH_MONTHS = "january february march april may june july august september october november december".split()
+THAI_MONTHS = [
+    "มกราคม", "กุมภาพันธ์", "มีนาคม", "เมษายน", "พฤษภาคม", "มิถุนายน", "กรกฎาคม", "สิงหาคม", "กันยายน", "ตุลาคม",
+    "พฤศจิกายน", "ธันวาคม",
+]
+THAI_MONTHS_SHORT = [
+    "ม.ค.", "ก.พ.", "มี.ค.", "เม.ย.", "พ.ค.", "มิ.ย.", "ก.ค.", "ส.ค.", "ก.ย.", "ต.ค.", "พ.ย.", "ธ.ค.",
+]
+ENGLISH_MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december",
+]
 
 _MONTH_ALTERNATIVES = "|".join(m.replace(".", r"\.") for m in THAI_MONTHS_SHORT + THAI_MONTHS)
 THAI_DATE = rf"(\d{{1,2}})\s*({_MONTH_ALTERNATIVES})\s*(\d{{2,4}})"

@@ -25,10 +25,10 @@ ADDRESS_WORDS = [
 ]
 
 # Words common to every schedule, useless as identity tokens.
-STOP_WORDS = (
-    "tokio marine safety insurance thailand policy schedule the and for from with item company code motor "
-    "vehicle insured coverage premium baht direct agent"
-).split()
+STOP_WORDS = [
+    "tokio", "marine", "safety", "insurance", "thailand", "policy", "schedule", "the", "and", "for", "from", "with",
+    "item", "company", "code", "motor", "vehicle", "insured", "coverage", "premium", "baht", "direct", "agent",
+]
 
 
 def _text(value) -> Column:

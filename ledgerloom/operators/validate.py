@@ -12,10 +12,10 @@ AMOUNTS = ["net_premium", "stamp_duty", "vat", "total_premium"]
 # Least confidence by field for a value to be taken.
 CONFIDENCE = {"policy_number": 95, "license_plate": 95, "chassis_no": 95, "coverage_start": 70, "coverage_end": 70}
 # Fields a second look may fill for review, and boilerplate that is no name.
-REVIEW_FIELDS = (
-    "policy_number insured_name insured_address license_plate license_province chassis_no car_make car_model car_year "
-    "coverage_start coverage_end"
-).split()
+REVIEW_FIELDS = [
+    "policy_number", "insured_name", "insured_address", "license_plate", "license_province", "chassis_no",
+    "car_make", "car_model", "car_year", "coverage_start", "coverage_end",
+]
 BOILERPLATE = ["กรมธรรม์ประกันภัยนี้", "อิเล็กทรอนิกส์", "สำนักงาน คปภ"]
 CENT = "decimal(18,2)"
 

@@ -57,13 +57,15 @@ DOCUMENT_TYPES = (
 SUPPORT_TYPES = "motor_prb renewal_notice endorsement credit_note invoice receipt unknown".split()
 
 # Columns of the legacy export.
-LEGACY_COLUMNS = (
-    "app policy insurance policytype newrenew namethai telephone address1 address2 province postcode license "
-    "licenseprovince chasis model modelextend modelyear damage datestart dateend datenotify datereceive datecancel "
-    "datepolicyreceive netpremium stamp vat totalpremium agent kpp remark1 remarkyok onepercent discountper comm "
-    "agentcomm email prefix keyby seat cc weight equipment carcodeprb appprb appnext dateinsurance datecartax datesent "
-    "namethai1 datebirth1 namethai2 datebirth2 theft deduct"
-).split()
+LEGACY_COLUMNS = [
+    "app", "policy", "insurance", "policytype", "newrenew", "namethai", "telephone", "address1", "address2",
+    "province", "postcode", "license", "licenseprovince", "chasis", "model", "modelextend", "modelyear", "damage",
+    "datestart", "dateend", "datenotify", "datereceive", "datecancel", "datepolicyreceive", "netpremium", "stamp",
+    "vat", "totalpremium", "agent", "kpp", "remark1", "remarkyok", "onepercent", "discountper", "comm", "agentcomm",
+    "email", "prefix", "keyby", "seat", "cc", "weight", "equipment", "carcodeprb", "appprb", "appnext",
+    "dateinsurance", "datecartax", "datesent", "namethai1", "datebirth1", "namethai2", "datebirth2", "theft",
+    "deduct",
+]
 
 
 def _struct(**columns: T.DataType) -> T.StructType:
