@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.shared import arrow_map
 
-SAMPLE = 6_000  # labelled documents that are neighbours, at most
+SAMPLE = 5_000  # labelled documents that are neighbours, at most
+COLUMNS = 1_600  # columns that the singular vectors are fitted on, those in most documents
 RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 12.0
@@ -105,21 +106,22 @@ def fit_quality(sample: DataFrame, rank: int = RANK) -> QualityModel:
     y = np.array([r.y for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), float(y.mean()) if len(y) else 0.5)
-    x = np.zeros((len(rows), SIZE), np.float32)
-    for i, r in enumerate(rows):
-        n = len(r.counts) // 8
-        x[i, np.frombuffer(r.counts, "<i4", n)] = np.frombuffer(r.counts, "<f4", n, 4 * n)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.3)
-    model = QualityModel(idf, np.zeros((0, 0)), np.zeros((0, 0)), y, float(y.mean()))
-    z = np.log1p(x) * idf
-    z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
-    used = np.flatnonzero((x > 0).any(0))
-    _, vectors = np.linalg.eigh((z[:, used].T @ z[:, used]).astype(np.float64))
+    sparse = [(np.frombuffer(r.counts, "<i4", len(r.counts) // 8), np.frombuffer(r.counts, "<f4", offset=len(r.counts) // 2)) for r in rows]
+    held = np.bincount(np.concatenate([at for at, _ in sparse]), minlength=SIZE)
+    idf = np.log((1 + len(y)) / (1 + held)).astype(np.float32) + np.float32(0.3)
+    used = np.sort(np.argsort(-held, kind="stable")[: min(COLUMNS, int((held > 0).sum()))])
+    x = np.zeros((len(y), len(used)), np.float32)
+    place = np.full(SIZE, -1)
+    place[used] = np.arange(len(used))
+    for i, (at, n) in enumerate(sparse):
+        known = place[at] >= 0
+        x[i, place[at[known]]] = np.log1p(n[known]) * idf[at[known]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     basis = np.zeros((SIZE, min(rank, len(used))), np.float32)
     basis[used] = vectors[:, ::-1][:, : basis.shape[1]]
-    model.basis = basis
-    model.vectors = model.embed(x).astype(np.float32)
-    return model
+    v = x @ basis[used]
+    return QualityModel(idf, basis, (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).astype(np.float32), y, float(y.mean()))
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
