@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerloom.llm.files import NewFile, open_input
 from ledgerloom.llm.shared import materialize
-from ledgerloom.llm.tokens import END_ID, Encoder
+from ledgerloom.llm.tokens import END_ID, encoder
 
 MAGIC = b"PFOR1\0"
 BLOCK = 1024
@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         part, out = TaskContext.get().partitionId(), None
         for b in batches:
             for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
@@ -173,4 +173,5 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pack(rows)
 
-    return manifest.select("path", "bytes", "start").repartition("path").mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    files = manifest.select("path", "bytes", "start")
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, "id long, start long, n_tokens long, ids binary")

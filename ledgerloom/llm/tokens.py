@@ -1,19 +1,22 @@
-"""Token ids of whole texts by a public tokenizer, each distinct piece encoded once per task."""
+"""Token ids of whole texts by a public tokenizer, each distinct piece encoded once per worker while it is in use."""
 
 from __future__ import annotations
 
+import os
 import re
-
-import numpy as np
+from array import array
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 END_ID = 1
-MAX_CACHED = 300_000
+MAX_CACHED = 250_000  # pieces of either generation
 
 #: Blanks where this tokenizer family ends a piece, as in Unicode's White_Space.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACED = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-_ASCII_BLANK = re.compile("[^\t\n\x0b\x0c\r ]+")
+#: Letters whose run surely ends where an ASCII sign or blank follows, so that a word is one piece with or without its comma.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[\t-\r -/:-@\\[-`{-~]|\\Z)"
+_SPACED = re.compile(f" ?{_LETTERS}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_UNSPACED = re.compile(f"{_LETTERS}|[^\t\n\x0b\x0c\r ]+")
+_WIDE = re.compile("[^\x00-\xff]")
 
 
 class Encoder:
@@ -21,6 +24,7 @@ class Encoder:
     ids are those of its blank-separated pieces in order; a piece keeps the blank before it where the vocabulary does."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -29,21 +33,41 @@ class Encoder:
         self.tokenizer.no_padding()
         ids = [x.ids for x in self.tokenizer.encode_batch(["a b", "a", "b"], add_special_tokens=False)]
         drops_blanks = ids[0] == ids[1] + ids[2]
-        self.pieces = (_ASCII_BLANK if drops_blanks else _SPACED).findall
+        lowers = self.tokenizer.encode("\u00c9A", add_special_tokens=False).ids == self.tokenizer.encode("\u00e9a", add_special_tokens=False).ids
+        self.pieces, self.lowers = (_UNSPACED if drops_blanks else _SPACED).findall, lowers
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
+        if self.lowers and not _WIDE.search(text):  # as the vocabulary does; beyond these letters it is left to it
+            text = text.lower()
         parts = self.pieces(text)
         known = self.known
-        if fresh := [p for p in set(parts) if p not in known]:
+        if fresh := set(parts).difference(known):
             if len(known) + len(fresh) > MAX_CACHED:
-                known.clear()
-                fresh = list(set(parts))
-            for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+                self.older, self.known = known, {}
+                known, fresh = self.known, set(parts)
+            older, new = self.older, []
+            for piece in fresh:
+                if (ids := older.get(piece)) is None:
+                    new.append(piece)
+                else:
+                    known[piece] = ids
+            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[piece] = array("I", found.ids).tobytes()
         return b"".join(map(known.__getitem__, parts))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process and file, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
