@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.session import ensure_checkpoint_dir
 
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,16 +36,17 @@ def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Apply a batch function, built once per task, to every Arrow batch of ``df``."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]], schema: str) -> DataFrame:
+    """Apply a batch function, built once per task, to every Arrow batch of ``df``. It gives one batch or several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+                for part in [out] if isinstance(out, pa.RecordBatch) else out or []:
+                    if part.num_rows:
+                        yield part
 
     return df.mapInArrow(run, schema)
 
@@ -88,18 +89,23 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set, lowest bit first."""
-    total = np.zeros((8, 256), np.int64)
-    for at in range(0, len(hashes), 1 << 18):
-        octets = hashes[at : at + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-        octets += np.arange(0, 2048, 256)
-        total += np.bincount(octets.ravel(), minlength=2048).reshape(8, 256)
-    return (total @ _BITS).ravel()
+    """How often each of the 64 bits is set in each row of ``hashes`` (rows x n), lowest bit first."""
+    rows, n = hashes.shape
+    total = np.zeros((rows * 8, 256), np.int64)
+    slot = np.arange(rows)[:, None, None] * 2048 + np.arange(0, 2048, 256)
+    step = max(1, (1 << 18) // rows)
+    for at in range(0, n, step):
+        part = np.ascontiguousarray(hashes[:, at : at + step], "<u8")
+        octets = part.view(np.uint8).reshape(rows, -1, 8) + slot
+        total += np.bincount(octets.ravel(), minlength=rows * 2048).reshape(rows * 8, 256)
+    return (total @ _BITS).reshape(rows, 64)
+
+
+def majority_words(hashes: np.ndarray) -> np.ndarray:
+    """For each row of hashes the 64-bit word whose bits are those set in over half of them; 0 for empty rows."""
+    bits = (bit_counts(hashes) * 2 > hashes.shape[1]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def majority_word(hashes: np.ndarray) -> int:
-    """The 64-bit word whose bits are those set in over half of the hashes."""
-    if len(hashes) == 0:
-        return 0
-    bits = (bit_counts(hashes) * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(majority_words(hashes[None, :])[0])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm.components import star_roots
-from ledgerloom.llm.shared import WordHashes, arrow_map, majority_word, materialize, mix64, shingle_hashes
+from ledgerloom.llm.shared import WordHashes, arrow_map, majority_word, majority_words, materialize, mix64, shingle_hashes
 
 BITS = 64
 STEP = 4
@@ -274,7 +274,7 @@ def near_sketches(docs: DataFrame) -> DataFrame:
 
     def make():
         hashes = WordHashes()
-        salts = [np.uint64(0x51ED270B0A1F3C55 * (2 * k + 1) & (2**64 - 1)) for k in range(max(TREES, SIGNATURE_WORDS))]
+        salts = np.array([0x51ED270B0A1F3C55 * (2 * k + 1) & (2**64 - 1) for k in range(max(TREES, SIGNATURE_WORDS))], np.uint64)[:, None]
         top = np.uint64((2**TREE_BITS - 1) << (64 - TREE_BITS))
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -282,8 +282,8 @@ def near_sketches(docs: DataFrame) -> DataFrame:
             for text in b.column("text").to_pylist():
                 all_words = hashes.of(_text_words(text or ""))
                 words, runs = np.unique(all_words), np.unique(shingle_hashes(all_words, NEAR_SHINGLE))
-                trees.append(np.array([majority_word(mix64(words ^ s)) for s in salts[:TREES]], np.uint64) & top)
-                sigs.append(np.array([majority_word(mix64(runs ^ s)) for s in salts[:SIGNATURE_WORDS]], np.uint64).tobytes())
+                trees.append(majority_words(mix64(words ^ salts[:TREES])) & top)
+                sigs.append(majority_words(mix64(runs ^ salts[:SIGNATURE_WORDS])).tobytes())
             flat = pa.array(np.concatenate(trees).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES), pa.int32()), flat)
             return pa.RecordBatch.from_arrays([b.column("id"), lists, pa.array(sigs, pa.binary())], ["id", "trees", "sig"])

@@ -105,7 +105,7 @@ class Voters:
     def _hits(self, word: str) -> tuple[tuple[int, ...], float]:
         """The lists that a word is in, and its greatest weight."""
         if (found := self.known.get(word)) is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             keys = ["=" + word] + [word[:n] + "-" for n in BEGINNINGS if len(word) > n]
             keys = [k for k in keys if k in self.column]
