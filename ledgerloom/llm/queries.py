@@ -84,8 +84,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op7_minhash_containment",
     """
-    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM benchmark),
-         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM documents),
+    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
          si AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
          sd AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
          n AS (SELECT item_id, count(*) AS n FROM si GROUP BY 1),
