@@ -40,6 +40,19 @@ def jn_18(spark, sf):
     return P.pair_documents(documents(spark, sf)).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query(
+    "jn_18b_assigned_pairs",
+    """WITH d AS (SELECT file_id, pos, event_type, batch_id, day(day) AS d, marker FROM papers WHERE event_type IN ('signup', 'purchase')),
+       a AS (SELECT *, row_number() OVER (PARTITION BY event_type, batch_id, d, marker ORDER BY pos) AS k FROM d),
+       equal AS (SELECT m.file_id AS main_id, p.file_id AS prb_id, 55 AS score FROM a m JOIN a p ON m.event_type = 'signup' AND p.event_type = 'purchase' AND m.batch_id = p.batch_id AND m.d = p.d AND m.marker = p.marker AND m.k = p.k),
+       b AS (SELECT *, row_number() OVER (PARTITION BY event_type, batch_id, d ORDER BY pos) AS r FROM a WHERE file_id NOT IN (SELECT main_id FROM equal UNION ALL SELECT prb_id FROM equal))
+       SELECT * FROM equal UNION ALL SELECT m.file_id, p.file_id, 45 FROM b m JOIN b p ON m.event_type = 'signup' AND p.event_type = 'purchase' AND m.batch_id = p.batch_id AND m.d = p.d AND m.r = p.r""",
+)
+def jn_18b(spark, sf):
+    """Where only plate, year and equal names count, the greedy answer has a closed form: equal names by rank, then the rest."""
+    return P.pair_documents(documents(spark, sf)).select("main_id", "prb_id", "score")
+
+
 @query(
     "agg_11_outcome_summary",
     """WITH c AS (SELECT batch_id, day(day) AS d, count(*) FILTER (event_type = 'signup') AS m, count(*) FILTER (event_type = 'purchase') AS p FROM papers GROUP BY 1, 2)
