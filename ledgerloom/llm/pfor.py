@@ -12,6 +12,7 @@ values (u32). All numbers are little-endian.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from ledgerloom.llm.tokens import END_ID, encoder
 MAGIC = b"PFOR1\0"
 BLOCK = 1024
 PERCENTILE = 95
+CACHED = 500_000  # pieces of either generation that a worker keeps
 _HEAD, _FOOT = struct.Struct("<HBHI"), struct.Struct("<IIQQ")
 
 
@@ -34,7 +36,8 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype(np.uint64)
     wide = np.frexp(rest.astype(np.float64))[1]  # bits of each difference
-    width = int(np.percentile(wide, percentile, method="higher"))
+    within = np.cumsum(np.bincount(wide, minlength=33))
+    width = int(np.searchsorted(within, math.ceil(percentile / 100 * (len(ids) - 1)) + 1))
     over = np.flatnonzero(wide > width)
     shown = (rest & np.uint64((1 << width) - 1)).astype("<u4")
     bits = np.unpackbits(shown.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
@@ -135,7 +138,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, CACHED), np.array([END_ID], "<u4").tobytes()
         part, out = TaskContext.get().partitionId(), None
         for b in batches:
             for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):

@@ -23,7 +23,8 @@ class Encoder:
     """Ids as little-endian 32-bit integers. Both vocabularies split a text at blanks before they merge bytes, so a text's
     ids are those of its blank-separated pieces in order; a piece keeps the blank before it where the vocabulary does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = MAX_CACHED):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
@@ -44,7 +45,7 @@ class Encoder:
         parts = self.pieces(text)
         known = self.known
         if fresh := set(parts).difference(known):
-            if len(known) + len(fresh) > MAX_CACHED:
+            if len(known) + len(fresh) > self.cached:
                 self.older, self.known = known, {}
                 known, fresh = self.known, set(parts)
             older, new = self.older, []
@@ -61,10 +62,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached: int = MAX_CACHED) -> Encoder:
     """One encoder per worker process and file, kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cached)
     return _ENCODERS[path]
 
 
