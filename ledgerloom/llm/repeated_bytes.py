@@ -26,7 +26,8 @@ from ledgerloom.llm.shared import arrow_map, materialize, mix64
 LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 19
-MOST = 512
+MOST = 512  # classes of a bucket that is gathered
+AT_ONCE = 20_000  # windows sorted together, or digested between two output batches
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -187,13 +188,22 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     joined = texts.join(lists.withColumnRenamed("id", "id2"), (F.col("id").eqNullSafe(F.col("id2"))) & (texts.key == lists.key)).select("id", texts.key.alias("key"), "body", "items")
 
     def make():
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc, key, body, items in zip(*(b.column(c).to_pylist() for c in ("id", "key", "body", "items"))):
-                rows += [(i["h"], i["d1"], i["d2"], doc, key, i["s"], i["crowded"], body[i["s"] : i["e"] + length]) for i in items]
+        def told(rows: list[tuple]) -> pa.RecordBatch:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["h", "d1", "d2", "id", "key", "s", "crowded", "context"])
 
+        def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for doc, key, body, items in zip(*(b.column(c) for c in ("id", "key", "body", "items"))):
+                doc, key, body = doc.as_py(), key.as_py(), body.as_py()
+                for i in items.as_py():
+                    rows.append((i["h"], i["d1"], i["d2"], doc, key, i["s"], i["crowded"], body[i["s"] : i["e"] + length]))
+                    if len(rows) >= AT_ONCE // 2:
+                        yield told(rows)
+                        rows = []
+            if rows:
+                yield told(rows)
+
         return batch
 
     return arrow_map(joined, make, "h long, d1 long, d2 long, id long, key long, s int, crowded boolean, context binary")
@@ -221,8 +231,9 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, windows = [], 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in (*_CLASS, "id", "key", "s", "context"))):
-                if windows > 40_000 and row[0] != held[-1][0]:
+            for row in zip(*(b.column(c).to_pylist() for c in (*_CLASS, "id", "key", "s")), b.column("context")):
+                row = (*row[:6], row[6].as_py())
+                if windows > AT_ONCE and row[0] != held[-1][0]:
                     yield solve(held)
                     held, windows = [], 0
                 held.append(row)
@@ -238,17 +249,25 @@ def _digested_buckets(contexts: DataFrame, length: int) -> DataFrame:
     """The same for buckets that don't: windows are grouped by their digest."""
 
     def make():
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        def told(b: pa.RecordBatch, owners: list, within: list, digests: list) -> pa.RecordBatch:
+            w = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            owner, place = pa.array(np.concatenate(owners)), pa.array(np.concatenate(within))
+            kept = [b.column(c).take(owner) for c in (*_CLASS, "id", "key", "s")]
+            return pa.RecordBatch.from_arrays([*kept, place, pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], [*_CLASS, "id", "key", "s", "w", "w1", "w2"])
+
+        def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             owners, within, digests = [], [], []
-            for at, c in enumerate(b.column("context").to_pylist()):
+            for at, c in enumerate(b.column("context")):
+                c = c.as_py()
                 n = len(c) - length + 1
                 owners.append(np.full(n, at))
                 within.append(np.arange(n, dtype=np.int32))
                 digests += [xxhash.xxh3_128_digest(c[i : i + length]) for i in range(n)]
-            w = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            owners, within = pa.array(np.concatenate(owners)), pa.array(np.concatenate(within))
-            kept = [b.column(c).take(owners) for c in (*_CLASS, "id", "key", "s")]
-            return pa.RecordBatch.from_arrays([*kept, within, pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], [*_CLASS, "id", "key", "s", "w", "w1", "w2"])
+                if len(digests) > AT_ONCE:
+                    yield told(b, owners, within, digests)
+                    owners, within, digests = [], [], []
+            if owners:
+                yield told(b, owners, within, digests)
 
         return batch
 
