@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.tokens import END_ID, encoder
+from ledgerloom.llm.tokens import END_ID, MAX_CACHED, encoder
 
 CAPACITY = 2048
 SLACK = 0.02
@@ -82,7 +82,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: float = SLACK, cached: int = MAX_CACHED) -> DataFrame:
     """Pieces of all documents with their sequence and place (columns of SCHEMA), without a shuffle.
 
     Every task numbers its own sequences (partition number in the high bits). A null text is empty and is its end id
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         batch = lambda out: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-        encode, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, cached), np.array([END_ID], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, capacity, slack)
         out, held = [], 0
         for b in batches:

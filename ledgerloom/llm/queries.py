@@ -102,7 +102,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_harmonic_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
-    packed = harmonic.pack(table(spark, sf_dir, "documents"), tokens.public_path(tokens.BYTE_BPE))
+    packed = harmonic.pack(table(spark, sf_dir, "documents"), tokens.public_path(tokens.BYTE_BPE), cached=500_000)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
