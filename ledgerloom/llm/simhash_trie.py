@@ -253,13 +253,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---------------------------------------------------------------- near copies of whole documents
 
-TREES = 10
-TREE_BITS = 48
+#: Candidates share one of BANDS combinations of BAND least hashes (MinHash) of the five-word shingles. A pair of similarity
+#: (Jaccard) 0.8 is missed with probability (1 - 0.8 ** 5) ** 24 = 7e-5, whatever the edits, as MinHash knows only the sets.
+BANDS = 24
+BAND = 5
 SIGNATURE_WORDS = 8
 NEAR_SHINGLE = 5
-#: Differing bits of 512 that a similarity (Jaccard) of 0.8 on five-word shingles leads to: cosine 8/9, angle 0.476.
+#: Differing bits of 512 that a similarity of 0.8 on five-word shingles leads to: cosine 8/9, angle 0.476.
 NEAR_FAR = 78
 
+_salts = lambda n, seed: np.array([seed * (2 * k + 1) & (2**64 - 1) for k in range(n)], np.uint64)[:, None]
+_SIGN_SALTS = _salts(SIGNATURE_WORDS, 0x51ED270B0A1F3C55)
+_LEAST_SALTS = mix64(_salts(BANDS * BAND, 0x9FB21C651E98DF25))
+_LEAST_FACTORS = mix64(_salts(BANDS * BAND, 0x2545F4914F6CDD1D)) | np.uint64(1)
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -268,36 +274,52 @@ def _text_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def near_bands(runs: np.ndarray) -> np.ndarray:
+    """BANDS words of the shingle hashes of a text, each from BAND least hashes; all 0 without shingles."""
+    if not len(runs):
+        return np.zeros(BANDS, np.uint64)
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(runs), 4096):
+        drawn = (runs[at : at + 4096] ^ _LEAST_SALTS) * _LEAST_FACTORS
+        least = np.minimum(least, (drawn ^ (drawn >> np.uint64(32))).min(axis=1))
+    return _row_hashes(least.reshape(BANDS, BAND))
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per row."""
+    acc = rows[:, 0].copy()
+    for j in range(1, rows.shape[1]):
+        acc = mix64(acc) + rows[:, j]
+    return mix64(acc)
+
+
 def near_sketches(docs: DataFrame) -> DataFrame:
-    """(id, trees array of long, sig binary): TREES SimHashes of the distinct words, and 512 SimHash bits of the distinct
-    five-word shingles. ``docs`` has id and text."""
+    """(id, bands array of long, sig binary): the BANDS MinHash words and 512 SimHash bits of the distinct five-word
+    shingles. ``docs`` has id and text."""
 
     def make():
         hashes = WordHashes()
-        salts = np.array([0x51ED270B0A1F3C55 * (2 * k + 1) & (2**64 - 1) for k in range(max(TREES, SIGNATURE_WORDS))], np.uint64)[:, None]
-        top = np.uint64((2**TREE_BITS - 1) << (64 - TREE_BITS))
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            trees, sigs = [], []
+            bands, sigs = [], []
             for text in b.column("text").to_pylist():
-                all_words = hashes.of(_text_words(text or ""))
-                words, runs = np.unique(all_words), np.unique(shingle_hashes(all_words, NEAR_SHINGLE))
-                trees.append(majority_words(mix64(words ^ salts[:TREES])) & top)
-                sigs.append(majority_words(mix64(runs ^ salts[:SIGNATURE_WORDS])).tobytes())
-            flat = pa.array(np.concatenate(trees).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([b.column("id"), lists, pa.array(sigs, pa.binary())], ["id", "trees", "sig"])
+                runs = np.unique(shingle_hashes(hashes.of(_text_words(text or "")), NEAR_SHINGLE))
+                bands.append(near_bands(runs))
+                sigs.append(majority_words(mix64(runs ^ _SIGN_SALTS)).tobytes())
+            flat = pa.array(np.concatenate(bands).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+            return pa.RecordBatch.from_arrays([b.column("id"), lists, pa.array(sigs, pa.binary())], ["id", "bands", "sig"])
 
         return batch
 
-    return arrow_map(docs.select("id", "text"), make, "id long, trees array<long>, sig binary")
+    return arrow_map(docs.select("id", "text"), make, "id long, bands array<long>, sig binary")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep) per document that is a copy of another: ``keep`` is the smallest id of its group.
 
-    Equal texts are one document from the start. Others are linked if in one of ten 48-bit SimHashes of their words at most
-    two bits differ (the trie join) and their SimHash over five-word shingles puts the similarity at 0.8 or more. Rows with
+    Equal texts are one document from the start. Others are linked if they share a band of least hashes of their five-word
+    shingles and their SimHash over the shingles puts the similarity at 0.8 or more. Rows with
     a null id are no candidates; a null text counts as empty, and texts without words are copies of each other.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).filter("id is not null")
@@ -307,7 +329,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     exact = keyed.join(repeated, "digest").filter("id <> first").select("id", F.col("first").alias("root")).distinct()
     exact = materialize(exact, "exact")
     sketches = materialize(near_sketches(rows.join(exact, "id", "left_anti")), "sketches")
-    words = sketches.select("id", "sig", F.posexplode("trees").alias("tree", "word"))
-    links = hamming_links(words, 2, 1 << 18, NEAR_FAR)
+    words = sketches.select("id", "sig", F.posexplode("bands").alias("tree", "word"))
+    shared = words.groupBy("tree", "word").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "word")
+    words = materialize(words.join(shared, ["tree", "word"], "left_semi"), "words")
+    links = hamming_links(words, 0, 1 << 16, NEAR_FAR)
     edges = links.unionByName(exact.select(F.col("id").alias("u"), F.col("root").alias("v")))
     return star_roots(edges).select(F.col("u").alias("id"), F.col("v").alias("keep"))

@@ -101,3 +101,38 @@ def test_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.id, r.keep) for r in T.near_copies(df).collect()} == {(9, 5), (11, 5), (12, 5), (21, 20)}
     assert T.near_copies(df.limit(0)).collect() == []
+
+
+def altered(rng, n, kind, least):
+    """Shingle hashes of a text of n new words and of a copy whose similarity is just over ``least``."""
+    from ledgerloom.llm.shared import shingle_hashes
+
+    fresh = lambda k: rng.integers(0, 2**64, k, dtype=np.uint64)
+    sets = lambda words: set(shingle_hashes(words, T.NEAR_SHINGLE).tolist())
+    base, k, best = fresh(n), 1, None
+    while True:
+        if kind == "appended":
+            copy = np.concatenate((base, fresh(k)))
+        elif kind == "truncated":
+            copy = base[: n - k]
+        elif kind == "block":
+            copy = np.concatenate((base[: n // 3], fresh(k), base[n // 3 + k :]))
+        else:
+            copy = base.copy()
+            copy[np.linspace(0, n - 1, k, dtype=int)] = fresh(k)
+        a, b = sets(base), sets(copy)
+        if len(a & b) / len(a | b) < least:
+            return best
+        best = np.array(sorted(a), np.uint64), np.array(sorted(b), np.uint64)
+        k += 1
+
+
+def test_candidates_of_appended_truncated_and_block_edited_copies():
+    rng = np.random.default_rng(12)
+    worst = 1.0
+    for kind in ("appended", "truncated", "block", "scattered"):
+        for least in (0.80, 0.85, 0.90, 0.95):
+            pairs = [altered(rng, 300, kind, least) for _ in range(25)]
+            met = sum(bool((T.near_bands(a) == T.near_bands(b)).any()) for a, b in pairs)
+            worst = min(worst, met / len(pairs))
+    assert worst >= 0.99
