@@ -259,8 +259,11 @@ BANDS = 24
 BAND = 5
 SIGNATURE_WORDS = 8
 NEAR_SHINGLE = 5
-#: Differing bits of 512 that a similarity of 0.8 on five-word shingles leads to: cosine 8/9, angle 0.476.
-NEAR_FAR = 78
+#: Bits of 512 that candidates may differ in. A similarity of 0.8 leads to 78 on average and, for texts of at least 12
+#: shingles, to more than 128 less than once in a million pairs; every candidate is then compared on its shingles.
+NEAR_FAR = 128
+NEAR_NINTHS = 4  # |A and B| / |A or B| >= 0.8 is 9 |A and B| >= 4 (|A| + |B|)
+BLOCK_RUNS = 1 << 17
 
 _salts = lambda n, seed: np.array([seed * (2 * k + 1) & (2**64 - 1) for k in range(n)], np.uint64)[:, None]
 _SIGN_SALTS = _salts(SIGNATURE_WORDS, 0x51ED270B0A1F3C55)
@@ -315,11 +318,101 @@ def near_sketches(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("id", "text"), make, "id long, bands array<long>, sig binary")
 
 
+def alike(a: list[bytes], b: list[bytes] | None = None) -> list[tuple[int, int]]:
+    """A forest of the pairs with a similarity of 0.8 or more, exactly; each item is the distinct shingle hashes of a text.
+
+    Positions run through a and then b; with b only pairs of an item of a and one of b are compared, else all pairs of a.
+    """
+    items = a + (b or [])
+    sizes = np.array([len(x) // 8 for x in items])
+    ends = np.cumsum(sizes)
+    known, at = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    forest = Forest(len(items))
+    first = len(a) if b is not None else 0
+    from_run = int(ends[first - 1]) if first else 0
+    starts, stops = ends[first:] - sizes[first:] - from_run, ends[first:] - from_run
+    for i in range(len(a)):
+        if (forest.root[first:] == forest.root[i]).all():
+            continue
+        own = at[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        total = np.concatenate(([0], np.cumsum(mark[at[from_run:]])))
+        mark[own] = False
+        near = 9 * (total[stops] - total[starts]) >= NEAR_NINTHS * (sizes[i] + sizes[first:])
+        j = np.flatnonzero(near & (forest.root[first:] != forest.root[i])) + first
+        forest.add(np.full(len(j), i), j)
+    return forest.links
+
+
+def _alike_links(rows: DataFrame) -> DataFrame:
+    """(u, v) for rows (a, b) of lists of (id, runs); b is null where a is compared with itself."""
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            us, vs = [], []
+            for row in range(b.num_rows):
+                sides = [b.column(c)[row].values for c in ("a", "b") if b.column(c)[row].is_valid]
+                ids = np.concatenate([np.asarray(x.field("id")) for x in sides])
+                for i, j in alike(*(x.field("runs").to_pylist() for x in sides)):
+                    us.append(int(ids[i]))
+                    vs.append(int(ids[j]))
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+        return batch
+
+    return arrow_map(rows, make, "u long, v long").filter("u <> v").distinct()
+
+
+def near_runs(docs: DataFrame) -> DataFrame:
+    """(id, comp, runs binary): the distinct shingle hashes of every row (id, comp, text)."""
+
+    def make():
+        hashes = WordHashes()
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            runs = [np.unique(shingle_hashes(hashes.of(_text_words(t)), NEAR_SHINGLE)).tobytes() for t in b.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([b.column("id"), b.column("comp"), pa.array(runs, pa.binary())], ["id", "comp", "runs"])
+
+        return batch
+
+    return arrow_map(docs.select("id", "comp", "text"), make, "id long, comp long, runs binary")
+
+
+def verified_links(runs: DataFrame, block: int = BLOCK_RUNS) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of one comp with a similarity of 0.8 or more, exactly.
+
+    A comp is dealt into blocks of about ``block`` shingles. Blocks are compared within first, then by pairs; a pair of
+    blocks whose texts are all linked to each other already is passed over.
+    """
+    runs = materialize(runs.dropDuplicates(["id", "comp", "runs"]), "runs")
+    sizes = runs.groupBy("comp").agg(F.ceil(F.sum(F.octet_length("runs")) / (8 * block)).cast("int").alias("parts"))
+    sizes = sizes.withColumn("parts", F.greatest("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    dealt = materialize(runs.join(sizes, "comp").select("comp", "parts", part, "id", "runs"), "dealt")
+    lists = materialize(dealt.groupBy("comp", "parts", "part").agg(F.collect_list(F.struct("id", "runs")).alias("items")), "lists")
+    kind = lists.select(F.col("items").alias("b")).schema["b"].dataType
+    within = materialize(_alike_links(lists.select(F.col("items").alias("a"), F.lit(None).cast(kind).alias("b"))), "within")
+    split = dealt.filter("parts > 1")
+    if split.isEmpty():
+        return within
+    roots = star_roots(within).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    rooted = split.select("comp", "part", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    blocks = rooted.groupBy("comp", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = materialize(blocks, "blocks")
+    side = lambda x: blocks.select("comp", *(F.col(c).alias(c + x) for c in ("part", "low", "high")))
+    pairs = side("a").join(side("b"), "comp").filter("parta < partb and not (lowa = higha and lowb = highb and lowa = lowb)")
+    full = pairs.join(lists.select("comp", F.col("part").alias("parta"), F.col("items").alias("a")), ["comp", "parta"])
+    full = full.join(lists.select("comp", F.col("part").alias("partb"), F.col("items").alias("b")), ["comp", "partb"])
+    return within.unionByName(materialize(_alike_links(full.select("a", "b")), "across"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep) per document that is a copy of another: ``keep`` is the smallest id of its group.
 
-    Equal texts are one document from the start. Others are linked if they share a band of least hashes of their five-word
-    shingles and their SimHash over the shingles puts the similarity at 0.8 or more. Rows with
+    Equal texts are one document from the start. Others are linked if their similarity on five-word shingles is 0.8 or more,
+    exactly; they are compared if they share a band of least hashes of the shingles and their SimHash is not far off, or are
+    joined by others that do. Rows with
     a null id are no candidates; a null text counts as empty, and texts without words are copies of each other.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).filter("id is not null")
@@ -328,10 +421,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = classes.filter("first <> last")
     exact = keyed.join(repeated, "digest").filter("id <> first").select("id", F.col("first").alias("root")).distinct()
     exact = materialize(exact, "exact")
-    sketches = materialize(near_sketches(rows.join(exact, "id", "left_anti")), "sketches")
+    single = rows.join(exact, "id", "left_anti")
+    sketches = materialize(near_sketches(single), "sketches")
     words = sketches.select("id", "sig", F.posexplode("bands").alias("tree", "word"))
     shared = words.groupBy("tree", "word").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "word")
     words = materialize(words.join(shared, ["tree", "word"], "left_semi"), "words")
-    links = hamming_links(words, 0, 1 << 16, NEAR_FAR)
-    edges = links.unionByName(exact.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    joined = star_roots(hamming_links(words, 0, 1 << 16, NEAR_FAR)).select(F.col("u").alias("id"), F.col("v").alias("comp"))
+    members = materialize(joined.unionByName(joined.select(F.col("comp").alias("id"), "comp").distinct()), "members")
+    edges = verified_links(near_runs(single.join(members, "id"))).unionByName(exact.select(F.col("id").alias("u"), F.col("root").alias("v")))
     return star_roots(edges).select(F.col("u").alias("id"), F.col("v").alias("keep"))

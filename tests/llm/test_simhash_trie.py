@@ -136,3 +136,28 @@ def test_candidates_of_appended_truncated_and_block_edited_copies():
             met = sum(bool((T.near_bands(a) == T.near_bands(b)).any()) for a, b in pairs)
             worst = min(worst, met / len(pairs))
     assert worst >= 0.99
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(4)
+    vocab = [f"term{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = fresh(rng.choice([9, 30, 104, 300]))
+        n = len(base)
+        texts += [base, base + fresh(n // 5), base + fresh(n // 4), base[: n - n // 6], base[: n // 2] + fresh(n // 10) + base[n // 2 + n // 10 :]]
+        for edits in (1, 2, 3, 5):
+            copy = list(base)
+            for at in rng.sample(range(n), min(edits * n // 100 + edits, n)):
+                copy[at] = rng.choice(vocab)
+            texts.append(copy)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in texts]
+    near = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    name = components([(k, k) for k in range(len(sets))], lambda x, y: near(sets[x], sets[y]))
+    want = {(k, v) for k, v in name.items() if k != v}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    assert {(r.id, r.keep) for r in T.near_copies(df).collect()} == want
+    pairs = [(k, np.array(sorted({hash(x) for x in s}), np.int64).tobytes()) for k, s in enumerate(sets)]
+    runs = spark.createDataFrame([(k, 0, r) for k, r in pairs], "id long, comp long, runs binary")
+    assert {(r.u, r.v) for r in T.star_roots(T.verified_links(runs, 1500)).collect()} == want
