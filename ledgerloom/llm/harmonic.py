@@ -82,11 +82,12 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: float = SLACK, cached: int = MAX_CACHED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: float = SLACK, cached: int = MAX_CACHED, added: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and place (columns of SCHEMA), without a shuffle.
 
     Every task numbers its own sequences (partition number in the high bits). A null text is empty and is its end id
     alone; rows that repeat an id are packed as often as they come; a null id is kept. ids are little-endian u32.
+    With ``added`` the tokenizer's added tokens get their own ids where a text holds them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
@@ -94,7 +95,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         batch = lambda out: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-        encode, end = encoder(tokenizer_path, cached), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, cached, added), np.array([END_ID], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, capacity, slack)
         out, held = [], 0
         for b in batches:

@@ -128,17 +128,18 @@ class Reader:
             at += n
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Write all documents in ascending id order (null ids first; equal ids by text); returns the manifest.
 
     Each partition of the id range makes one file. The manifest (part int, path, bytes, documents, ids, start) has a row per
     file; ``start`` is the number of ids in the files before it. A null text is empty; every document gets the end id.
+    With ``added`` the tokenizer's added tokens get their own ids where a text holds them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path, CACHED), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, CACHED, added), np.array([END_ID], "<u4").tobytes()
         part, out = TaskContext.get().partitionId(), None
         for b in batches:
             for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):

@@ -76,7 +76,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_patched_blocks")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents as patched frame-of-reference files, read them back."""
-    files = pfor.write_token_files(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), tokens.public_path(tokens.WORD_BPE))
+    files = pfor.write_token_files(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), tokens.public_path(tokens.WORD_BPE), added=True)
     read = pfor.read_token_files(spark, files)
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -102,7 +102,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_harmonic_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
-    packed = harmonic.pack(table(spark, sf_dir, "documents"), tokens.public_path(tokens.BYTE_BPE), cached=500_000)
+    packed = harmonic.pack(table(spark, sf_dir, "documents"), tokens.public_path(tokens.BYTE_BPE), cached=500_000, added=True)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

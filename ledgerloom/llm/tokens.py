@@ -21,9 +21,11 @@ _WIDE = re.compile("[^\x00-\xff]")
 
 class Encoder:
     """Ids as little-endian 32-bit integers. Both vocabularies split a text at blanks before they merge bytes, so a text's
-    ids are those of its blank-separated pieces in order; a piece keeps the blank before it where the vocabulary does."""
+    ids are those of its blank-separated pieces in order; a piece keeps the blank before it where the vocabulary does.
+    With ``added`` the vocabulary's added tokens ('<|endoftext|>') get their own ids where a text holds them, as by the
+    library's default; else they are text like any other."""
 
-    def __init__(self, path: str, cached: int = MAX_CACHED):
+    def __init__(self, path: str, cached: int = MAX_CACHED, added: bool = False):
         self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
@@ -38,8 +40,20 @@ class Encoder:
         self.pieces, self.lowers = (_UNSPACED if drops_blanks else _SPACED).findall, lowers
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
+            raise ValueError(f"added tokens that take in more than their own text: {odd}")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def __call__(self, text: str) -> bytes:
+        if self.marks and self.marks.search(text):
+            return b"".join(self.added[p] if k % 2 else self.plain(p) for k, p in enumerate(self.marks.split(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if self.lowers and not _WIDE.search(text):  # as the vocabulary does; beyond these letters it is left to it
             text = text.lower()
         parts = self.pieces(text)
@@ -59,14 +73,14 @@ class Encoder:
         return b"".join(map(known.__getitem__, parts))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, cached: int = MAX_CACHED) -> Encoder:
-    """One encoder per worker process and file, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, cached)
-    return _ENCODERS[path]
+def encoder(path: str, cached: int = MAX_CACHED, added: bool = False) -> Encoder:
+    """One encoder per worker process, file and treatment of added tokens, kept from task to task."""
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, cached, added)
+    return _ENCODERS[path, added]
 
 
 def public_path(name: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import harmonic as H, pfor as P, shared, tokens as T
+from ledgerloom.llm.queries import QUERIES
 
 TEXTS = [
     "", " ", "\n\n a", "a  b", " a\n\nb \n c  ", "It's we'll 'tis ' s", "ÉCOLE Straße İ ΑΣ ΑΣ. é ́x", "a b  c　　d", "x\x1cy\x1f z\x85w", "<|endoftext|> <|startoftext|>x", "12 345\t6",
@@ -26,6 +27,28 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+MARKED = ["end of a <|endoftext|> mark", "<|endoftext|>", "A<|startoftext|>B", " <|endoftext|> <|endoftext|>\n\n<|EndOfText|>  x", "<|endoftext|", "É<|endoftext|> É", "'s<|endoftext|>'s"]
+
+
+@pytest.mark.parametrize("name", [T.WORD_BPE, T.BYTE_BPE])
+def test_added_tokens_get_the_ids_of_an_untouched_tokenizer(name):
+    encode, untouched = T.Encoder(T.public_path(name), added=True), Tokenizer.from_file(T.public_path(name))
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "\n", "  ", "a", "B", "É", "'s", "7", "<|", "|>", "the"]
+    for t in TEXTS + MARKED + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(800)]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == untouched.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    rows_of(spark, list(enumerate(MARKED))).write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, crc in (("op6_patched_blocks", T.WORD_BPE, "ids_crc32"), ("op8_harmonic_packing", T.BYTE_BPE, "ids_crc32")):
+        untouched = Tokenizer.from_file(T.public_path(name))
+        want = {i: zlib.crc32(np.array(untouched.encode(t, add_special_tokens=False).ids + [T.END_ID], "<u4").tobytes()) for i, t in enumerate(MARKED)}
+        rows = QUERIES[query](spark, str(tmp_path)).collect()
+        whole = {r.doc_id: r[crc] for r in rows if query.startswith("op6") or r.length == r.doc_tokens}
+        assert whole and all(want[i] == c for i, c in whole.items())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2**32 - 1), st.integers(0, 50)), min_size=1, max_size=1024), st.integers(1, 100))
 def test_block_round_trip(ids, percentile):
