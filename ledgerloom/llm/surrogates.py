@@ -1,7 +1,7 @@
 """Personal data: detection in whole texts, and keyed surrogates of the same kind and format.
 
-Entities are e-mail and IP addresses, phone and card numbers, secret tokens and names behind a title. Every distinct
-entity gets one surrogate throughout the corpus (coreference), and no two entities of a kind get the same one
+Entities are e-mail and IP addresses, phone, social security and card numbers, secret tokens and names behind a
+title. Every distinct entity gets one surrogate throughout the corpus (coreference), and no two entities of a kind get the same one
 (distinctness); a surrogate never is an entity of the corpus either. Collisions are found by grouping, and the later
 entity draws again until none is left.
 """
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,21 +41,45 @@ SYLLABLES = {
 
 _TITLE = "|".join(re.escape(t) for t in sorted(FEMALE_TITLES + MALE_TITLES + OPEN_TITLES, key=lambda t: (-len(t), t)))
 _EMAIL = re.compile(r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)+")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9+/_=-]{16,})|(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])([0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])")
+#: Openings of keys that are secret wherever they stand, and what follows them.
+KEY_SHAPES = [
+    ("AKIA", "[0-9A-Z]{16}"), ("ASIA", "[0-9A-Z]{16}"), ("AIza", "[A-Za-z0-9_-]{35}"), ("ya29.", "[A-Za-z0-9_-]{20,}"),
+    *((f"gh{c}_", "[A-Za-z0-9]{36,}") for c in "pousr"), ("github_pat_", "[A-Za-z0-9_]{22,}"), ("glpat-", "[A-Za-z0-9_-]{20,}"),
+    ("sk-", "[A-Za-z0-9_-]{20,}"), *((f"{k}_{m}_", "[A-Za-z0-9]{16,}") for k in ("sk", "pk", "rk") for m in ("live", "test")),
+    *((f"xox{c}-", "[A-Za-z0-9-]{10,}") for c in "abeoprs"), ("hf_", "[A-Za-z0-9]{30,}"), ("npm_", "[A-Za-z0-9]{36}"),
+    ("SG.", "[A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}"), ("eyJ", "[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
+]
+_OPENING = "|".join(re.escape(k) for k, _ in KEY_SHAPES)
+_KEY_OPENING = re.compile(_OPENING)
+_KEYS = "|".join(f"{re.escape(k)}{rest}" for k, rest in KEY_SHAPES)
+_SECRET = re.compile(r"\b(?i:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9+/_=-]{16,})|(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])([0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?<![A-Za-z0-9_-])(" + _KEYS + ")(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")
+_SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}([ -])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{4}(?!\w)")
+#: International numbers, grouped or not; national ones with a leading 0; bare ones of ten digits, with or without a 1.
+_PHONES = [
+    (re.compile(r"(?<![\w+])\+\d{1,4}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,14})){1,7}(?!\w)"), 8, 15),
+    (re.compile(r"(?<![\w+.,-])(?:\(0\d{1,5}\)|0\d{1,5})(?:[ ./-]\d{2,8}){1,5}(?![\w-]|[ .,]\d)"), 9, 12),
+    (re.compile(r"(?<![\w+.,-])(?:0\d{9,10}|1?[2-9]\d{9})(?![\w-]|[.,]\d)"), 10, 11),
+]
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\s+)([^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+){{0,2}})")
 
 
 def may_hold(text: Column) -> Column:
     """False only for texts that hold no entity; cheap, so most texts are left alone without Python."""
-    marks = text.rlike("[0-9@=:]")
+    marks = text.rlike(rf"[\p{{Nd}}\p{{Cn}}@=:]|{_OPENING}")  # Cn: digits that a later Unicode than the JVM's knows
     for title in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES:
         marks = marks | text.contains(title)
     return F.coalesce(marks, F.lit(False))
 
 
+def plain_digits(text: str) -> str:
+    """The digits of a text, of any script, as 0-9."""
+    return "".join(str(unicodedata.digit(c)) for c in text if c.isdecimal())
+
+
 def script_of(text: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
 
@@ -80,11 +106,15 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     for m in _SECRET.finditer(text):
-        group = 1 if m[1] else 2
-        found.append((m.start(group), m.end(group), "secret", m[group]))
-    found += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text)]
-    found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in _PHONE.finditer(text)]
-    found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)]
+        found.append((*m.span(m.lastindex), "secret", m[m.lastindex]))
+    found += [(m.start(), m.end(), "ip", ".".join(map(plain_digits, m[0].split(".")))) for m in _IP.finditer(text)]
+    if ":" in text:
+        found += [(*m.span(), "ip6", form) for m in _IP6.finditer(text) if (form := ip6_form(m[0]))]
+    found += [(m.start(), m.end(), "ssn", plain_digits(m[0])) for m in _SSN.finditer(text)]
+    found += [(m.start(), m.end(), "phone", plain_digits(m[0])) for m in _PHONE.finditer(text)]
+    found += [(m.start(), m.end(), "card", plain_digits(m[0])) for m in _CARD.finditer(text)]
+    for pattern, least, most in _PHONES:
+        found += [(m.start(), m.end(), "phone", form) for m in pattern.finditer(text) if least <= len(form := plain_digits(m[0])) <= most]
     for m in _NAME.finditer(text):
         parts = list(re.finditer(r"[^ -]+", m[3]))
         for k, p in enumerate(parts):
@@ -99,6 +129,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def ip6_form(shown: str) -> str | None:
+    """The canonical form of an IPv6 address; None for what is none, or has no digit (``::``, names in code)."""
+    try:
+        return str(ipaddress.IPv6Address(shown)) if any(c.isdigit() for c in shown) else None
+    except ValueError:
+        return None
+
+
 def _stream(key: bytes, kind: str, canonical: str, attempt: int) -> Iterator[int]:
     block = 0
     while True:
@@ -118,6 +156,10 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return f"{shape}@{'.'.join(''.join(pick(digits) if c.isdigit() else pick(letters) if c.isalnum() else c for c in part) for part in host.split('.')[:-1])}.example"
     if kind == "ip":
         return ".".join(([] if attempt > 2 else ["10"]) + [str(pick(range(256))) for _ in range(4 if attempt > 2 else 3)])
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address("2001:db8:" + ":".join("".join(pick(digits + "abcdef") for _ in range(4)) for _ in range(6))))
+    if kind == "ssn":
+        return "".join([pick("1234578"), *(pick(digits) for _ in range(2)), pick("123456789"), pick(digits), pick("123456789"), *(pick(digits) for _ in range(3))])
     if kind == "phone":
         return "".join([canonical[:-7], "555", *(pick(digits) for _ in range(4))]) if attempt == 0 and len(canonical) >= 7 else "".join(pick(digits) for _ in canonical)
     if kind == "card":
@@ -125,7 +167,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return next(body + d for d in digits if luhn(body + d)) if luhn(canonical) else body + pick(digits)
     if kind == "secret":
         hexadecimal = re.fullmatch("[0-9a-fA-F]+", canonical)
-        return "".join(pick(digits) if c.isdigit() else (pick("abcdef" if hexadecimal else letters).upper() if c.isupper() else pick("abcdef" if hexadecimal else letters)) if c.isalpha() else c for c in canonical)
+        opening = m[0] if (m := _KEY_OPENING.match(canonical)) else ""
+        return opening + "".join(pick(digits) if c.isdigit() else (pick("abcdef" if hexadecimal else letters).upper() if c.isupper() else pick("abcdef" if hexadecimal else letters)) if c.isalpha() else c for c in canonical[len(opening) :])
     parts = kind.split(":")
     base = pick(GIVEN[parts[1], parts[2]]).lower() if parts[0] == "given" else pick(SYLLABLES[parts[1]])
     more = attempt if parts[0] == "given" else 2 + attempt // 4
@@ -134,9 +177,11 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
 
 def as_shown(shown: str, kind: str, canonical: str) -> str:
     """A surrogate's canonical form in the format of the mention: separators, and upper or title case."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         digits = iter(canonical)
-        return "".join(next(digits) if c.isdigit() else c for c in shown)
+        return "".join(chr(ord(c) - unicodedata.digit(c) + int(next(digits))) if c.isdecimal() else c for c in shown)
+    if kind == "ip6":
+        return canonical.upper() if shown.isupper() else canonical
     if kind == "email":
         return canonical.upper() if shown.isupper() else canonical
     if kind.startswith(("given", "family")):

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from ledgerloom.llm import surrogates as S
 
 TEXT = (
@@ -64,3 +66,23 @@ def test_collisions_are_settled(spark):
     assert len({(r.kind, r.replacement) for r in got}) == len(rows)
     known = set(rows)
     assert not any((r.kind, r.replacement) in known for r in got)
+
+
+@pytest.mark.parametrize(
+    "kind, shown",
+    [("phone", p) for p in ("+15551234567", "5551234567", "15551234567", "+44 20 7946 0958", "020 7946 0958", "02079460958", "+33 1 23 45 67 89", "+49 (30) 901820", "+1 (415) 555-2671", "\uff14\uff11\uff15-\uff15\uff15\uff15-\uff12\uff16\uff17\uff11")]
+    + [("ssn", "123-45-6789"), ("ssn", "123 45 6789")]
+    + [("ip6", "2001:db8:85a3:0:0:8a2e:370:7334"), ("ip6", "fe80::1"), ("ip6", "::1"), ("ip6", "2001:DB8::8A2E")]
+    + [("secret", k) for k in ("AKIA" + "Q7" * 8, "ghp_" + "aB3" * 12, "sk-" + "aB3" * 8, "xoxb-1234-abcdEF", "0a" * 16, "0A" * 32, "AIza" + "aB3_-" * 7, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2")],
+)
+def test_shapes(spark, kind, shown):
+    for text in (shown, f"see {shown}, or ({shown}).", f"end {shown}"):
+        assert [(text[a:b], k) for a, b, k, _ in S.find_entities(text)] == [(shown, kind)] * text.count(shown)
+    other = S.as_shown(shown, kind, S.surrogate(S.KEY, kind, S.find_entities(shown)[0][3], 0))
+    assert other != shown and [e[2] for e in S.find_entities(other)] == [kind]
+    assert spark.createDataFrame([(shown,)], "text string").filter(S.may_hold(S.F.col("text"))).count() == 1
+
+
+def test_what_only_looks_like_an_entity():
+    for clean in ("12:30:45", "std::vector a::b", "on 2024-01-15 10:20", "3.1415926535 and 0.0123456789", "1700000000", "1,234,567,890.50", "01-02-2003"):
+        assert S.find_entities(clean) == [], clean
