@@ -1,7 +1,7 @@
 """Personal data: detection in whole texts, and keyed surrogates of the same kind and format.
 
-Entities are e-mail and IP addresses, phone, social security and card numbers, secret tokens and names behind a
-title. Every distinct entity gets one surrogate throughout the corpus (coreference), and no two entities of a kind get the same one
+Entities are e-mail and IP addresses, phone, social security and card numbers, secret tokens, names behind a title and
+the other mentions of such a name in the same text. Every distinct entity gets one surrogate throughout the corpus (coreference), and no two entities of a kind get the same one
 (distinctness); a surrogate never is an entity of the corpus either. Collisions are found by grouping, and the later
 entity draws again until none is left.
 """
@@ -64,7 +64,13 @@ _PHONES = [
     (re.compile(r"(?<![\w+.,-])(?:0\d{9,10}|1?[2-9]\d{9})(?![\w-]|[.,]\d)"), 10, 11),
 ]
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
-_NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\s+)([^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+){{0,2}})")
+#: Words that end a name behind a title, unless they stand first; as a name they are not looked for elsewhere.
+NO_NAMES = frozenset("a an and as at but by for from had has he her his i if in is it its my no not of on or our she so that the their then there these they this to was we were when who will with you your und der die das er sie et le la il elle y el ella".split())
+_UPPER = r"[^\W\d_a-zа-я]"
+_WORD = rf"{_UPPER}(?:[^\W\d_]|['’](?!S(?!\w))(?={_UPPER}))+"
+_INITIAL = rf"{_UPPER}(?:\.(?=[ -]?{_UPPER})|(?!\w)(?=[ -]{_UPPER}[^\W\d_]))"
+_NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\s+)((?:{_INITIAL}[ -]?)*{_WORD}(?:[ -](?:{_INITIAL}[ -]?)*{_WORD})*)")
+_PART = re.compile(rf"{_WORD}|{_UPPER}\.?")
 
 
 def may_hold(text: Column) -> Column:
@@ -116,11 +122,13 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     for pattern, least, most in _PHONES:
         found += [(m.start(), m.end(), "phone", form) for m in pattern.finditer(text) if least <= len(form := plain_digits(m[0])) <= most]
     for m in _NAME.finditer(text):
-        parts = list(re.finditer(r"[^ -]+", m[3]))
-        for k, p in enumerate(parts):
-            given = k == 0 and len(parts) > 1
+        parts = list(_PART.finditer(m[3]))
+        stop = next((k for k, p in enumerate(parts) if k and p[0].lower() in NO_NAMES and len(p[0]) > 1), len(parts))
+        for k, p in enumerate(parts[:stop]):
+            initial = len(p[0].rstrip(".")) == 1
+            given = initial or k == 0 and stop > 1
             kind = f"given:{script_of(p[0])}:{gender_of(m[1])}" if given else f"family:{script_of(p[0])}"
-            found.append((m.start(3) + p.start(), m.start(3) + p.end(), kind, p[0].lower()))
+            found.append((m.start(3) + p.start(), m.start(3) + p.end(), kind, p[0].lower().rstrip(".").replace("’", "'")))
     out, end = [], -1
     for at in sorted(range(len(found)), key=lambda i: (found[i][0], i)):
         if found[at][0] >= end:
@@ -137,6 +145,30 @@ def ip6_form(shown: str) -> str | None:
         return None
 
 
+def with_bare_names(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` and every other capitalised mention of its name words in the same text, as the same entities.
+
+    A word that is found as a family name counts as that, else as it is found first. Initials and NO_NAMES are left out.
+    """
+    kinds: dict[str, str] = {}
+    for _, _, kind, form in found:
+        if kind.startswith(("given", "family")) and len(form) > 1 and form not in NO_NAMES:
+            if form not in kinds or kind.startswith("family") and kinds[form].startswith("given"):
+                kinds[form] = kind
+    if not kinds:
+        return found
+    words = "|".join(re.escape(w).replace("'", "['’]") for w in sorted(kinds, key=len, reverse=True))
+    taken = [(a, b) for a, b, _, _ in found]
+    more, k = [], 0
+    for m in re.finditer(rf"(?<!\w)(?i:{words})(?!\w)", text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        form = m[0].lower().replace("’", "'")
+        if m[0][0].isupper() and form in kinds and (k == len(taken) or taken[k][0] >= m.end()):
+            more.append((m.start(), m.end(), kinds[form], form))
+    return sorted(found + more)
+
+
 def _stream(key: bytes, kind: str, canonical: str, attempt: int) -> Iterator[int]:
     block = 0
     while True:
@@ -185,6 +217,8 @@ def as_shown(shown: str, kind: str, canonical: str) -> str:
     if kind == "email":
         return canonical.upper() if shown.isupper() else canonical
     if kind.startswith(("given", "family")):
+        if len(shown.rstrip(".")) == 1:
+            return canonical[0].upper() + shown[1:]
         return canonical.upper() if shown.isupper() and len(shown) > 1 else canonical.capitalize()
     return canonical
 
@@ -194,7 +228,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = [(i, *e) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) for e in find_entities(t)]
+            out = [(i, *e) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) for e in with_bare_names(t, find_entities(t))]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) if out else [[]] * 5, types)], ["id", "start", "end", "kind", "canonical"])
 

@@ -86,3 +86,23 @@ def test_shapes(spark, kind, shown):
 def test_what_only_looks_like_an_entity():
     for clean in ("12:30:45", "std::vector a::b", "on 2024-01-15 10:20", "3.1415926535 and 0.0123456789", "1700000000", "1,234,567,890.50", "01-02-2003"):
         assert S.find_entities(clean) == [], clean
+
+
+def names_in(text):
+    return [text[a:b] for a, b, k, _ in S.find_entities(text) if k.startswith(("given", "family"))]
+
+
+def test_names_of_any_length_with_initials_and_apostrophes():
+    assert names_in("Mr Juan Carlos Garcia Lopez left") == ["Juan", "Carlos", "Garcia", "Lopez"]
+    assert names_in("Mr. O'Brien, Ms D’Arcy and Mr. Weber's") == ["O'Brien", "D’Arcy", "Weber"]
+    assert names_in("Dr. J. Smith and Dr. J.R. Smith-Jones, Mr John F Kennedy") == ["J.", "Smith", "J.", "R.", "Smith", "Jones", "John", "F", "Kennedy"]
+    assert names_in("Mr Weber I think. Mr Weber The end") == ["Weber", "Weber"]
+
+
+def test_bare_mentions_get_the_surrogate_of_the_name(spark):
+    rows = [(1, "Mrs. Clara Weber spoke; Weber said, WEBER! Clara's weber-like O'Brien Webern. Mr. O'Brien left. O’BRIEN?"), (2, "Weber alone, and Dr. J. Weber.")]
+    out = {r.doc_id: r for r in S.replaced(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    got = re.fullmatch(r"Mrs\. (\w+) (\w+) spoke; (\w+) said, (\w+)! (\w+)'s weber-like (\w+) Webern\. Mr\. (\w+) left\. (\w+)\?", out[1].text).groups()
+    assert got[1] == got[2] != "Weber" and got[3] == got[1].upper() and got[4] == got[0] != "Clara" and got[5] == got[6] and got[7] == got[5].upper()
+    assert out[1].n == 8
+    assert re.fullmatch(rf"{got[1]} alone, and Dr\. [A-Z]\. {got[1]}\.", out[2].text) and out[2].n == 3
