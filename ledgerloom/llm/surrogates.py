@@ -75,7 +75,10 @@ _PART = re.compile(rf"{_WORD}|{_UPPER}\.?")
 
 def may_hold(text: Column) -> Column:
     """False only for texts that hold no entity; cheap, so most texts are left alone without Python."""
-    marks = text.rlike(rf"[\p{{Nd}}\p{{Cn}}@=:]|{_OPENING}")  # Cn: digits that a later Unicode than the JVM's knows
+    # Cn: digits that a later Unicode than the JVM's knows
+    marks = text.rlike("[0-9@=:_]") | text.rlike(r"[^\x00-\x7F&&[\p{Nd}\p{Cn}]]")
+    for opening in [k for k, _ in KEY_SHAPES if "_" not in k]:
+        marks = marks | text.contains(opening)
     for title in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES:
         marks = marks | text.contains(title)
     return F.coalesce(marks, F.lit(False))
