@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chroma, containment, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, tokens, warc, weak_labels
+from ledgerloom.llm import chroma, containment, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, tokens, warc, weak_labels, word_table
 from ledgerloom.llm.shared import in_fold, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = weak_labels.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", lambda key: ~in_fold(key, 5, 0))
     scored = weak_labels.toxicity_scores(docs, weak_labels.fit_toxicity(sample))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op12_word_table")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by their distinct words, and the texts that these ids give."""
+    path = tokens.public_path(tokens.BYTE_BPE)
+    read = word_table.decoded(word_table.encoded(table(spark, sf_dir, "documents"), path), word_table.piece_table(spark, path))
+    count = (F.octet_length("ids") / 4).cast("long")
+    return read.select(F.col("id").alias("doc_id"), count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -26,7 +26,7 @@ class Encoder:
     library's default; else they are text like any other."""
 
     def __init__(self, path: str, cached: int = MAX_CACHED, added: bool = False):
-        self.cached = cached
+        self.path, self.cached = path, cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
@@ -47,6 +47,21 @@ class Encoder:
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
+    def parts(self, text: str) -> list[str]:
+        """The pieces whose ids in order are those of the text; an added token is a piece of its own."""
+        if self.marks and self.marks.search(text):
+            return [x for k, p in enumerate(self.marks.split(text)) for x in ([p] if k % 2 else self.pieces(p))]
+        return self.pieces(text)
+
+    def untouched(self):
+        """The library's tokenizer as its file has it, without truncation and padding."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def __call__(self, text: str) -> bytes:
         if self.marks and self.marks.search(text):
             return b"".join(self.added[p] if k % 2 else self.plain(p) for k, p in enumerate(self.marks.split(text)))
