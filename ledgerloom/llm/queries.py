@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chroma, containment, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, tokens, warc, weak_labels, word_table
+from ledgerloom.llm import chroma, containment, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, token_alignment, tokens, warc, weak_labels, word_table
 from ledgerloom.llm.shared import in_fold, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = word_table.decoded(word_table.encoded(table(spark, sf_dir, "documents"), path), word_table.piece_table(spark, path))
     count = (F.octet_length("ids") / 4).cast("long")
     return read.select(F.col("id").alias("doc_id"), count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned in every document, with the corpus-wide counts of linked pairs."""
+    paths = tokens.public_path(tokens.BYTE_BPE), tokens.public_path(tokens.PIECE_BPE)
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), *paths).withColumnRenamed("id", "doc_id")

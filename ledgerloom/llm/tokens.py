@@ -6,7 +6,7 @@ import os
 import re
 from array import array
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 1
 MAX_CACHED = 250_000  # pieces of either generation
 
