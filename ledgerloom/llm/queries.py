@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chroma, containment, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, token_alignment, tokens, warc, weak_labels, word_table
+from ledgerloom.llm import chroma, containment, conversation_trie, harmonic, neighbour_votes, pfor, repeated_bytes, simhash_trie, surrogates, token_alignment, tokens, warc, weak_labels, word_table
 from ledgerloom.llm.shared import in_fold, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two vocabularies aligned in every document, with the corpus-wide counts of linked pairs."""
     paths = tokens.public_path(tokens.BYTE_BPE), tokens.public_path(tokens.PIECE_BPE)
     return token_alignment.alignment(table(spark, sf_dir, "documents"), *paths).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_conversation_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
