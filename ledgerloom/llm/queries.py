@@ -127,7 +127,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by their distinct words, and the texts that these ids give."""
     path = tokens.public_path(tokens.BYTE_BPE)
-    read = word_table.decoded(word_table.encoded(table(spark, sf_dir, "documents"), path), word_table.piece_table(spark, path))
+    read = word_table.encoded(table(spark, sf_dir, "documents"), path, pieces=word_table.piece_table(spark, path))
     count = (F.octet_length("ids") / 4).cast("long")
     return read.select(F.col("id").alias("doc_id"), count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -28,7 +28,7 @@ from ledgerloom.llm import tokens
 from ledgerloom.llm.files import NewFile, open_input
 from ledgerloom.llm.shared import arrow_map, materialize, shared_folder
 
-BLOCK_CHARS, BUCKETS, OUT_BYTES = 16_000_000, 4096, 4 << 20
+BLOCK_CHARS, BUCKETS, OUT_BYTES = 12_000_000, 2048, 4 << 20
 
 
 class _Numbers(dict):
@@ -39,14 +39,36 @@ class _Numbers(dict):
         return n
 
 
-def _packed(lengths: list[int], data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(lengths), *lengths], "<u4").tobytes() + data)
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs (told by the first byte), a plane per byte."""
+    width = next(w for w in (1, 2, 4) if w == 4 or values.max(initial=0) < 1 << 8 * w)
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
+
+
+def _widened(raw: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The first ``n`` numbers that ``_narrow`` wrote, and the bytes they took."""
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, n * width, 1).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint32), 1 + n * width
+
+
+def _packed(lengths: list[int], data: bytes | np.ndarray) -> bytes:
+    """Lengths and what they cut: bytes, or 32-bit numbers."""
+    body = data if isinstance(data, bytes) else _narrow(data)
+    return zstandard.ZstdCompressor(level=3).compress(len(lengths).to_bytes(4, "little") + _narrow(np.array(lengths, np.uint32)) + body)
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n = int.from_bytes(raw[:4], "little")
-    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :]
+    lengths, taken = _widened(raw[4:], n)
+    return lengths, raw[4 + taken :]
+
+
+def _unpacked_ids(packed: bytes) -> tuple[np.ndarray, bytes]:
+    lengths, body = _unpacked(packed)
+    return lengths * 4, _widened(body, int(lengths.sum(dtype=np.int64)))[0].astype("<u4").tobytes()
 
 
 def _slices(lengths: np.ndarray, data: bytes) -> list[bytes]:
@@ -67,7 +89,8 @@ def _block_rows(folder: str, ids: list[pa.Array], sizes: list[int], codes: list[
     bucket = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in spelled), np.int32, len(spelled))
     rank = np.empty(len(spelled), np.uint32)
     rank[np.argsort(-np.bincount(number, minlength=len(spelled)), kind="stable")] = np.arange(len(spelled), dtype=np.uint32)
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_name = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
+    by_bucket = by_name[np.argsort(bucket[by_name], kind="stable")]  # like words side by side pack better
     octets = rank[number].astype("<u4").view(np.uint8).reshape(-1, 4)
     file = NewFile(folder, "block", ".words")
     _write_table(file.stream, pa.table({"id": pa.chunked_array(ids), "n_words": pa.array(sizes, pa.int64())}))
@@ -127,17 +150,17 @@ def word_ids(words: DataFrame, path: str) -> DataFrame:
                 for word, found in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
                     known[word] = np.array(found.ids, "<u4").tobytes()
                 found = [known[w] for w in own]
-                out.append(_packed([len(x) for x in found], b"".join(found)))
+                out.append(_packed([len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4")))
             yield pa.record_batch({"block": batch["block"], "bucket": batch["bucket"], "ids": pa.array(out, pa.binary())})
 
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block string, bucket int, ids binary")
 
 
-def _documents(block: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _documents(block: str, answers: list[bytes], pieces: list[bytes] | None) -> Iterator[pa.RecordBatch]:
     with open_input(block) as source:
         docs, planes, order = (pa.ipc.open_stream(source).read_all() for _ in range(3))
-    found = [ids for packed in answers for ids in _slices(*_unpacked(packed))]
+    found = [ids for packed in answers for ids in _slices(*_unpacked_ids(packed))]
     of_rank = [b""] * len(found)
     for rank, ids in zip(order["rank"].to_pylist(), found):
         of_rank[rank] = ids
@@ -148,25 +171,30 @@ def _documents(block: str, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         held.append(b"".join(map(of_rank.__getitem__, number[at : at + n].tolist())))
         at, size = at + n, size + len(held[-1])
         if size >= OUT_BYTES or k + 1 == docs.num_rows:
-            yield pa.record_batch({"id": docs["id"].slice(first, len(held)).combine_chunks(), "ids": pa.array(held, pa.binary())})
+            texts = {} if pieces is None else {"text": pa.array([_spelled(x, pieces) for x in held], pa.string())}
+            yield pa.record_batch({"id": docs["id"].slice(first, len(held)).combine_chunks(), "ids": pa.array(held, pa.binary()), **texts})
             first, held, size = k + 1, [], 0
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, pieces: DataFrame | None = None) -> DataFrame:
     """id, ids (little-endian unsigned 32-bit integers) of every row, as the library's own encode gives them for the
-    whole text, added tokens included."""
+    whole text, added tokens included. With ``pieces`` also the text that the ids give, as ``decoded`` does, in the same
+    tasks."""
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     answers = word_ids(split_words(docs, path, id_col, text_col, block_chars), path)
     blocks = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("answers"))
+    table = None if pieces is None else _by_position(pieces)
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        piece = table and table.value
+
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for block, parts in zip(batch["block"], batch["answers"]):
-                yield from _documents(block.as_py(), [x["ids"].as_py() for x in parts])
+                yield from _documents(block.as_py(), [x["ids"].as_py() for x in parts], piece)
 
         return run
 
-    return arrow_map(blocks, make, f"id {kind}, ids binary")
+    return arrow_map(blocks, make, f"id {kind}, ids binary" + (", text string" if pieces is not None else ""))
 
 
 @functools.cache
@@ -192,23 +220,32 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(n, bytearray(byte_piece(s))) for s, n in vocabulary.items()], "piece_id int, piece binary")
 
 
+def _by_position(pieces: DataFrame):
+    """The table of pieces, bounded by its vocabulary, as a broadcast list whose positions are the ids."""
+    known = {r.piece_id: bytes(r.piece) for r in pieces.collect()}
+    return pieces.sparkSession.sparkContext.broadcast([known.get(k, b"") for k in range(max(known, default=-1) + 1)])
+
+
+def _spelled(ids: bytes | None, piece: list[bytes]) -> str:
+    own = np.frombuffer(ids or b"", "<u4")
+    if len(own) and own.max() >= len(piece):
+        own = own[own < len(piece)]
+    return b"".join(map(piece.__getitem__, own.tolist())).decode("utf-8", "replace")
+
+
 def decoded(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """id, ids, text: ``rows`` (id, ids) with each id's piece looked up in ``pieces``, joined in order, as UTF-8 with
     replacement characters where bytes are none. An id without a piece gives nothing."""
-    known = {r.piece_id: bytes(r.piece) for r in pieces.toLocalIterator()}  # bounded by the vocabulary
-    table = rows.sparkSession.sparkContext.broadcast([known.get(k, b"") for k in range(max(known, default=-1) + 1)])
+    table = _by_position(pieces)
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         piece = table.value
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = []
-            for ids in batch["ids"].to_pylist():
-                own = np.frombuffer(ids or b"", "<u4")
-                if len(own) and own.max() >= len(piece):
-                    own = own[own < len(piece)]
-                texts.append(b"".join(map(piece.__getitem__, own.tolist())).decode("utf-8", "replace"))
-            return pa.record_batch({"id": batch["id"], "ids": batch["ids"], "text": pa.array(texts, pa.string())})
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [_spelled(x, piece) for x in part["ids"].to_pylist()]
+                yield pa.record_batch({"id": part["id"], "ids": part["ids"], "text": pa.array(texts, pa.string())})
 
         return run
 

@@ -47,6 +47,8 @@ def test_ids_and_texts_equal_the_library(spark, block_chars):
     order = lambda rows: sorted(rows, key=repr)
     assert order((r.id, np.frombuffer(r.ids, "<u4").tolist(), r.text) for r in got) == order(want)
     assert [t for _, _, t in want][:11] == [t or "" for t in TEXTS]
+    both = word_table.encoded(docs, PATH, block_chars=block_chars, pieces=pieces).collect()
+    assert order((r.id, np.frombuffer(r.ids, "<u4").tolist(), r.text) for r in both) == order(want)
 
 
 def test_no_rows_and_no_words(spark):
