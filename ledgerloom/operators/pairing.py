@@ -1,17 +1,24 @@
 """Pairing main documents with compulsory ones, one to one, by an explainable score.
 
-Documents with the same deciding facts form a class, and matching runs between classes: a fact that no document on the
-other side answers is dropped first, so a plate, VIN or name shared by a third of all documents makes few classes.
+Candidates are never listed document by document, nor class by class. Documents that agree in a set of facts (of VIN, plate,
+file plate, name and car: each subset that can make a candidate is a star of its own) and have one year and file year form a
+star class, and a candidate is an edge between two star classes. A pair that agrees in exactly that set has that edge's score; a pair
+that agrees in more facts has further edges of higher scores, and its lower ones change nothing. So a plate and a year on
+any number of documents with all different names is one edge, and names count only where two are alike.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.functions import dates as D, text as X
 from ledgerloom.functions.filenames import with_archive_name
 from ledgerloom.functions.similarity import sequence_ratio
 from ledgerloom.operators.extract import vin_candidates
+from ledgerloom.operators.linkage import contained_either_way
 from ledgerloom.operators.windows import keyed_positions
 from ledgerloom.session import cut_lineage
 
@@ -83,163 +90,190 @@ def similar_names(mains: DataFrame, prbs: DataFrame) -> DataFrame:
     return equal.unionByName(close.select("main_name", "prb_name"))
 
 
-def _effective(side: DataFrame, other: DataFrame, names: DataFrame, name_column: str) -> DataFrame:
+def _effective(side: DataFrame, other: DataFrame, liked: dict[str, DataFrame]) -> DataFrame:
     """Drop facts nothing on the other side answers. A VIN without a partner still conflicts with any other VIN."""
+    answers = {f: other.select(f).filter(F.col(f).isNotNull()) for f in ("vin", "plate", "file_plate")} | liked
     out = side
-    for fact in ("vin", "plate", "file_plate"):
-        there = other.select(F.col(fact)).filter(F.col(fact).isNotNull()).distinct().withColumn(f"_{fact}", F.lit(True))
+    for fact, answer in answers.items():
+        there = answer.distinct().select(F.col(fact).alias("_key"), F.lit(True).alias("_there"))
         lone = F.lit("*") if fact == "vin" else F.lit(None).cast("string")
-        out = out.join(there, fact, "left").withColumn(fact, F.when(F.col(f"_{fact}"), F.col(fact)).when(F.col(fact).isNotNull(), lone)).drop(f"_{fact}")
-    liked = names.select(F.col(name_column).alias("name")).distinct().withColumn("_liked", F.lit(True))
-    return out.join(liked, "name", "left").withColumn("name", F.when(F.col("_liked"), F.col("name"))).drop("_liked").withColumn(
-        "file_year", F.when(F.col("file_plate").isNotNull(), F.col("file_year"))
-    )
+        # rows without the fact get a key of their own, so that they don't meet in one task
+        out = out.withColumn("_key", F.coalesce(F.col(fact), F.concat(F.lit("\0"), F.col("doc_id").cast("string")))).join(there, "_key", "left")
+        out = out.withColumn(fact, F.when(F.col("_there"), F.col(fact)).when(F.col(fact).isNotNull(), lone)).drop("_key", "_there")
+    return out.withColumn("file_year", F.when(F.col("file_plate").isNotNull(), F.col("file_year")))
 
 
-def _classes(side: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """(members: class id, rank within the class, pos, doc_id; classes: facts and size)."""
-    key = F.sha2(F.to_json(F.struct(*FACTS), {"ignoreNullFields": "false"}), 256)
-    rows = side.withColumn("cls", key)
-    members = keyed_positions(rows.select("cls", "pos", "doc_id"), ["cls"], ["pos"], "rank").withColumnsRenamed(
-        {"cls": f"{prefix}cls", "pos": f"{prefix}pos", "doc_id": f"{prefix}doc"}
-    )
-    classes = rows.groupBy("cls", *FACTS).agg(F.count("*").alias("n")).withColumnsRenamed({c: f"{prefix}{c}" for c in ["cls", "n", *FACTS]})
-    return members, classes
+# Facts two documents can agree in; a set of them that can't reach the review score with years equal makes no candidate.
+STAR_FACTS = ["vin", "plate", "file_plate", "name", "car"]
+
+
+def _points(set_: tuple[str, ...], same_year: bool, same_file_year: bool) -> int:
+    more = POINTS["year"] * same_year + POINTS["file_year"] * (same_file_year and "file_plate" in set_)
+    return sum(POINTS[f] for f in set_) + more
+
+
+STARS = [s for n in range(1, 6) for s in combinations(STAR_FACTS, n) if _points(s, True, True) >= REVIEW_FROM]
+
+
+def _star_rows(side: DataFrame, name: str) -> DataFrame:
+    """A row per document and star it belongs to: the star's number, its facts, and what else decides its edges."""
+    stars = []
+    for k, set_ in enumerate(STARS):
+        here = [f"{f} IS NOT NULL" for f in set_] + ["vin <> '*'"] * ("vin" in set_) + ["year IS NOT NULL"] * (_points(set_, False, True) < REVIEW_FROM)
+        facts = [f"'{f}', " + (f if f in set_ else "cast(NULL AS string)") for f in STAR_FACTS]
+        file_year = "file_year" if "file_plate" in set_ else "cast(NULL AS int)"
+        has_vin = "false" if "vin" in set_ else "vin IS NOT NULL"
+        stars.append(f"CASE WHEN {' AND '.join(here)} THEN named_struct('star', {k}, {', '.join(facts)}, 'year', year, 'file_year', {file_year}, 'has_vin', {has_vin}) END")
+    spread = side.select("doc_id", "pos", F.expr(f"explode(array_compact(array({', '.join(stars)})))").alias("s")).select("doc_id", "pos", "s.*")
+    key = F.sha2(F.to_json(F.struct("star", *STAR_FACTS, "year", "file_year", "has_vin"), {"ignoreNullFields": "false"}), 256)
+    return spread.withColumn("cls", F.concat(F.lit(name), key))
 
 
-def _edges(mc: DataFrame, pc: DataFrame, names: DataFrame) -> DataFrame:
-    """Class pairs of at least the review score with their reasons.
+def _star_edges(m_rows: DataFrame, p_rows: DataFrame, names: DataFrame, cars: DataFrame) -> DataFrame:
+    """Edges of at least the review score: star, m_cls, p_cls, m_n, p_n, same_year, same_file_year, score.
 
-    A pair gets there by VIN, by plate, by file plate, or by exactly year, name and car; so those four joins are
-    complete. Two known VINs meet in the first only.
+    One equi-join: on the star and its facts (a main's name stands for each name it is like, its car for each that
+    contains it or is contained), with marks for year and VIN. A main without a year meets mark A, which every document of
+    the other side carries; with one it meets that year and mark N (no year). A document with a VIN that is no fact of the
+    star meets only those without.
     """
-    ids = ["m_cls", "p_cls"]
-    free = F.col("m_vin").isNull() | F.col("p_vin").isNull()
-
-    def meet(fact: str, mains: DataFrame, prbs: DataFrame, vins: bool) -> DataFrame:
-        """Pairs equal in ``fact`` and not at odds in VIN or year, each exactly once, by one equi join: a main without
-        a year meets mark A, which every document of the other side carries; with one it meets that year and mark N
-        (no year). VINs likewise."""
-        m_years = F.when(F.col("m_year").isNull(), F.array(F.lit("A"))).otherwise(F.array(F.col("m_year").cast("string"), F.lit("N")))
-        p_years = F.array(F.lit("A"), F.coalesce(F.col("p_year").cast("string"), F.lit("N")))
-        m_vins = F.when(F.col("m_vin").isNull() | F.lit(not vins), F.array(F.lit("A"))).otherwise(F.array(F.lit("B")))
-        p_vins = F.when(F.col("p_vin").isNull() & F.lit(vins), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))
-
-        def keyed(df: DataFrame, side: str, ys: Column, vs: Column) -> DataFrame:
-            known = df.filter(F.col(f"{side}_{fact}").isNotNull())
-            spread = known.select(f"{side}_cls", f"{side}_{fact}", F.explode(ys).alias("_y"), vs.alias("_v"))
-            return spread.select(f"{side}_cls", F.col(f"{side}_{fact}").alias("_f"), "_y", F.explode("_v").alias("_v"))
-
-        return keyed(mains, "m", m_years, m_vins).join(keyed(prbs, "p", p_years, p_vins), ["_f", "_y", "_v"]).select(*ids)
-
-    by_vin = meet("vin", mc.filter("m_vin <> '*'"), pc.filter("p_vin <> '*'"), False)
-    linked = mc.filter("m_name is not null and m_year is not null and m_car is not null").join(
-        names.withColumnsRenamed({"main_name": "m_name", "prb_name": "_pn"}), "m_name"
-    )
-    by_rest = linked.join(pc, (F.col("_pn") == F.col("p_name")) & (F.col("m_year") == F.col("p_year"))).filter(
-        free & X.contains_either_way(F.col("m_car"), F.col("p_car"))
-    ).select(*ids)
-    pairs = by_vin.unionByName(meet("plate", mc, pc, True)).unionByName(meet("file_plate", mc, pc, True)).unionByName(by_rest).distinct()
-    rows = pairs.join(mc, "m_cls").join(pc, "p_cls").join(
-        names.withColumnsRenamed({"main_name": "m_name", "prb_name": "p_name"}).withColumn("_alike", F.lit(True)), ["m_name", "p_name"], "left"
-    )
+    facts = ["star", *STAR_FACTS, "year", "file_year", "has_vin"]
+    mc, pc = (rows.groupBy("cls", *facts).agg(F.count("*").alias("n")) for rows in (m_rows, p_rows))
+    for fact, like in (("name", names), ("car", cars)):
+        other = like.select(F.col(f"main_{fact}").alias(fact), F.col(f"prb_{fact}").alias("_like"))
+        told = mc.filter(F.col(fact).isNotNull()).join(other, fact).withColumn(fact, F.col("_like")).drop("_like")
+        mc = mc.filter(F.col(fact).isNull()).unionByName(told)
+    year = F.col("year").cast("string")
+    m_years = F.when(year.isNull(), F.array(F.lit("A"))).otherwise(F.array(year, F.lit("N")))
+    p_years = F.array(F.lit("A"), F.coalesce(year, F.lit("N")))
+    m_vins = F.array(F.when(F.col("has_vin"), F.lit("B")).otherwise(F.lit("A")))
+    p_vins = F.when(F.col("has_vin"), F.array(F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("B")))
+
+    def keyed(df: DataFrame, side: str, years: Column, vins: Column) -> DataFrame:
+        own = [F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "year", "file_year")]
+        on = F.to_json(F.struct("star", *STAR_FACTS))
+        return df.select(*own, "star", on.alias("_on"), F.explode(years).alias("_y"), vins.alias("_v")).withColumn("_v", F.explode("_v"))
+
+    pairs = keyed(mc, "m", m_years, m_vins).join(keyed(pc, "p", p_years, p_vins).drop("star"), ["_on", "_y", "_v"])
     same = lambda f: F.coalesce(F.col(f"m_{f}") == F.col(f"p_{f}"), F.lit(False))
-    tests = {
-        "vin": same("vin"),
-        "plate": same("plate"),
-        "year": same("year"),
-        "name": F.coalesce("_alike", F.lit(False)),
-        "car": F.coalesce(X.contains_either_way(F.col("m_car"), F.col("p_car")), F.lit(False)),
-        "file_plate": same("file_plate"),
-        "file_year": same("file_plate") & same("file_year"),
-    }
-    score = sum(F.when(t, POINTS[f]).otherwise(0) for f, t in tests.items())
-    reasons = F.array_compact(F.array(*[F.when(t, F.lit(f)) for f, t in tests.items()]))
-    return rows.select(*ids, "m_n", "p_n", score.alias("score"), reasons.alias("reasons")).filter(F.col("score") >= REVIEW_FROM)
+    return _scored(pairs.select("star", "m_cls", "p_cls", "m_n", "p_n", same("year").alias("same_year"), same("file_year").alias("same_file_year")))
 
 
-def _rounds(edges: DataFrame, m_members: DataFrame, p_members: DataFrame) -> DataFrame:
-    """Greedy matching in the order (score down, main position, compulsory position), by rounds over classes.
+def _scored(rows: DataFrame) -> DataFrame:
+    """``score`` of star and marks, from the review score on."""
+    facts = F.get(F.array(*[F.lit(_points(s, False, False)) for s in STARS]), F.col("star"))
+    year, file_year = F.when(F.col("same_year"), POINTS["year"]).otherwise(0), F.when(F.col("same_file_year"), POINTS["file_year"]).otherwise(0)
+    return rows.withColumn("score", facts + year + file_year).filter(F.col("score") >= REVIEW_FROM)
 
-    In a round every class names its best partner: highest score, then the partner whose next free member comes first.
-    Two classes that name each other are matched member by member for as long as no class tied at that score has an
-    earlier member. Every such pair precedes all others at either end, so the result is that of one sorted pass.
-    ``done_*`` counts the members of a class used so far; lineage is cut every round.
+
+def _level_pairs(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(m_doc, p_doc): what one pass in the order (main position, compulsory position) takes among edges of one score.
+
+    Documents with the same edges of this score form a unit. In a round a unit's best partner is the one whose next free
+    member comes first; two units that name each other are matched member by member for as long as no other partner of
+    either has an earlier member. Each such pair precedes all others at either end. A round reads the members that are
+    still free and have an edge.
     """
-    m_heads = m_members.select(F.col("m_cls"), F.col("rank").alias("m_rank"), "m_pos")
-    p_heads = p_members.select(F.col("p_cls"), F.col("rank").alias("p_rank"), "p_pos")
-    live = edges.select("m_cls", "p_cls", "score", "m_n", "p_n").withColumns({"m_done": F.lit(0).cast("long"), "p_done": F.lit(0).cast("long")})
-    live = cut_lineage(live)
-    runs: DataFrame | None = None
+    asked = edges.select(F.explode(F.array("m_cls", "p_cls")).alias("cls")).distinct()
+    held = rows.join(asked, "cls", "left_semi").groupBy("doc_id", "pos").agg(F.array_sort(F.collect_set("cls")).alias("_all"))
+    held = held.withColumn("unit", F.when(F.size("_all") == 1, F.get("_all", F.lit(0))).otherwise(F.sha2(F.concat_ws(",", "_all"), 256)))
+    members = cut_lineage(keyed_positions(held, ["unit"], ["pos"], "rank"))
+    classes = members.groupBy("unit").agg(F.first("_all").alias("_all")).select("unit", F.explode("_all").alias("cls"))
+    of = lambda side: classes.withColumnsRenamed({"unit": f"{side}_unit", "cls": f"{side}_cls"})
+    links = cut_lineage(edges.select("m_cls", "p_cls").join(of("m"), "m_cls").join(of("p"), "p_cls").select("m_unit", "p_unit").distinct())
+    members, taken = members.drop("_all"), []
     while True:
-        heads = (
-            live.withColumns({"m_rank": F.col("m_done") + 1, "p_rank": F.col("p_done") + 1})
-            .join(m_heads, ["m_cls", "m_rank"])
-            .join(p_heads, ["p_cls", "p_rank"])
-            .drop("m_rank", "p_rank")
-        )
-
-        def choose(df: DataFrame, side: str, other: str) -> DataFrame:
-            top = F.struct((-F.col("score")).alias("s"), F.col(f"{other}_pos").alias("h"), F.col(f"{other}_cls").alias("c"))
-            best = df.groupBy(f"{side}_cls").agg(F.min(top).alias(f"_{side}b"))
-            joined = df.join(best, f"{side}_cls")
-            tied = (F.col("score") == -F.col(f"_{side}b.s")) & (F.col(f"{other}_cls") != F.col(f"_{side}b.c"))
-            rival = joined.groupBy(f"{side}_cls").agg(F.min(F.when(tied, F.col(f"{other}_pos"))).alias(f"_{side}rival"))
-            return best.join(rival, f"{side}_cls")
-
-        both = heads.join(choose(heads, "m", "p"), "m_cls").join(choose(heads, "p", "m"), "p_cls")
-        mutual = both.filter((F.col("_mb.c") == F.col("p_cls")) & (F.col("_pb.c") == F.col("m_cls")))
-        # members of this compulsory class before the main's rival partner, and of this main class before the other's
-        p_before = mutual.join(p_heads.withColumnRenamed("p_pos", "_pp"), "p_cls").filter(
-            (F.col("p_rank") > F.col("p_done")) & (F.col("_mrival").isNull() | (F.col("_pp") < F.col("_mrival")))
+        heads = members.groupBy("unit").agg(F.min("pos").alias("head"), F.min("rank").alias("from"))
+        both = links.select(F.explode(F.array(F.struct(F.col("m_unit").alias("unit"), F.col("p_unit").alias("other")), F.struct(F.col("p_unit").alias("unit"), F.col("m_unit").alias("other")))).alias("l")).select("l.*")
+        seen = both.join(heads.select(F.col("unit").alias("other"), "head"), "other")
+        best = seen.groupBy("unit").agg(F.min(F.struct("head", "other")).alias("_best"))
+        rival = seen.join(best, "unit").groupBy("unit").agg(F.first("_best.other").alias("other"), F.min(F.when(F.col("other") != F.col("_best.other"), F.col("head"))).alias("rival"))
+        choice = rival.join(heads.select("unit", "from"), "unit")
+        back = choice.select(F.col("unit").alias("other"), F.col("other").alias("unit"), F.col("from").alias("other_from"), F.col("rival").alias("other_rival"))
+        mutual = choice.join(back, ["unit", "other"]).join(links.select(F.col("m_unit").alias("unit"), F.col("p_unit").alias("other")), ["unit", "other"], "left_semi")
+        ends = F.array(F.struct(F.lit(True).alias("is_m"), "unit", "from", F.col("other_rival").alias("until")), F.struct(F.lit(False).alias("is_m"), F.col("other").alias("unit"), F.col("other_from").alias("from"), F.col("rival").alias("until")))
+        matched = cut_lineage(mutual.select(F.concat("unit", F.lit("/"), "other").alias("pair"), F.explode(ends).alias("e")).select("pair", "e.*"))
+        near = members.join(matched, "unit").filter(F.col("until").isNull() | (F.col("pos") < F.col("until"))).withColumn("_k", F.col("rank") - F.col("from"))
+        run = lambda is_m, name: near.filter(F.col("is_m") == is_m).select("pair", "_k", F.col("doc_id").alias(name))
+        step = cut_lineage(run(True, "m_doc").join(run(False, "p_doc"), ["pair", "_k"]).select("m_doc", "p_doc"))
+        taken.append(step)
+        left = members.join(step.select(F.explode(F.array("m_doc", "p_doc")).alias("doc_id")), "doc_id", "left_anti")
+        open_ = left.select("unit").distinct()
+        links = cut_lineage(
+            links.join(open_.withColumnRenamed("unit", "m_unit"), "m_unit", "left_semi").join(open_.withColumnRenamed("unit", "p_unit"), "p_unit", "left_semi")
         )
-        m_before = mutual.join(m_heads.withColumnRenamed("m_pos", "_mp"), "m_cls").filter(
-            (F.col("m_rank") > F.col("m_done")) & (F.col("_prival").isNull() | (F.col("_mp") < F.col("_prival")))
-        )
-        p_run = p_before.groupBy("m_cls", "p_cls").agg(F.count("*").alias("_pr"))
-        m_run = m_before.groupBy("m_cls", "p_cls").agg(F.count("*").alias("_mr"))
-        step = cut_lineage(
-            mutual.select("m_cls", "p_cls", "score", "m_done", "p_done")
-            .join(p_run, ["m_cls", "p_cls"])
-            .join(m_run, ["m_cls", "p_cls"])
-            .withColumn("run", F.least("_pr", "_mr"))
-            .drop("_pr", "_mr")
-        )
-        if step.isEmpty():
+        if links.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        linked = links.select(F.explode(F.array("m_unit", "p_unit")).alias("unit")).distinct()
+        members = cut_lineage(left.join(linked, "unit", "left_semi"))
+
+
+def _assigned(edges: DataFrame, m_rows: DataFrame, p_rows: DataFrame) -> DataFrame:
+    """(m_doc, p_doc, score) of one greedy pass in the order (score down, main position, compulsory position): a level
+    after the other, each among the documents that higher ones left. There are at most as many levels as sums of points."""
+    asked = edges.select(F.explode(F.array("m_cls", "p_cls")).alias("cls")).distinct()
+    rows = cut_lineage(m_rows.select("cls", "doc_id", "pos").unionByName(p_rows.select("cls", "doc_id", "pos")).join(asked, "cls", "left_semi"))
+    out, score = [], None
+    while True:
+        free = rows.select("cls").distinct()
+        alive = edges if score is None else edges.filter(F.col("score") < score)
+        alive = alive.join(free.withColumnRenamed("cls", "m_cls"), "m_cls", "left_semi").join(free.withColumnRenamed("cls", "p_cls"), "p_cls", "left_semi")
+        score = alive.agg(F.max("score")).first()[0]
+        if score is None:
             break
-        runs = step if runs is None else runs.unionByName(step)
-        used_m = step.select("m_cls", F.col("run").alias("_mu"))
-        used_p = step.select("p_cls", F.col("run").alias("_pu"))
-        live = live.join(used_m, "m_cls", "left").join(used_p, "p_cls", "left").withColumns(
-            {"m_done": F.col("m_done") + F.coalesce("_mu", F.lit(0)), "p_done": F.col("p_done") + F.coalesce("_pu", F.lit(0))}
-        ).drop("_mu", "_pu")
-        live = cut_lineage(live.filter((F.col("m_done") < F.col("m_n")) & (F.col("p_done") < F.col("p_n"))))
-    empty = live.limit(0).select("m_cls", "p_cls", "score", "m_done", "p_done", F.lit(0).cast("long").alias("run"))
-    return empty if runs is None else runs
-
-
-def _others(edges: DataFrame, side: str, weight: str) -> DataFrame:
-    """Per class: top candidate score, how many candidates hold it, and the next score below."""
-    top = edges.groupBy(f"{side}_cls").agg(F.max("score").alias("_top"))
-    return edges.join(top, f"{side}_cls").groupBy(f"{side}_cls").agg(
-        F.max("_top").alias(f"{side}_top"),
-        F.sum(F.when(F.col("score") == F.col("_top"), F.col(weight)).otherwise(0)).alias(f"{side}_ties"),
-        F.max(F.when(F.col("score") < F.col("_top"), F.col("score"))).alias(f"{side}_second"),
-    )
-
-
-def _sides(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        found = _level_pairs(edges.filter(F.col("score") == score), rows)
+        out.append(found.withColumn("score", F.lit(score)))
+        rows = cut_lineage(rows.join(found.select(F.explode(F.array("m_doc", "p_doc")).alias("doc_id")), "doc_id", "left_anti"))
+    none = edges.select(F.col("m_cls").alias("m_doc"), F.col("p_cls").alias("p_doc"), "score").limit(0)
+    return reduce(DataFrame.unionByName, out) if out else none
+
+
+def _best_others(picked: DataFrame, edges: DataFrame, rows: DataFrame, partners: DataFrame, side: str, other: str) -> DataFrame:
+    """For each picked pair the best score of another candidate of its ``side`` document.
+
+    Of a class's edges the two best towards different classes suffice: the better one counts unless the partner is its
+    only document, which leaves the other."""
+    own, far = f"{side}_cls", f"{other}_cls"
+    top = edges.groupBy(own).agg(F.max(F.struct("score", far, f"{other}_n")).alias("_top"))
+    below = edges.join(top, own).filter(F.col(far) != F.col(f"_top.{far}")).groupBy(own).agg(F.max("score").alias("_below"))
+    # an edge of the partner at the top score is known by its class
+    best = top.join(below, own, "left").select(F.col(own).alias("cls"), F.col("_top.score").alias("_score"), F.col(f"_top.{far}").alias("_far"), F.col(f"_top.{other}_n").alias("_n"), "_below")
+    mine = picked.select(f"{side}_doc", f"{other}_doc").join(rows.select(F.col("doc_id").alias(f"{side}_doc"), "cls"), f"{side}_doc").join(best, "cls")
+    in_top = partners.select(F.col("doc_id").alias(f"{other}_doc"), F.col("cls").alias("_far"), F.lit(True).alias("_in"))
+    alone = F.coalesce(F.col("_in"), F.lit(False)) & (F.col("_n") == 1)
+    score = F.when(alone, F.col("_below")).otherwise(F.col("_score"))
+    return mine.join(in_top, [f"{other}_doc", "_far"], "left").groupBy(f"{side}_doc").agg(F.max(score).alias(f"_{side}_other"))
+
+
+def _stars(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Star rows of mains and of compulsory documents, the edges between their classes, and like names."""
     keep = ["doc_id", "pos", *FACTS]
     rows = cut_lineage(docs.filter(F.col("doc_type").isin("motor_main", "motor_prb")).select("doc_type", *keep))
     mains, prbs = (rows.filter(F.col("doc_type") == t).select(*keep) for t in ("motor_main", "motor_prb"))
     names = cut_lineage(similar_names(mains, prbs))
-    return cut_lineage(_effective(mains, prbs, names, "main_name")), cut_lineage(_effective(prbs, mains, names, "prb_name")), names
+    distinct = lambda side, name: side.filter("car <> ''").select(F.col("car").alias(name)).distinct()
+    cars = contained_either_way(distinct(mains, "key"), distinct(prbs, "text"))
+    cars = cut_lineage(cars.select(F.col("key").alias("main_car"), F.col("text").alias("prb_car")))
+    m_rows = cut_lineage(_star_rows(_effective(mains, prbs, {"name": names.select(F.col("main_name").alias("name")), "car": cars.select(F.col("main_car").alias("car"))}), "m"))
+    p_rows = cut_lineage(_star_rows(_effective(prbs, mains, {"name": names.select(F.col("prb_name").alias("name")), "car": cars.select(F.col("prb_car").alias("car"))}), "p"))
+    return m_rows, p_rows, cut_lineage(_star_edges(m_rows, p_rows, names, cars)), names
 
 
 def candidate_edges(docs: DataFrame) -> DataFrame:
-    """Class pairs that reach the review score: m_cls, p_cls, their sizes, score, reasons."""
-    mains, prbs, names = _sides(docs)
-    return _edges(_classes(mains, "m_")[1], _classes(prbs, "p_")[1], names)
+    """Edges between star classes: star (its number in STARS), m_cls, p_cls, m_n and p_n (their documents), score."""
+    return _stars(docs)[2]
+
+
+def candidate_counts(docs: DataFrame) -> DataFrame:
+    """How many pairs of documents have each score (score, pairs), without listing a pair: pairs that agree in at least a
+    set of facts are counted by its edges, those that agree in exactly it by inclusion and exclusion over larger sets. Pairs
+    that agree in the VIN are in no set without it."""
+    edges = candidate_edges(docs)
+    at_least = edges.groupBy("star", "same_year", "same_file_year").agg(F.sum(F.col("m_n") * F.col("p_n")).alias("n"))
+    sets = [(k, j, (-1) ** (len(big) - len(small)), "file_plate" in small) for k, big in enumerate(STARS) for j, small in enumerate(STARS) if set(small) <= set(big) and ("vin" in small) == ("vin" in big)]
+    within = docs.sparkSession.createDataFrame(sets, "star int, part int, sign int, has_file boolean")
+    parts = at_least.join(within, "star").groupBy(F.col("part").alias("star"), "same_year", (F.col("same_file_year") & F.col("has_file")).alias("same_file_year"))
+    return _scored(parts.agg(F.sum(F.col("n") * F.col("sign")).alias("n"))).groupBy("score").agg(F.sum("n").alias("pairs")).filter("pairs > 0")
 
 
 def pair_documents(docs: DataFrame) -> DataFrame:
@@ -248,44 +282,34 @@ def pair_documents(docs: DataFrame) -> DataFrame:
     margin is the score less the best other candidate at either end (or the score). auto needs 50 points, a vehicle
     anchor, a margin of 15, equal known years, no flags and no plate conflict; all else is review.
     """
-    mains, prbs, names = _sides(docs)
-    m_members, mc = _classes(mains, "m_")
-    p_members, pc = _classes(prbs, "p_")
-    m_members, p_members = cut_lineage(m_members), cut_lineage(p_members)
-    edges = cut_lineage(_edges(mc, pc, names))
-    runs = _rounds(edges, m_members, p_members)
-    # k-th free main of a run with the k-th free compulsory document
-    m = runs.join(m_members, "m_cls").filter((F.col("rank") > F.col("m_done")) & (F.col("rank") <= F.col("m_done") + F.col("run")))
-    m = m.select("m_cls", "p_cls", "score", "p_done", "m_doc", (F.col("rank") - F.col("m_done")).alias("_k"))
-    picked = m.withColumn("rank", F.col("p_done") + F.col("_k")).join(p_members, ["p_cls", "rank"])
-    picked = picked.join(edges.select("m_cls", "p_cls", "reasons"), ["m_cls", "p_cls"]).join(_others(edges, "m", "p_n"), "m_cls").join(
-        _others(edges, "p", "m_n"), "p_cls"
-    )
-
-    def other(side: str) -> Column:
-        alone = (F.col("score") == F.col(f"{side}_top")) & (F.col(f"{side}_ties") == 1)
-        return F.when(alone, F.col(f"{side}_second")).otherwise(F.col(f"{side}_top"))
-
-    best_other = F.greatest(other("m"), other("p"))
-    facts = docs.select("doc_id", F.struct("flagged", "plate", "year").alias("f"))
+    m_rows, p_rows, edges, names = _stars(docs)
+    picked = cut_lineage(_assigned(edges, m_rows, p_rows))
+    facts = docs.select("doc_id", F.struct("flagged", *FACTS).alias("f"))
     rows = (
-        picked.withColumn("margin", F.when(best_other.isNull(), F.col("score")).otherwise(F.col("score") - best_other))
+        picked.join(_best_others(picked, edges, m_rows, p_rows, "m", "p"), "m_doc").join(_best_others(picked, edges, p_rows, m_rows, "p", "m"), "p_doc")
         .join(facts.withColumnsRenamed({"doc_id": "m_doc", "f": "_m"}), "m_doc")
         .join(facts.withColumnsRenamed({"doc_id": "p_doc", "f": "_p"}), "p_doc")
-    )
-    has = lambda r: F.array_contains("reasons", r)
-    anchor = has("vin") | (has("plate") & has("year")) | (has("file_plate") & has("file_year"))
+    )
+    rows = rows.withColumns({"_mn": F.col("_m.name"), "_pn": F.col("_p.name")})
+    rows = rows.join(names.select(F.col("main_name").alias("_mn"), F.col("prb_name").alias("_pn"), F.lit(True).alias("_alike")), ["_mn", "_pn"], "left")
+    best_other = F.greatest("_m_other", "_p_other")
+    rows = rows.withColumn("margin", F.when(best_other.isNull(), F.col("score")).otherwise(F.col("score") - best_other))
+    same = lambda f: F.coalesce(F.col(f"_m.{f}") == F.col(f"_p.{f}"), F.lit(False))
+    tests = {
+        "vin": same("vin"), "plate": same("plate"), "year": same("year"), "name": F.coalesce("_alike", F.lit(False)),
+        "car": F.coalesce(X.contains_either_way(F.col("_m.car"), F.col("_p.car")), F.lit(False)), "file_plate": same("file_plate"), "file_year": same("file_plate") & same("file_year"),
+    }
+    anchor = tests["vin"] | (tests["plate"] & tests["year"]) | (tests["file_plate"] & tests["file_year"])
     auto = (
         (F.col("score") >= AUTO_FROM)
         & anchor
         & (F.col("margin") >= LEAST_MARGIN)
-        & F.coalesce(F.col("_m.year") == F.col("_p.year"), F.lit(False))
+        & tests["year"]
         & ~(F.col("_m.flagged") | F.col("_p.flagged"))
         & F.coalesce(F.col("_m.plate") == F.col("_p.plate"), F.lit(True))
     )
-    return rows.select(
-        F.col("m_doc").alias("main_id"), F.col("p_doc").alias("prb_id"), "score", "reasons", "margin", F.when(auto, "auto").otherwise("review").alias("status")
-    )
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(f)) for f, t in tests.items()]))
+    return rows.select(F.col("m_doc").alias("main_id"), F.col("p_doc").alias("prb_id"), "score", reasons.alias("reasons"), "margin", F.when(auto, "auto").otherwise("review").alias("status"))
 
 
 def outcome_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:

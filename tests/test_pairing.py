@@ -1,7 +1,10 @@
 """Pairing against a sequential greedy pass, and the safety cases."""
 
+import hashlib
 import itertools
 import random
+import struct
+from collections import Counter
 from datetime import date
 from difflib import SequenceMatcher
 
@@ -52,25 +55,25 @@ def test_file_names_alone_propose_a_review_pair(spark):
     assert [(r.main_id, r.prb_id, r.status, r.score) for r in got] == [("0", "1", "review", 30)]
 
 
-def sequential(docs):
-    """The definition: all pairs scored, highest first, ties in input order."""
+def pair_score(m, p):
+    if m["vin"] and p["vin"] and m["vin"] != p["vin"] or m["year"] and p["year"] and m["year"] != p["year"]:
+        return -999
+    s = 50 * bool(m["vin"] and m["vin"] == p["vin"]) + 30 * bool(m["plate"] and m["plate"] == p["plate"])
+    s += 15 * bool(m["year"] and m["year"] == p["year"])
+    if m["name"] and p["name"] and SequenceMatcher(None, m["name"], p["name"]).ratio() >= 0.85:
+        s += 10
+    if m["car"] and p["car"] and (m["car"] in p["car"] or p["car"] in m["car"]):
+        s += 5
+    if m["file_plate"] and m["file_plate"] == p["file_plate"]:
+        s += 25 + 5 * bool(m["file_year"] and m["file_year"] == p["file_year"])
+    return s
 
-    def score(m, p):
-        if m["vin"] and p["vin"] and m["vin"] != p["vin"] or m["year"] and p["year"] and m["year"] != p["year"]:
-            return -999
-        s = 50 * bool(m["vin"] and m["vin"] == p["vin"]) + 30 * bool(m["plate"] and m["plate"] == p["plate"])
-        s += 15 * bool(m["year"] and m["year"] == p["year"])
-        if m["name"] and p["name"] and SequenceMatcher(None, m["name"], p["name"]).ratio() >= 0.85:
-            s += 10
-        if m["car"] and p["car"] and (m["car"] in p["car"] or p["car"] in m["car"]):
-            s += 5
-        if m["file_plate"] and m["file_plate"] == p["file_plate"]:
-            s += 25 + 5 * bool(m["file_year"] and m["file_year"] == p["file_year"])
-        return s
 
+def sequential(docs):
+    """The definition: all pairs scored, highest first, ties in input order."""
     mains = [d for d in docs if d["doc_type"] == "motor_main"]
     prbs = [d for d in docs if d["doc_type"] == "motor_prb"]
-    edges = [(score(m, p), m["doc_id"], p["doc_id"]) for m in mains for p in prbs]
+    edges = [(pair_score(m, p), m["doc_id"], p["doc_id"]) for m in mains for p in prbs]
     edges = sorted([e for e in edges if e[0] >= 30], key=lambda e: -e[0])
     used, out = set(), []
     for s, m, p in edges:
@@ -115,6 +118,45 @@ def test_one_plate_on_many_equal_documents_stays_small(spark):
     assert sorted((r.main_id, r.prb_id) for r in pairs) == [(f"m{i:04d}", f"p{i:04d}") for i in range(300)]
 
 
+def test_a_large_block_of_different_names_is_one_edge(spark):
+    """One plate and year on 20,000 mains and 20,000 partners, each name like one other at most."""
+    n = 20_000
+    name = lambda i: "".join(chr(0x4E00 + b % 20_000) for b in struct.unpack("<8H", hashlib.md5(b"%d" % i).digest()))
+    rows = [(f"m{i:05d}", i, "motor_main", None, "OTHER", 2025, name(i), None, None, None, False) for i in range(n)]
+    rows += [(f"p{i:05d}", n + i, "motor_prb", None, "OTHER", 2025, name(n + n // 2 - i), None, None, None, False) for i in range(n)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    edges = P.candidate_edges(docs)
+    # plate; plate and name; never the pairs of documents
+    assert edges.filter(F.col("score") == 45).count() == 1 and edges.count() <= 2 * n
+    joined = edges.select(F.sum(F.col("m_n") + F.col("p_n"))).first()[0]
+    assert joined < 5_000_000
+    got = {r.main_id: (r.prb_id, r.score) for r in P.pair_documents(docs).collect()}
+    # the sorted pass: equal names first, then what is left in order
+    partner = {name(n + n // 2 - i): f"p{i:05d}" for i in range(n)}
+    want = {f"m{i:05d}": (partner[name(i)], 55) for i in range(n) if name(i) in partner}
+    used = {p for p, _ in want.values()}
+    free = [f"p{i:05d}" for i in range(n) if f"p{i:05d}" not in used]
+    want |= {m: (p, 45) for m, p in zip((f"m{i:05d}" for i in range(n) if f"m{i:05d}" not in want), free)}
+    like = {m: v for m, v in got.items() if v[1] == 55}
+    assert len(got) == n and {m: v for m, v in want.items() if v[1] == 55}.items() <= like.items()
+    if len(like) == sum(v[1] == 55 for v in want.values()):  # no two of the other names are alike by chance
+        assert got == want
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_counts_of_pairs_equal_double_loops(spark, seed):
+    rng = random.Random(seed)
+    rows = [
+        (f"{i:03d}", i, rng.choice(["motor_main", "motor_prb"]), rng.choice(["V1", "V2", "V3", None]), rng.choice(["A", "B", None]), rng.choice([2024, 2025, None]),
+         rng.choice(["somchaijaidee", "somchaijaide", "wirotmeechok", None]), rng.choice(["TOYOTA", "TOYOTACITY", None]), rng.choice(["F", "G", None]), rng.choice([2567, 2568, None]), False)
+        for i in range(120)
+    ]
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    docs = [dict(zip(names, r)) for r in rows]
+    want = Counter(s for m in docs for p in docs if m["doc_type"] == "motor_main" and p["doc_type"] == "motor_prb" if (s := pair_score(m, p)) >= 30)
+    assert {r.score: r.pairs for r in P.candidate_counts(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_similar_names_miss_nothing(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 12))) for _ in range(60)]
