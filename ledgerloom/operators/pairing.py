@@ -19,7 +19,7 @@ from ledgerloom.functions.filenames import with_archive_name
 from ledgerloom.functions.similarity import sequence_ratio
 from ledgerloom.operators.extract import vin_candidates
 from ledgerloom.operators.linkage import contained_either_way
-from ledgerloom.operators.windows import keyed_positions
+from ledgerloom.operators.windows import keyed_positions, keyed_running
 from ledgerloom.session import cut_lineage
 
 # Points per fact and thresholds.
@@ -495,15 +495,14 @@ def _first_free(mains: DataFrame, prbs: DataFrame, keys: list[str], name: str) -
     Partners only are used up, so the first free one moves on in order: partner p is it from the time when all before it
     are used until its own use. Times are the mains' turns.
     """
-    never = F.lit(2**31 - 1)
-    by_order = W.partitionBy(*keys).orderBy("p_order").rowsBetween(W.unboundedPreceding, -1)
-    spans = prbs.withColumn("_until", F.coalesce("used_at", never)).withColumn("_from", F.coalesce(F.max("_until").over(by_order), F.lit(-1)))
+    never = F.lit(2**62)
+    spans = keyed_running(prbs.withColumn("_until", F.coalesce("used_at", never)), keys, ["p_order"], {"_from": ("max", "_until")}, before=True)
+    spans = cut_lineage(spans.withColumn("_from", F.coalesce("_from", F.lit(-1))))
     starts = spans.filter("_until > _from").select(*keys, F.col("_from").alias("t"), F.lit(0).alias("_k"), F.struct("p", "_until").alias("_s"), F.lit(0).alias("_gone"), F.lit(None).cast("string").alias("m"))
-    uses = prbs.filter("used_at is not null").select(*keys, F.col("used_at").alias("t"), F.lit(0).alias("_k"), F.lit(None).cast("struct<p:string,_until:int>").alias("_s"), F.lit(1).alias("_gone"), F.lit(None).cast("string").alias("m"))
-    turns = mains.select(*keys, F.col("m_order").alias("t"), F.lit(-1).alias("_k"), F.lit(None).cast("struct<p:string,_until:int>").alias("_s"), F.lit(0).alias("_gone"), "m")
-    so_far = W.partitionBy(*keys).orderBy("t", "_k").rowsBetween(W.unboundedPreceding, 0)
-    rows = starts.unionByName(uses).unionByName(turns)
-    rows = rows.withColumn("_s", F.last("_s", ignorenulls=True).over(so_far)).withColumn("_gone", F.sum("_gone").over(so_far)).filter("m is not null")
+    uses = prbs.filter("used_at is not null").select(*keys, F.col("used_at").alias("t"), F.lit(0).alias("_k"), F.lit(None).cast("struct<p:string,_until:bigint>").alias("_s"), F.lit(1).alias("_gone"), F.lit(None).cast("string").alias("m"))
+    turns = mains.select(*keys, F.col("m_order").alias("t"), F.lit(-1).alias("_k"), F.lit(None).cast("struct<p:string,_until:bigint>").alias("_s"), F.lit(0).alias("_gone"), "m")
+    rows = starts.unionByName(uses).unionByName(turns).withColumns({"_start": F.col("_s"), "_use": F.col("_gone")}).drop("_s", "_gone")
+    rows = keyed_running(rows, keys, ["t", "_k"], {"_s": ("last", "_start"), "_gone": ("sum", "_use")}).filter("m is not null")
     total = prbs.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = rows.join(total, keys, "left")
     first = F.when(F.col("_s._until") >= F.col("t"), F.col("_s.p"))
@@ -519,8 +518,7 @@ def pair_by_evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Unmatched are the mains and compulsory documents in no ready pair.
     """
     doc = docs.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("doc_id").cast("string").alias("doc_id"), "pos", "doc_type", F.col("year").cast("string").alias("year"), "vins", "tokens")
-    turn = W.partitionBy("batch_id", "doc_type").orderBy("pos", "doc_id")
-    doc = cut_lineage(doc.filter(F.col("doc_type").isin("motor_main", "motor_prb")).withColumn("_order", F.row_number().over(turn)))
+    doc = cut_lineage(keyed_positions(doc.filter(F.col("doc_type").isin("motor_main", "motor_prb")), ["batch_id", "doc_type"], ["pos", "doc_id"], "_order"))
     side = lambda kind, n: doc.filter(F.col("doc_type") == kind).select("batch_id", F.col("doc_id").alias(n), F.col("_order").alias(f"{n}_order"), F.col("pos").alias(f"{n}_pos"), "year", "vins", "tokens")
     mains, prbs = side("motor_main", "m"), side("motor_prb", "p")
     edges = cut_lineage(_scored_edges(mains, prbs))

@@ -37,6 +37,35 @@ def keyed_positions(df: DataFrame, keys: list[str], order: list[str], name: str
     return joined.withColumn(name, (F.col("_rank") + F.col("_offset")).cast("long")).drop("_part", "_rank", "_offset")
 
 
+def keyed_running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]], before: bool = False) -> DataFrame:
+    """Running values per key: ``values`` maps a new column to (sum, max or last; column), over the rows up to this one, or
+    with ``before`` up to the one before. ``last`` is the last value that is not null; a sum of no rows is 0.
+
+    A segmented scan: rows are range-partitioned by (key, order), each partition runs over its own rows, and the totals of a
+    key's earlier partitions are carried in, so one key may span many tasks.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    at = F.struct(*order)
+    total = {
+        "sum": lambda c: F.sum(c),
+        "max": lambda c: F.max(c),
+        "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)),
+    }
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ranged.groupBy(*keys, "_part").agg(*[total[kind](c).alias(f"_t_{name}") for name, (kind, c) in values.items()])
+    carried = carried.select(*keys, "_part", *[over[kind](f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _) in values.items()])
+    here = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    rows = ranged.withColumns({f"_l_{name}": over[kind](c).over(here) for name, (kind, c) in values.items()}).join(carried, [*keys, "_part"])
+    merged = {
+        "sum": lambda own, carry: F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0)),
+        "max": lambda own, carry: F.greatest(own, carry),
+        "last": lambda own, carry: F.coalesce(own, carry),
+    }
+    rows = rows.withColumns({name: merged[kind](F.col(f"_l_{name}"), F.col(f"_c_{name}")) for name, (kind, _) in values.items()})
+    return rows.drop("_part", *[f"_{x}_{name}" for x in "lc" for name in values])
+
+
 def first_seen(df: DataFrame, keys: list[str], position: str, value: str, name: str) -> DataFrame:
     """Adds the ``value`` of the first row of each key by ``position``; null on that row and where a key part is null.
 

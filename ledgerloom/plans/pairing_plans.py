@@ -103,6 +103,53 @@ def jn_19(spark, sf):
     return P.pair_by_evidence(P.evidence_of(docs))[0].withColumn("reasons", F.array_join("reasons", "; "))
 
 
+def _turn_batches(spark, sf):
+    """Turns of a conversation as a batch with evidence: words as tokens, and VINs and years by the length of the text."""
+    n = F.length("text")
+    return R.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("batch_id"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("turn").cast("int").alias("pos"),
+        F.when(F.col("role") == "user", "motor_main").otherwise("motor_prb").alias("doc_type"), F.when(n % 7 > 0, n % 2).cast("int").alias("year"),
+        F.when(n % 4 > 0, F.array(F.concat(F.lit("V"), (n % 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("vins"),
+        F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{4,9})"), F.lit(1))).alias("tokens"),
+    )
+
+
+#: One main after the other, each against its batch's candidates in order: the used partners are a list carried along.
+_TURNS_SQL = """WITH RECURSIVE t AS (SELECT cast(conv_id as string) AS batch_id, concat(conv_id, '-', turn) AS doc_id, turn AS pos, role = 'user' AS is_main,
+         CASE WHEN length(text) % 7 > 0 THEN length(text) % 2 END AS year, CASE WHEN length(text) % 4 > 0 THEN ['V' || (length(text) % 3)] ELSE [] END AS vins,
+         list_filter(list_distinct(regexp_extract_all(text, '[a-z]{4,9}')), lambda w: length(w) >= 5) AS tokens FROM conversations),
+       o AS (SELECT *, row_number() OVER (PARTITION BY batch_id, is_main ORDER BY pos, doc_id) AS k FROM t),
+       s AS (SELECT m.batch_id, m.k, m.doc_id AS main, p.doc_id AS prb, p.k AS p_k, abs(m.pos - p.pos) = 1 AND coalesce(m.year = p.year, false) AS beside,
+           CASE WHEN len(list_intersect(m.vins, p.vins)) > 0 THEN 80 ELSE 0 END + CASE WHEN m.year = p.year THEN 20 ELSE 0 END
+           + CASE WHEN abs(m.pos - p.pos) = 1 THEN 18 WHEN abs(m.pos - p.pos) <= 3 THEN 8 ELSE 0 END + least(22, 3 * len(list_intersect(m.tokens, p.tokens))) AS score
+         FROM o m JOIN o p ON m.batch_id = p.batch_id AND m.is_main AND NOT p.is_main),
+       c AS (SELECT batch_id, k, main, list({'p': prb, 's': score, 'b': beside} ORDER BY score DESC, p_k) AS cands FROM s GROUP BY 1, 2, 3),
+       r AS (SELECT DISTINCT batch_id, cast(0 as bigint) AS k, cast([] AS varchar[]) AS used, cast(NULL as varchar) AS main_id, cast(NULL as varchar) AS prb_id, cast(0 as bigint) AS score, cast(0 as bigint) AS runner_up, false AS ready FROM c
+         UNION ALL
+         SELECT batch_id, k, CASE WHEN ready THEN list_append(used, f[1].p) ELSE used END, main, f[1].p, f[1].s, coalesce(f[2].s, 0), ready
+         FROM (SELECT *, (f[1].s >= 80 OR (f[1].s >= 44 AND f[1].b)) AND f[1].s - coalesce(f[2].s, 0) >= 8 AS ready
+           FROM (SELECT c.batch_id, c.k, c.main, r.used, list_filter(c.cands, lambda x: NOT list_contains(r.used, x.p)) AS f FROM r JOIN c ON c.batch_id = r.batch_id AND c.k = r.k + 1)))"""
+
+
+@query(
+    "jn_19b_evidence_answers",
+    f"""{_TURNS_SQL} SELECT batch_id, main_id, prb_id, cast(score as int) AS score, cast(runner_up as int) AS runner_up, CASE WHEN ready THEN 'ready_for_review' ELSE 'needs_manual_check' END AS status FROM r WHERE prb_id IS NOT NULL""",
+)
+def jn_19b(spark, sf):
+    """Every main with its answer, best and second score."""
+    return P.pair_by_evidence(_turn_batches(spark, sf))[0].drop("reasons")
+
+
+@query(
+    "jn_19c_evidence_unmatched",
+    f"""{_TURNS_SQL} SELECT batch_id, doc_id, CASE WHEN is_main THEN 'motor_main' ELSE 'motor_prb' END AS doc_type FROM t
+       WHERE doc_id NOT IN (SELECT main_id FROM r WHERE ready UNION ALL SELECT prb_id FROM r WHERE ready)""",
+)
+def jn_19c(spark, sf):
+    """Mains and compulsory documents in no ready pair."""
+    return P.pair_by_evidence(_turn_batches(spark, sf))[1]
+
+
 @query(
     "win_8_neighbour_distance",
     """SELECT apart, count(*) AS pairs FROM (SELECT abs(a.turn - b.turn) AS apart FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant') WHERE apart <= 3 GROUP BY 1""",

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import struct
 from collections import Counter
 from datetime import date
@@ -11,7 +12,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import pairing as P, rules as RU
+from ledgerloom.operators import pairing as P, rules as RU, windows as WN
 from ledgerloom.schemas import BATCH_DOCUMENTS
 
 VIN = "MRHGM2620CP400001"
@@ -254,3 +255,53 @@ def test_evidence_reasons(spark):
     assert got["0"].reasons == ["vin: V", "same year", "next to each other", "shared: TOKEN1"] and got["0"].status == "ready_for_review"
     assert got["2"].reasons == ["same year", "next to each other", "shared: TOKEN1"] and got["2"].prb_id == "3"
     assert sorted(r.doc_id for r in unmatched.collect()) == ["2", "3"]
+
+
+def test_a_batch_of_200000_files_is_no_single_task(spark):
+    """Partners by VIN where it is known, else by place, else the first free one; against a pass that looks only nearby."""
+    n = 200_000
+    rng = random.Random(23)
+    vin = [f"V{i // 2}" if (i // 2) % 10 < 7 else None for i in range(n)]
+    rows = [("big", f"d{i:06d}", i * 5 if i // 2 % 10 else i * 5 - i % 2 * 4, "motor_main" if i % 2 == 0 else "motor_prb", None, [vin[i]] if vin[i] else [], []) for i in range(n)]
+    rng.shuffle(rows)
+    pairs, unmatched = P.pair_by_evidence(spark.createDataFrame(rows, EVIDENCE).repartition(8))
+    ordered = sorted(rows, key=lambda r: (r[2], r[1]))
+    at = {r[2]: r for r in ordered if r[3] == "motor_prb"}
+    by_vin = {r[5][0]: r for r in at.values() if r[5]}
+    free, first, want, used = [r for r in ordered if r[3] == "motor_prb"], 0, {}, set()
+    for _, main, pos, kind, _, vins, _ in ordered:
+        if kind != "motor_main":
+            continue
+        while first < len(free) and free[first][1] in used:
+            first += 1
+        near = {at[p][1]: 18 if abs(p - pos) == 1 else 8 for p in range(pos - 3, pos + 4) if p in at}
+        if vins and vins[0] in by_vin:
+            near[by_vin[vins[0]][1]] = near.get(by_vin[vins[0]][1], 0) + 80
+        ranked = sorted((-s, p) for p, s in near.items() if p not in used)
+        best = ranked[0] if ranked else (0, free[first][1])
+        second = -ranked[1][0] if len(ranked) > 1 else 0
+        want[main] = (best[1], -best[0], second)
+        if -best[0] >= 80 and -best[0] - second >= 8:
+            used |= {main, best[1]}
+    assert {r.main_id: (r.prb_id, r.score, r.runner_up) for r in pairs.collect()} == want
+    assert {r.doc_id for r in unmatched.collect()} == {r[1] for r in rows} - used
+
+
+def test_no_window_over_a_whole_batch(spark):
+    rows = [("b", str(i), i, "motor_main" if i % 2 else "motor_prb", 2024, [], ["TOKEN1"]) for i in range(20)]
+    pairs, unmatched = P.pair_by_evidence(spark.createDataFrame(rows, EVIDENCE))
+    for frame in (pairs, unmatched):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        specs = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", plan)
+        assert specs and all("_part#" in x or re.search(r"\bm#", x) for x in specs)
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_running_values_over_range_partitions(spark, before):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b"]), i, rng.choice([None, 1, 5, 3])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    got = {r.i: (r.s, r.m, r.l) for r in WN.keyed_running(df, ["k"], ["i"], {"s": ("sum", "v"), "m": ("max", "v"), "l": ("last", "v")}, before).collect()}
+    for key, i, v in rows:
+        own = [x for k, j, x in rows if k == key and (j < i or j == i and not before) and x is not None]
+        assert got[i] == (sum(own), max(own, default=None), own[-1] if own else None)
