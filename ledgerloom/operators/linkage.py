@@ -7,8 +7,11 @@ the rows last. A key that a third of all rows share is one row while matching ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.functions import dates as D, text as X
@@ -41,6 +44,61 @@ def prefixes(text: Column, shortest: int, longest: int | None = None) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def prefix_pairs(shorts: DataFrame, longs: DataFrame) -> DataFrame:
+    """(short, long) with the long text beginning with the short one, equal texts too. Inputs: one distinct column each,
+    ``short`` and ``long``; nulls drop out.
+
+    In sorted order what begins with a text follows it at once, so each task walks a range of both sides together with the
+    stack of short texts that the current one begins with: rows made are the matches, whatever the lengths. What is on the
+    stack where a range ends is carried to the next (per range its first and last text and some lengths, folded in order).
+    """
+    rows = shorts.select(F.col("short").alias("text"), F.lit(0).alias("is_long")).unionByName(longs.select(F.col("long").alias("text"), F.lit(1).alias("is_long")))
+    rows = rows.filter("text is not null")
+    ranged = cut_lineage(rows.repartitionByRange("text", "is_long").sortWithinPartitions("text", "is_long"))
+
+    def walk(batches: Iterator[pa.RecordBatch], stack: list[str]) -> Iterator[tuple[str, bool, list[str]]]:
+        """Every text with the short ones it begins with, itself among them if short."""
+        for batch in batches:
+            for text, is_long in zip(batch["text"].to_pylist(), batch["is_long"].to_pylist()):
+                while stack and not text.startswith(stack[-1]):
+                    stack.pop()
+                if not is_long:
+                    stack.append(text)
+                yield text, bool(is_long), stack
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        stack: list[str] = []
+        for text, _, stack in walk(batches, stack):
+            first, last = text if first is None else first, text
+        if first is not None:
+            part, sizes = TaskContext.get().partitionId(), [len(s) for s in stack]
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "first": [first], "last": [last], "sizes": pa.array([sizes], pa.list_(pa.int32()))})
+
+    carried, before = {}, []
+    for end in ranged.mapInArrow(ends, "part int, first string, last string, sizes array<int>").orderBy("part").collect():  # a row per range
+        before = [s for s in before if end["first"].startswith(s)]
+        if before:
+            carried[end["part"]] = before
+        before = [s for s in before if end["last"].startswith(s)] + [end["last"][:n] for n in end["sizes"]]
+    carry = shorts.sparkSession.sparkContext.broadcast(carried)
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long, size = [], [], 0
+        for text, is_long, stack in walk(batches, list(carry.value.get(TaskContext.get().partitionId(), []))):
+            if is_long and stack:
+                short.extend(stack)
+                long.extend([text] * len(stack))
+                size += len(stack) * len(text)
+            if size >= 4_000_000:
+                yield pa.record_batch({"short": short, "long": long})
+                short, long, size = [], [], 0
+        if short:
+            yield pa.record_batch({"short": short, "long": long})
+
+    return ranged.mapInArrow(matches, "short string, long string")
+
+
 def join_on_rarest(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, text) pairs that share the key's rarest block; complete when a match needs every block of the key.
 
@@ -516,9 +574,10 @@ def file_by_prefix_key(policies: DataFrame, files: DataFrame) -> DataFrame:
     words = tried.select("tried").distinct()
     groups = _least_names(scan_groups(files).filter("prefix_key is not null"), ["prefix_key", "year", "compulsory"])
     keys = groups.select("prefix_key").distinct()
-    extends = keys.select("prefix_key", F.explode(prefixes(F.col("prefix_key"), 1)).alias("tried")).join(words, "tried")
-    starts = words.select("tried", F.explode(prefixes(F.col("tried"), 8)).alias("prefix_key")).join(keys, "prefix_key")
-    pairs = extends.select("tried", "prefix_key").unionByName(starts.select("tried", "prefix_key")).distinct()
+    words, keys = cut_lineage(words), cut_lineage(keys)
+    extends = prefix_pairs(words.select(F.col("tried").alias("short")), keys.select(F.col("prefix_key").alias("long")))
+    starts = prefix_pairs(keys.filter(F.length("prefix_key") >= 8).select(F.col("prefix_key").alias("short")), words.select(F.col("tried").alias("long")))
+    pairs = extends.select(F.col("short").alias("tried"), F.col("long").alias("prefix_key")).unionByName(starts.select(F.col("long").alias("tried"), F.col("short").alias("prefix_key"))).distinct()
     hits = tried.join(pairs, "tried").join(groups, "prefix_key")
     order = F.struct("tier", (F.col("compulsory") != F.col("compulsory_wanted")).cast("int"), _year_rank(), "name")
     return _answer(rows, hits, order)
