@@ -76,30 +76,54 @@ def with_archive_name(df: DataFrame, name: str = "name", suffix_length: int = 25
     )
 
 
+# The signs of a loose name. A word sign is a letter, a digit or an underscore; Thai marks are none.
+_WORD = r"[\p{L}\p{N}_]"
+LOOSE_LABEL = r"(?:กธ|พรบ|ก\.ธ|พ\.ร\.บ)"
+LOOSE_PLATE = r"(?:^|\s)(\d?[ก-ฮ]{1,2})\s*(\d{2,4})(?:\s|$)"
+LOOSE_PLATE_INSIDE = rf"^([\s\S]*?)(?<!{_WORD})([ก-ฮ]{{1,2}})\s*(\d{{2,4}})(?!{_WORD})"
+LOOSE_YEAR = rf"{LOOSE_LABEL}[\s\.]*(\d{{2}})(?!{_WORD})"
+LOOSE_DATE = r"(?i)(\d{1,2})\.(\d{1,2})\.(\d{2,4})(?:\s|$|\.pdf)"
+LOOSE_YEARS, LOOSE_DATE_YEARS = (2000, 2030), (1990, 2035)
+PLATE_ANYWHERE = r"\d*[ก-ฮ]{1,2}\s*\d{2,4}"
+
+
 def parse_loose_name(name) -> Column:
-    """struct(license_plate, coverage_end, other): a plate set off by blanks, the Buddhist year as 31 December,
-    else a d.m.y date, and the remaining words."""
+    """struct(license_plate, year_be, coverage_end, insured_address, insured_name) read from a name without a fixed form.
+
+    The plate stands between blanks, else anywhere but right after a label. A label's year means 31 December of it; a d.m.y
+    date in range replaces that. Without label, date, brackets, counter, plate and leading numbers, what is left is an
+    address (the name up to a label) if it has four Thai signs among six, or a person if it is all Latin capitals.
+    """
     base = F.trim(F.regexp_replace(F.col(name) if isinstance(name, str) else name, r"\.(pdf|PDF)$", ""))
-    spaced = r"(?:^|\s)(\d?[ก-ฮ]{1,2})\s*(\d{2,4})(?:\s|$)"
-    free = r"(?<![ก-๙A-Za-z0-9])(?!กธ|พรบ|กธ\.)([ก-ฮ]{1,2})\s*(\d{2,4})(?![ก-๙A-Za-z0-9])"
-    plate = F.when(base.rlike(spaced), F.concat_ws(" ", F.regexp_extract(base, spaced, 1), F.regexp_extract(base, spaced, 2))).when(
-        base.rlike(free), F.concat_ws(" ", F.regexp_extract(base, free, 1), F.regexp_extract(base, free, 2))
+    part = lambda pattern, k: F.regexp_extract(base, pattern, k)
+    refused = part(LOOSE_PLATE_INSIDE, 1).rlike(rf"{LOOSE_LABEL}\s*$")
+    plate = F.when(base.rlike(LOOSE_PLATE), F.concat_ws(" ", part(LOOSE_PLATE, 1), part(LOOSE_PLATE, 2))).when(
+        base.rlike(LOOSE_PLATE_INSIDE) & ~refused, F.concat_ws(" ", part(LOOSE_PLATE_INSIDE, 2), part(LOOSE_PLATE_INSIDE, 3))
     )
-    label_year = r"(?:กธ|พรบ|ก\.ธ|พ\.ร\.บ)[\s\.]*(\d{2})(?!\d)"
-    year_end = F.concat(
-        (F.regexp_extract(base, label_year, 1).try_cast("int") + 2500 - 543).cast("string"), F.lit("-12-31")
-    ).try_cast("date")
-    dmy = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})"
-    y = F.regexp_extract(base, dmy, 3).try_cast("int")
-    y = F.when(y < 100, y + 2000).otherwise(y)
-    y = F.when(y >= 2500, y - 543).otherwise(y)
-    day_end = F.concat_ws(
-        "-", y.cast("string"), F.lpad(F.regexp_extract(base, dmy, 2), 2, "0"), F.lpad(F.regexp_extract(base, dmy, 1), 2, "0")
-    ).try_cast("date")
-    rest = squeeze(F.regexp_replace(F.regexp_replace(base, label_year, " "), dmy, " "))
+    year = part(LOOSE_YEAR, 1).try_cast("int") + 2500 - 543
+    year = F.when(year.between(*LOOSE_YEARS), year)
+    day, month, y = (part(LOOSE_DATE, k).try_cast("int") for k in (1, 2, 3))
+    y = F.when(y < 100, y + 2000).when(y >= 2500, y - 543).otherwise(y)
+    dated = y.between(*LOOSE_DATE_YEARS) & month.between(1, 12) & day.between(1, 31)
+    end = F.when(dated, F.concat_ws("-", y, month, day)).otherwise(F.concat(year.cast("string"), F.lit("-12-31")))
+
+    def without(text: Column, *patterns: str) -> Column:
+        for pattern in patterns:
+            text = F.regexp_replace(text, pattern, "")
+        return F.trim(F.regexp_replace(text, r"[\s_]+", " "))
+
+    brackets = r"\(.*?\)"
+    clean = without(base, rf"{LOOSE_LABEL}[\s\.]*\d{{2}}(?!{_WORD}).*", r"\d{1,2}\.\d{1,2}\.\d{2,4}.*", brackets, r"_\d{4}$")
+    clean = F.trim(F.regexp_replace(F.trim(F.regexp_replace(clean, PLATE_ANYWHERE, "")), r"^[\d\-/\.]+\s*", ""))
+    thai = F.length(F.regexp_replace(clean, r"[^\u0E01-\u0E7F]", ""))
+    is_place = clean.rlike(r"[\u0E01-\u0E5B]") & (thai >= 4) & (F.length(clean) >= 6)
+    address = without(F.regexp_replace(base, r"^(\d+)-(\d+)", "$1/$2"), r"(?:กธ|พรบ)[\s\.]*\d{2}.*", brackets, r"_\d{4}")
+    long_enough = F.length(F.trim(F.regexp_replace(address, PLATE_ANYWHERE, ""))) >= 5
+    person = F.when(~is_place & clean.rlike(r"^[A-Z][A-Z\s]+$") & (F.length(clean) >= 4), F.initcap(F.lower(clean)))
     return F.struct(
-        plate.alias("license_plate"), F.coalesce(year_end, day_end).alias("coverage_end"), rest.alias("other")
-    )
+        plate.alias("license_plate"), F.when(year.isNotNull(), year + 543).alias("year_be"), end.try_cast("date").alias("coverage_end"),
+        F.when(is_place & long_enough, F.substring(address, 1, 200)).alias("insured_address"), person.alias("insured_name"),
+    )
 
 
 def scan_year(stem: Column) -> Column:

@@ -192,37 +192,63 @@ def _renamed(pairs: DataFrame, mapping: DataFrame, kind: str) -> DataFrame:
 
 
 def _typed_pairs(parsed: DataFrame, stats: DataFrame) -> DataFrame:
-    """(kind, key, text) for the type-aware rules."""
+    """(kind, key, text) of plates and names for the type-aware rules."""
     probes = _probes(parsed)
     plate = probes.filter("kind = 'plate'").select("key", X.plate_key("key").alias("_norm"))
     plates = contained_either_way(plate.select(F.col("_norm").alias("key")).distinct(), _texts(stats, "plate"))
     name = probes.filter("kind = 'name'").select("key", X.plate_key("key").alias("_norm"))
     names = contained_either_way(name.select(F.col("_norm").alias("key")).distinct(), _texts(stats, "name"))
 
-    address = probes.filter("kind = 'address'").select(
-        "key", F.regexp_replace("number", r"[/\-]", "").alias("number"), X.address_words_key("suffix").alias("words")
-    )
-    # The first occurrence of the number must be free of digits on both sides, so it is a whole digit run.
-    runs = _texts(stats, "address").select(
-        "text", F.regexp_replace("text", r"\d+", "").alias("words"),
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)))).alias("number"),
-    )
+    return _renamed(plates, plate, "plate").unionByName(_renamed(names, name, "name"))
+
+
+_SUMS = {"n_all": F.sum, "n_fit": F.sum, "first_all": F.min, "first_fit": F.min}
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[total(c).alias(c) for c, total in _SUMS.items()])
+
+
+def _typed_addresses(parsed: DataFrame, stats: DataFrame) -> DataFrame:
+    """Sums per (kind, key, year) of the policies whose address has the key's house number, its first occurrence free of
+    digits on both sides, and shares a run of three letters with the key's words (any address if those are under two).
+
+    Both sides are dictionaries of distinct (number, words), policies summed per entry and year. Of each number the run that
+    most entries hold, such as a common street word, is counted once for all keys that hold it too; so keys and entries
+    only meet one by one on other runs, and never if both hold that one.
+    """
+    probes = parsed.filter("kind = 'address' and key <> ''").select("key", F.regexp_replace("number", r"[/\-]", "").alias("number"), X.address_words_key("suffix").alias("words"))
+    address = cut_lineage(probes.distinct())
+    found = stats.filter("kind = 'address'").withColumn("number", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)))))
+    found = found.join(address.select("number").distinct(), "number", "left_semi")
     at = F.instr("text", F.col("number"))
     after = F.substring(F.col("text"), at + F.length("number"), F.lit(1))
     before = F.substring(F.col("text"), at - 1, F.lit(1))
-    runs = runs.filter(~(after.rlike(r"\d") | ((at > 1) & before.rlike(r"\d"))))
-    by_number = address.filter(F.length("words") < 2).join(runs.select("number", "text"), "number")
-    by_words = (
-        address.filter(F.length("words") >= 2)
-        .select("key", "number", F.explode(X.grams("words", 3)).alias("_gram"))
-        .join(runs.select("number", "text", F.explode(X.grams("words", 3)).alias("_gram")), ["number", "_gram"])
-    )
-    addresses = by_number.select("key", "text").unionByName(by_words.select("key", "text")).distinct()
-    return (
-        _renamed(plates, plate, "plate")
-        .unionByName(_renamed(names, name, "name"))
-        .unionByName(addresses.select(F.lit("address").alias("kind"), "key", "text"))
-    )
+    found = found.filter(~(after.rlike(r"\d") | ((at > 1) & before.rlike(r"\d"))))
+    entries = cut_lineage(_summed(found.withColumn("words", F.regexp_replace("text", r"\d+", "")), ["number", "words", "year"]))
+
+    by_number = address.filter(F.length("words") < 2).join(_summed(entries, ["number", "year"]), "number").select("key", "year", *_SUMS)
+
+    def told(df: DataFrame) -> DataFrame:
+        """Distinct (number, words) with an id and their runs."""
+        return cut_lineage(df.select("number", "words").distinct().withColumn("id", F.monotonically_increasing_id())).withColumn("runs", X.grams("words", 3))
+
+    texts, keys = told(entries), told(address.filter(F.length("words") >= 2))
+    common = texts.select("number", F.explode("runs").alias("run")).groupBy("number", "run").agg(F.count("*").alias("n"))
+    common = common.groupBy("number").agg(F.max(F.struct("n", "run"))["run"].alias("common"))
+    holds = F.coalesce(F.array_contains("runs", F.col("common")), F.lit(False))
+    texts, keys = (cut_lineage(side.join(common, "number", "left").withColumn("holds", holds).drop("common")) for side in (texts, keys))
+    summed = texts.select("number", "words", "id", "holds").join(entries, ["number", "words"])
+    by_common = keys.filter("holds").select("id", "number").join(_summed(summed.filter("holds"), ["number", "year"]), "number").select("id", "year", *_SUMS)
+
+    # a key meets all entries on a run, or those without the common one if it holds that itself
+    sides = lambda df, marks: df.select("id", "number", F.explode("runs").alias("run"), marks.alias("_m")).withColumn("_m", F.explode("_m"))
+    m = sides(keys, F.when(F.col("holds"), F.array(F.lit("other"))).otherwise(F.array(F.lit("any"))))
+    t = sides(texts, F.when(F.col("holds"), F.array(F.lit("any"))).otherwise(F.array(F.lit("any"), F.lit("other")))).withColumnRenamed("id", "text_id")
+    met = m.join(t, ["number", "run", "_m"]).select("id", "text_id").distinct()
+    by_run = met.join(summed.select(F.col("id").alias("text_id"), "year", *_SUMS), "text_id").select("id", "year", *_SUMS)
+    by_words = keys.select("id", "number", "words").join(_summed(by_common.unionByName(by_run), ["id", "year"]), "id").join(address, ["number", "words"])
+    return by_number.unionByName(by_words.select("key", "year", *_SUMS)).select(F.lit("address").alias("kind"), "key", "year", *_SUMS)
 
 
 def _by_key_and_year(pairs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -255,7 +281,7 @@ def link_typed(files: DataFrame, policies: DataFrame, strict_type: bool = True,
             "name": X.plate_key("insured_name"),
         },
     )
-    per_key = _by_key_and_year(_typed_pairs(names, stats), stats)
+    per_key = _by_key_and_year(_typed_pairs(names, stats), stats).unionByName(_typed_addresses(names, stats))
     probe = names.filter("kind <> 'unknown' and key <> ''").select("kind", "key", "year_be").distinct()
     away = D.year_distance(F.col("year"), F.col("year_be"))
     in_year = (away == 0) | F.col("year_be").isNull() if strict_year else F.lit(True)

@@ -85,7 +85,7 @@ def fn_24(spark, sf):
 
 @query(
     "fn_25_parse_filename_loose",
-    """SELECT path, CASE WHEN pl <> '' THEN concat(pl, ' ', dg) END AS license_plate, CASE WHEN yy <> '' THEN concat(cast(cast(yy as int) + 1957 as string), '-12-31') END AS coverage_end
+    """SELECT path, CASE WHEN pl <> '' THEN concat(pl, ' ', dg) END AS license_plate, CASE WHEN yy <> '' AND cast(yy as int) BETWEEN 43 AND 73 THEN concat(cast(cast(yy as int) + 1957 as string), '-12-31') END AS coverage_end
        FROM (SELECT path, regexp_extract(st, '(?:^|\\s)([0-9]?[ก-ฮ]{1,2})\\s*([0-9]{2,4})(?:\\s|$)', 1) AS pl, regexp_extract(st, '(?:^|\\s)([0-9]?[ก-ฮ]{1,2})\\s*([0-9]{2,4})(?:\\s|$)', 2) AS dg,
          regexp_extract(st, '(?:กธ|พรบ)[\\s\\.]*([0-9]{2})(?:[^0-9]|$)', 1) AS yy FROM (SELECT path, left(name, length(name) - 4) AS st FROM files))""",
 )
@@ -94,6 +94,31 @@ def fn_25(spark, sf):
     return R.files(spark, sf).select("path", p["license_plate"].alias("license_plate"), p["coverage_end"].cast("string").alias("coverage_end"))
 
 
+#: Loose names with label years in and out of range, dates behind them, plates after labels, places and persons.
+_LOOSE_NAMES = "list_value('กธ.99 ', 'บ้านสวน พรบ 60 ', '12-34 หมู่บ้านทดสอบ กธ.', 'JOHN SMITH ', 'กข 1234 กธ.59 ', 'x-กข12-y ', 'พรบ-กข 12(ก) ', 'กธ ขค12)')"
+_LOOSE_ENDS = "list_value('', '09.07.17', '31.12.2560.pdf', '1.13.60', '5.5.36x', '(a)_0001')"
+
+
+@query(
+    "fn_25b_loose_name_fields",
+    f"""WITH n AS (SELECT o_orderkey AS id, concat({_LOOSE_NAMES}[o_orderkey % 8 + 1], CASE WHEN o_orderkey % 3 = 0 THEN cast(o_orderkey % 100 as string) ELSE '' END, CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '' END, {_LOOSE_ENDS}[o_custkey % 6 + 1]) AS raw FROM orders),
+       b AS (SELECT id, trim(regexp_replace(raw, '\\.(pdf|PDF)$', '')) AS n FROM n),
+       y AS (SELECT id, n, try_cast(regexp_extract(n, '(?:กธ|พรบ|ก\\.ธ|พ\\.ร\\.บ)[\\s\\.]*([0-9]{{2}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1) AS int) + 1957 AS y,
+         regexp_extract(n, '(?i)([0-9]{{1,2}})\\.([0-9]{{1,2}})\\.([0-9]{{2,4}})(?:\\s|$|\\.pdf)', ['d', 'm', 'y']) AS t FROM b),
+       z AS (SELECT id, n, CASE WHEN y BETWEEN 2000 AND 2030 THEN y END AS y, try_cast(t.d AS int) AS dd, try_cast(t.m AS int) AS mm,
+         CASE WHEN try_cast(t.y AS int) < 100 THEN try_cast(t.y AS int) + 2000 WHEN try_cast(t.y AS int) >= 2500 THEN try_cast(t.y AS int) - 543 ELSE try_cast(t.y AS int) END AS yy FROM y)
+       SELECT id, cast(y + 543 AS int) AS year_be, cast(CASE WHEN yy BETWEEN 1990 AND 2035 AND mm BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 THEN try_cast(concat_ws('-', yy, mm, dd) AS date) ELSE try_cast(concat(y, '-12-31') AS date) END AS string) AS coverage_end FROM z""",
+)
+def fn_25b(spark, sf):
+    """Years and dates of loose names: a date in range replaces the label's year, a year out of range is none."""
+    names = F.expr("array('กธ.99 ', 'บ้านสวน พรบ 60 ', '12-34 หมู่บ้านทดสอบ กธ.', 'JOHN SMITH ', 'กข 1234 กธ.59 ', 'x-กข12-y ', 'พรบ-กข 12(ก) ', 'กธ ขค12)')[o_orderkey % 8]")
+    ends = F.expr("array('', '09.07.17', '31.12.2560.pdf', '1.13.60', '5.5.36x', '(a)_0001')[o_custkey % 6]")
+    key = F.col("o_orderkey")
+    name = F.concat(names, F.when(key % 3 == 0, (key % 100).cast("string")).otherwise(""), F.when(key % 2 == 0, " ").otherwise(""), ends)
+    p = parse_loose_name(name)
+    return R.table(spark, sf, "orders").select(key.alias("id"), p["year_be"].alias("year_be"), p["coverage_end"].cast("string").alias("coverage_end"))
+
+
 @query(
     "flt_14_file_gate",
     f"""WITH {PARSED} SELECT path, {KIND} AS doc_kind, CASE WHEN ({KIND}) IS NULL THEN 'skip_filetype' WHEN year_be < 2541 THEN 'skip_year' ELSE 'pass' END AS gate FROM parsed""",
