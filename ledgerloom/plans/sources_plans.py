@@ -107,6 +107,9 @@ def _arrivals(spark, sf):
     return folder, spark.read.parquet(folder).schema
 
 
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @query("str_1_incremental_intake", "SELECT batch_id, count(*) AS files FROM papers GROUP BY 1")
 def str_1(spark, sf):
     folder, schema = _arrivals(spark, sf)
@@ -119,7 +122,7 @@ def str_1(spark, sf):
 def str_2(spark, sf):
     folder, schema = _arrivals(spark, sf)
     base = scratch(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(*ROCKSDB)
     done = IN.complete_batches(IN.read_arrivals(spark, folder, schema)).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
     done.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(IN.COMPLETE_BATCH).parquet(f"{base}/out").select("batch_id", F.col("files").cast("long").alias("files"))
@@ -152,10 +155,11 @@ def str_4b(spark, sf):
     """Files arrive in order of file_id, two files of rows to a micro-batch; each points at the first with its content."""
     base = scratch(spark)
     papers = R.papers(spark, sf).select("file_id", F.sha2("marker", 256).alias("sha256"))
+    spark.conf.set(*ROCKSDB)
     early = papers.agg(F.percentile_approx("file_id", 0.5)).head()[0]
     for part in (F.col("file_id") <= F.lit(early), F.col("file_id") > F.lit(early)):
         papers.filter(F.coalesce(part, F.lit(True))).write.mode("append").parquet(f"{base}/in")
-        IN.process_pointers(IN.read_arrivals(spark, f"{base}/in", papers.schema), f"{base}/out", f"{base}/seen", f"{base}/cp").awaitTermination()
+        IN.process_pointers(IN.read_arrivals(spark, f"{base}/in", papers.schema), f"{base}/out", f"{base}/cp").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("file_id", "same_file_as")
 
 

@@ -52,10 +52,8 @@ def first_arrivals(arrivals: DataFrame, key: str = "sha256") -> DataFrame:
 
 
 def with_pointers(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """``same_file_as`` for a micro-batch: the file seen earlier with the same hash, in past batches first.
-
-    ``seen`` (sha256, file_id) has one row per hash; append ``new_hashes`` of each batch to keep it so.
-    """
+    """``same_file_as`` for a table of new files: the file seen earlier with the same hash, in ``seen`` (sha256, file_id;
+    one row per hash) first."""
     marked = first_seen(batch, ["sha256"], "file_id", "file_id", "_here")
     if seen is None:
         return marked.withColumnRenamed("_here", "same_file_as")
@@ -63,28 +61,48 @@ def with_pointers(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
     return marked.join(earlier, "sha256", "left").withColumn("same_file_as", F.coalesce("_before", "_here")).drop("_here", "_before")
 
 
-def new_hashes(marked: DataFrame) -> DataFrame:
-    """(sha256, file_id) of a batch from ``with_pointers``: its files that point at none, each the first of its hash."""
-    return marked.filter("same_file_as is null and sha256 is not null").select("sha256", "file_id")
+def _first_file(kind: str) -> StatefulProcessor:
+    """Made here so that the class travels to the workers by value."""
 
+    class FirstFile(StatefulProcessor):
+        """Keeps the first file of a content; every other file points at it. Of the first micro-batch that has the content
+        the least file is the first, so only then are its file ids held until all are seen."""
 
-def process_pointers(arrivals: DataFrame, target: str, seen_folder: str, checkpoint: str) -> StreamingQuery:
-    """Every file with ``same_file_as`` to ``target``, new hashes to ``seen_folder``, each in a folder of the micro-batch.
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.first = handle.getValueState("first", f"file_id {kind}")
 
-    A batch reads the hashes of the batches before it only, so a replayed one gives the same rows.
-    """
-    spark = arrivals.sparkSession
-    schema = T.StructType([*arrivals.select("sha256", "file_id").schema.fields, T.StructField("at", T.IntegerType())])
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            if self.first.exists():
+                first, parts = self.first.get()[0], rows
+            else:
+                parts = [part[["file_id"]] for part in rows]
+                first = min(part["file_id"].min() for part in parts)
+                self.first.update((first,))
+            for part in parts:
+                points = [None if file_id == first else first for file_id in part["file_id"]]
+                yield pd.DataFrame({"file_id": part["file_id"], "sha256": key[0], "same_file_as": pd.Series(points, dtype=object, index=part.index)})
+
+        def close(self) -> None:
+            pass
 
-    def write(batch: DataFrame, at: int) -> None:
-        seen = spark.read.schema(schema).parquet(seen_folder).filter(F.col("at") < at) if at else None
-        batch = batch.persist()
-        marked = with_pointers(batch, seen)
-        new_hashes(marked).write.mode("overwrite").parquet(f"{seen_folder}/at={at}")
-        marked.write.mode("overwrite").parquet(f"{target}/batch={at}")
-        batch.unpersist()
+    return FirstFile()
 
-    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def pointed(arrivals: DataFrame) -> DataFrame:
+    """(file_id, sha256, same_file_as) of every arriving file: the first file seen with the same content, null for that
+    one and for a file without a hash. State is one file id per content, read for the contents of the micro-batch only.
+    Needs the RocksDB state store; other columns follow by a join on file_id."""
+    kind = arrivals.schema["file_id"].dataType.simpleString()
+    rows = arrivals.select("file_id", "sha256")
+    known = rows.filter("sha256 is not null").groupBy("sha256").transformWithStateInPandas(
+        statefulProcessor=_first_file(kind), outputStructType=f"file_id {kind}, sha256 string, same_file_as {kind}", outputMode="Append", timeMode="None"
+    )
+    return known.unionByName(rows.filter("sha256 is null").withColumn("same_file_as", F.lit(None).cast(kind)))
+
+
+def process_pointers(arrivals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """``pointed`` files to ``target``, each micro-batch to a folder of its own id, so a replayed one overwrites itself."""
+    return process_new(pointed(arrivals), lambda batch: batch, target, checkpoint)
 
 
 COMPLETE_BATCH = "batch_id string, files int"

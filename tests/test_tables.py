@@ -209,16 +209,45 @@ def test_pointers_across_batches(spark):
     assert got == {"0005": "0001", "0006": None, "0007": "0006"}
 
 
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def test_pointers_through_the_stream(spark, folder):
     schema = "file_id string, sha256 string"
+    spark.conf.set(*ROCKSDB)
     batches = [[("1", "a"), ("2", "b"), ("3", "a")], [("4", "b"), ("5", "c"), ("6", None)], [("7", "c"), ("8", "a"), ("9", None)]]
-    for rows in batches:
+    for rows in batches:  # each run restarts from the checkpoint
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        IN.process_pointers(IN.read_arrivals(spark, f"{folder}/in", spark.createDataFrame([], schema).schema), f"{folder}/out", f"{folder}/seen", f"{folder}/cp").awaitTermination()
+        IN.process_pointers(IN.read_arrivals(spark, f"{folder}/in", spark.createDataFrame([], schema).schema), f"{folder}/out", f"{folder}/cp").awaitTermination()
     got = {r.file_id: r.same_file_as for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {"1": None, "2": None, "3": "1", "4": "2", "5": None, "6": None, "7": "5", "8": "1", "9": None}
 
 
+def test_fifty_micro_batches_read_their_own_rows_only(spark, folder):
+    """Numbers as file ids, a restart in the middle; input per micro-batch stays the same while the history grows."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(*ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        schema = spark.createDataFrame([], "file_id long, sha256 string").schema
+        want, first, sizes = {}, {}, []
+        for half in range(2):
+            for k in range(half * 25, half * 25 + 25):
+                rows = [(k * 4 + i, f"h{(k * 4 + i) * 7 % 90}" if i else "hot") for i in range(4)]
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+                for n, h in rows:
+                    want[n] = first.get(h)
+                    first.setdefault(h, n)
+            arrivals = IN.read_arrivals(spark, f"{folder}/in", schema, per_trigger=1)
+            query = IN.process_pointers(arrivals, f"{folder}/out", f"{folder}/cp")
+            query.awaitTermination()
+            sizes += [p.numInputRows for p in query.recentProgress if p.numInputRows]
+        assert {r.file_id: r.same_file_as for r in spark.read.parquet(f"{folder}/out").collect()} == want
+        assert len(sizes) == 50 and len(set(sizes)) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_progress_keeps_the_newest_row(spark, folder):
     schema = "batch_id string, file_id string, expected int"
     for rows in ([("a", "1", 3), ("b", "1", 1)], [("a", "2", 3)]):
