@@ -39,8 +39,9 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     within = np.cumsum(np.bincount(wide, minlength=33))
     width = int(np.searchsorted(within, math.ceil(percentile / 100 * (len(ids) - 1)) + 1))
     over = np.flatnonzero(wide > width)
-    shown = (rest & np.uint64((1 << width) - 1)).astype("<u4")
-    bits = np.unpackbits(shown.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    size = 2 if width <= 16 else 4
+    shown = (rest & np.uint64((1 << width) - 1)).astype(f"<u{size}")
+    bits = np.unpackbits(shown.view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
     packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
     high = (rest[over] >> np.uint64(width)).astype("<u4")
     return _HEAD.pack(len(ids), width, len(over), low) + packed + over.astype("<u2").tobytes() + high.tobytes()
@@ -50,10 +51,11 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     count, width, exceptions, low = _HEAD.unpack_from(data, at)
     at += _HEAD.size
     n = (count * width + 7) // 8
-    bits = np.zeros((count, 32), np.uint8)
+    size = 2 if width <= 16 else 4
+    bits = np.zeros((count, 8 * size), np.uint8)
     if width:
         bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, n, at), bitorder="little")[: count * width].reshape(count, width)
-    out = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint64)
+    out = np.packbits(bits, axis=1, bitorder="little").view(f"<u{size}").ravel().astype(np.uint64)
     at += n
     places = np.frombuffer(data, "<u2", exceptions, at)
     out[places] |= np.frombuffer(data, "<u4", exceptions, at + 2 * exceptions).astype(np.uint64) << np.uint64(width)

@@ -72,20 +72,26 @@ class Encoder:
         if self.lowers and not _WIDE.search(text):  # as the vocabulary does; beyond these letters it is left to it
             text = text.lower()
         parts = self.pieces(text)
-        known = self.known
-        if fresh := set(parts).difference(known):
-            if len(known) + len(fresh) > self.cached:
-                self.older, self.known = known, {}
-                known, fresh = self.known, set(parts)
-            older, new = self.older, []
-            for piece in fresh:
-                if (ids := older.get(piece)) is None:
-                    new.append(piece)
-                else:
-                    known[piece] = ids
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = array("I", found.ids).tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        try:
+            return b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            self._learn(parts)
+            return b"".join(map(self.known.__getitem__, parts))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Puts pieces that are not known among those that are."""
+        known, fresh = self.known, set(parts).difference(self.known)
+        if len(known) + len(fresh) > self.cached:
+            self.older, self.known = known, {}
+            known, fresh = self.known, set(parts)
+        older, new = self.older, []
+        for piece in fresh:
+            if (ids := older.get(piece)) is None:
+                new.append(piece)
+            else:
+                known[piece] = ids
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = array("I", found.ids).tobytes()
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
