@@ -230,6 +230,38 @@ def fill_missing(first: DataFrame, second: DataFrame, key: str, columns: list[st
     return joined.withColumns(filled).select(*first.columns)
 
 
+def form_over_extract(form: DataFrame, extract: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """What a form gives wins, what was read from the document fills its gaps; ``label`` is made where the form has none.
+
+    Blank text counts as not given. A compulsory policy with a start or an end is labelled by the Buddhist year of the first
+    known, a renewal notice by its kind. ``form``: key, label, doc_type, columns; ``extract``: key, columns.
+    """
+    merged = fill_missing(form, extract, key, columns)
+    begun = F.coalesce(*[F.year(F.col(c).try_cast("date")) for c in ("coverage_start", "coverage_end") if c in columns])
+    made = F.when((F.col("doc_type") == "prb") & begun.isNotNull(), F.concat(F.lit("พ.ร.บ. ปี "), (begun + 543).cast("string")))
+    made = F.coalesce(made, F.when(F.col("doc_type") == "renewal_notice", F.lit("หนังสือแจ้งเตือนต่ออายุ")))
+    return merged.withColumn("label", F.coalesce(F.nullif(F.trim("label"), F.lit("")), made))
+
+
+def supplemented(readings: DataFrame, supplement: DataFrame, keys: list[str]) -> DataFrame:
+    """The second pass over a whole page: review fields that the first left blank take its value, for review.
+
+    Long form: keys, field, value, status; ``supplement``: keys, field, value."""
+    more = supplement.filter(F.col("field").isin(REVIEW_FIELDS) & (F.col("value") != "")).select(*keys, "field", F.col("value").alias("_more"))
+    rows = readings.join(more, [*keys, "field"], "full_outer")
+    value = F.nullif(F.col("value"), F.lit(""))
+    status = F.when(value.isNull() & F.col("_more").isNotNull(), "review").otherwise(F.col("status"))
+    return rows.select(*keys, "field", F.coalesce(value, "_more").alias("value"), status.alias("status"))
+
+
+def exactly(rows: DataFrame, expected: int) -> DataFrame:
+    """``rows``, or an error at run time if they are not ``expected`` many: nothing built on them is written then."""
+    total = rows.agg(F.count("*").alias("_total"))
+    message = F.concat(F.lit(f"expected {expected} rows, found "), F.col("_total").cast("string"))
+    alarm = total.filter(F.when(F.col("_total") == expected, False).otherwise(F.raise_error(message).cast("boolean")))  # no row, or the error
+    return rows.unionByName(alarm.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+
+
 def trust_split(df: DataFrame, fields: list[str]) -> DataFrame:
     """Long form: each field's value with its trust.
 

@@ -313,6 +313,30 @@ def mrg_3(spark, sf):
     return R.policies(spark, sf).select("id", F.coalesce(F.nullif(F.trim("pdf_filename"), F.lit("")), "policy_number").alias("label"))
 
 
+@query(
+    "mrg_3b_form_labels",
+    """SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'kept' END, CASE WHEN o_orderkey % 2 = 0 THEN 'พ.ร.บ. ปี ' || (year(o_orderdate) + 543) END, CASE WHEN o_orderkey % 2 = 1 THEN 'หนังสือแจ้งเตือนต่ออายุ' END) AS label,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END AS net FROM orders""",
+)
+def mrg_3b(spark, sf):
+    """A form that gives some labels and sums, over what was read."""
+    o = R.table(spark, sf, "orders")
+    form = o.selectExpr("o_orderkey AS id", "case when o_orderkey % 3 = 0 then ' kept ' else ' ' end AS label", "case when o_orderkey % 2 = 0 then 'prb' else 'renewal_notice' end AS doc_type", "case when o_orderkey % 5 = 0 then 'F' else '' end AS net", "cast(null as date) AS coverage_start")
+    extract = o.selectExpr("o_orderkey AS id", "o_orderstatus AS net", "cast(o_orderdate as date) AS coverage_start")
+    return V.form_over_extract(form, extract, "id", ["net", "coverage_start"]).select("id", "label", "net")
+
+
+@query(
+    "mrg_4b_second_pass",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 'first' ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 3 > 0 THEN 'candidate' ELSE 'review' END AS status FROM orders""",
+)
+def mrg_4b(spark, sf):
+    """Chassis numbers of a first reading, every third blank or missing, and a second one over the whole page."""
+    o = R.table(spark, sf, "orders")
+    first = o.filter("o_orderkey % 6 > 0").selectExpr("o_orderkey AS id", "'chassis_no' AS field", "case when o_orderkey % 3 > 0 then 'first' else '' end AS value", "'candidate' AS status")
+    return V.supplemented(first, o.selectExpr("o_orderkey AS id", "'chassis_no' AS field", "o_orderstatus AS value"), ["id"]).select("id", "value", "status")
+
+
 @query(
     "mrg_4_trust_split",
     """WITH a AS (SELECT *, coalesce(abs(net_premium + stamp_duty + vat - total_premium) <= 0.01, false) AS ok FROM ledgers)
@@ -344,7 +368,7 @@ def mrg_5(spark, sf):
     manifest = a.filter("doc_type <> 'photo'").groupBy(F.col("policy_id").alias("id")).agg(F.max("doc_type").alias("value"))
     over = a.filter("doc_type = 'photo'").groupBy("policy_id").agg(F.min("id").alias("value")).withColumnRenamed("policy_id", "id")
     hand = R.table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("id"), F.lit("extra").alias("value"))
-    return V.layered(parsed, manifest, over, hand, ["id"])
+    return V.exactly(V.layered(parsed, manifest, over, hand, ["id"]), parsed.count() + hand.count())
 
 
 @query(

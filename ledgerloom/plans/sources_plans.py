@@ -69,6 +69,20 @@ def snk_2(spark, sf):
     return WR.restored(orders.filter("o_orderstatus = 'O'"), RD.read_backup(spark, path, "orders", orders.schema), append=True)
 
 
+@query(
+    "snk_2b_restore_inferred",
+    """SELECT 'orders' AS source, o_orderkey AS id, o_orderstatus AS text, o_custkey AS number FROM orders UNION ALL SELECT 'customer', c_custkey, c_name, c_nationkey FROM customer""",
+)
+def snk_2b(spark, sf):
+    """Two tables of different shape backed up together and read back without a schema, as the line about the backup lists them."""
+    tables = {"orders": R.table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus", "o_custkey"), "customer": R.table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "c_nationkey")}
+    path = f"{scratch(spark)}/backup"
+    WR.write_backup(tables, path)
+    names = RD.read_backup_meta(spark, path).first()["tables"]
+    sides = [RD.read_backup_inferred(spark, path, n).toDF("id", "text", "number").selectExpr(f"'{n}' AS source", "cast(id as bigint) AS id", "text", "cast(number as bigint) AS number") for n in names]
+    return sides[0].unionByName(sides[1])
+
+
 @query("snk_3_snapshot", "SELECT id, policy_number, policy_type FROM policies")
 def snk_3(spark, sf):
     path = WR.write_snapshot(R.policies(spark, sf).select("id", "policy_number", "policy_type"), scratch(spark), "v1")

@@ -123,3 +123,20 @@ def read_backup(spark: SparkSession, path: str, table: str, schema: T.StructType
     """Rows of one table of a backup written by ``write_backup``. Only that table's partition is read."""
     lines = spark.read.text(path).filter(F.col("_table") == table)
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def read_backup_inferred(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of one table without a declared schema: types are those of all its rows as variants, columns those of its first
+    row in their order. JSON has no dates, so these come back as text; a table without rows has no columns."""
+    lines = spark.read.text(path).filter(F.col("_table") == table)
+    found = lines.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("kind"), F.first(F.json_object_keys("value")).alias("columns")).first()
+    if found["columns"] is None:
+        return spark.createDataFrame([], T.StructType([]))
+    row = F.from_json("value", found["kind"].replace("OBJECT<", "STRUCT<")).alias("r")
+    return lines.select(row).select(*[F.col("r").getField(c).alias(c) for c in found["columns"]])
+
+
+def read_backup_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(backup_at, tables, format_version) of a backup."""
+    lines = spark.read.text(path).filter("_table = '_meta'")
+    return lines.select(F.from_json("value", "backup_at timestamp, tables array<string>, format_version int").alias("r")).select("r.*")

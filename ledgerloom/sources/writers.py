@@ -24,10 +24,13 @@ def backup_lines(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_backup(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Compressed JSON lines partitioned by table; returns the counts read back from what was written."""
-    backup_lines(tables).write.partitionBy("_table").option("compression", "gzip").text(path)
+    """Compressed JSON lines partitioned by table, with a line about the backup as table ``_meta``; returns the counts of
+    the tables read back from what was written."""
     spark = next(iter(tables.values())).sparkSession
-    return spark.read.text(path).groupBy("_table").agg(F.count("*").alias("rows"))
+    about = F.struct(F.lit(True).alias("_meta"), F.current_timestamp().alias("backup_at"), F.array(*[F.lit(t) for t in sorted(tables)]).alias("tables"), F.lit(1).alias("format_version"))
+    meta = spark.range(1).select(F.lit("_meta").alias("_table"), F.to_json(about).alias("value"))
+    backup_lines(tables).unionByName(meta).write.partitionBy("_table").option("compression", "gzip").text(path)
+    return spark.read.text(path).filter("_table <> '_meta'").groupBy("_table").agg(F.count("*").alias("rows"))
 
 
 def one_per_id(df: DataFrame, *position: str) -> DataFrame:
