@@ -273,38 +273,61 @@ def assign(entities: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
         attempt += 1
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
 def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY, count_col: str | None = None) -> DataFrame:
     """``docs`` with the same columns, entities of the text column replaced; ``count_col`` int is added (or overwritten).
 
-    Texts that cannot hold an entity are passed on as they are. A null text stays null with 0 entities. Rows are told apart
-    by a digest of id and text, so repeated ids and null ids are handled; equal rows get equal texts.
+    Detection writes every row once, with its mentions and a number. Rows without mentions are results as they are; of the
+    others only mentions, by row number, meet the replacements, and come back to their rows. Texts that cannot hold an
+    entity don't pass through Python. A null text stays null with 0 entities. Rows are told apart by their numbers, so
+    repeated rows, repeated ids and null ids are handled; equal texts get equal texts. ``id_col`` is not read.
     """
     docs = docs.drop(count_col) if count_col else docs
-    tag = F.xxhash64(F.col(id_col), F.col(text_col))
+    columns = docs.columns
+    spans_col, row_col = _unused("__spans", columns), _unused("__row", columns)
+    mention = "start int, end int, kind string, canonical string"
+    none = F.lit(None).cast(f"array<struct<{mention}>>").alias(spans_col)
     may = may_hold(F.col(text_col))
-    suspects = docs.filter(may).select(tag.alias("id"), F.col(text_col).alias("text"))
-    found = materialize(mentions(suspects).distinct(), "mentions")
-    names = materialize(found.select("kind", "canonical").distinct(), "entities")
-    given = materialize(assign(names, key), "surrogates")
-    span = F.struct("start", "end", "kind", "replacement")
-    spans = found.join(given, ["kind", "canonical"]).groupBy(F.col("id").alias("__tag")).agg(F.sort_array(F.collect_list(span)).alias("__spans"))
-    joined = docs.filter(may).withColumn("__tag", tag).join(materialize(spans, "spans"), "__tag", "left").drop("__tag")
-    columns, names_out = docs.columns, [*docs.columns, *([count_col] if count_col else [])]
-    clean = docs.filter(~may).select(*docs.columns, *([F.lit(0).alias(count_col)] if count_col else []))
+    suspects = docs.filter(may)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("canonical", pa.string())]))
 
-    def make():
+    def detect():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = [sorted({tuple(e) for e in with_bare_names(t, find_entities(t))}) for t in b.column(text_col).to_pylist()]
+            spans = pa.array([[dict(zip(("start", "end", "kind", "canonical"), e)) for e in f] or None for f in found], kind)
+            return pa.RecordBatch.from_arrays([*b.columns, spans], [*columns, spans_col])
+
+        return batch
+
+    told = arrow_map(suspects, detect, suspects.select("*", none).schema).unionByName(docs.filter(~may).select("*", none))
+    told = materialize(told.withColumn(row_col, F.monotonically_increasing_id()), "told")
+    clean = told.filter(F.col(spans_col).isNull()).select(*columns, *([F.lit(0).alias(count_col)] if count_col else []))
+    held = told.filter(F.col(spans_col).isNotNull())
+    found = held.select(F.col(row_col).alias("row"), F.explode(spans_col).alias("s")).select("row", "s.*")
+    given = materialize(assign(materialize(found.select("kind", "canonical").distinct(), "entities"), key), "surrogates")
+    put = F.sort_array(F.collect_list(F.struct("start", "end", "kind", "replacement"))).alias(spans_col)
+    spans = materialize(found.join(given, ["kind", "canonical"]).groupBy(F.col("row").alias(row_col)).agg(put), "spans")
+    names_out = [*columns, *([count_col] if count_col else [])]
+
+    def replace():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, counts = [], []
-            for text, spans_of in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist()):
+            for text, spans_of in zip(b.column(text_col).to_pylist(), b.column(spans_col).to_pylist()):
                 parts, end = [], 0
-                for s in spans_of or []:
+                for s in spans_of:
                     parts += [text[end : s["start"]], as_shown(text[s["start"] : s["end"]], s["kind"], s["replacement"])]
                     end = s["end"]
                 texts.append("".join(parts) + text[end:])
-                counts.append(len(spans_of or []))
+                counts.append(len(spans_of))
             arrays = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in columns]
             return pa.RecordBatch.from_arrays(arrays + [pa.array(counts, pa.int32())] * bool(count_col), names_out)
 
         return batch
 
-    return clean.unionByName(arrow_map(joined, make, clean.schema))
+    joined = held.drop(spans_col).join(spans, row_col).drop(row_col)
+    return clean.unionByName(arrow_map(joined, replace, clean.schema))

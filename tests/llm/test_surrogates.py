@@ -106,3 +106,28 @@ def test_bare_mentions_get_the_surrogate_of_the_name(spark):
     assert got[1] == got[2] != "Weber" and got[3] == got[1].upper() and got[4] == got[0] != "Clara" and got[5] == got[6] and got[7] == got[5].upper()
     assert out[1].n == 8
     assert re.fullmatch(rf"{got[1]} alone, and Dr\. [A-Z]\. {got[1]}\.", out[2].text) and out[2].n == 3
+
+
+def test_replaced_equals_one_text_at_a_time(spark):
+    """Rows, repeated rows, null ids and texts, long texts and clashing columns against a loop over each text."""
+    texts = [
+        None, "", "nothing here", "Mail ann@corp.org or bob@corp.org, then ann@corp.org again.", "Mr. John Smith called +1 (415) 555-2671. Smith left.",
+        "ip 10.1.2.3 and " + "word " * 60_000 + "ann@corp.org", "token = " + "0123456789abcdef" * 2 + "!", "bob@corp.org" * 1,
+    ]
+    rows = [(k if k != 4 else None, t, "x", k) for k, t in enumerate(texts)] + [(3, texts[3], "x", 3)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __spans string, __row int").repartition(4)
+    got = S.replaced(docs, key=b"k", count_col="n")
+    assert got.columns == ["doc_id", "text", "__spans", "__row", "n"]
+    found = {t: sorted({tuple(e) for e in S.with_bare_names(t, S.find_entities(t))}) if t else [] for t in texts}
+    names = spark.createDataFrame(sorted({(e[2], e[3]) for f in found.values() for e in f}), "kind string, canonical string")
+    given = {(r.kind, r.canonical): r.replacement for r in S.assign(names, b"k").collect()}
+    want = []
+    for key, text, spans, row in rows:
+        out, end = [], 0
+        for start, stop, kind, canonical in found[text]:
+            out += [text[end:start], S.as_shown(text[start:stop], kind, given[kind, canonical])]
+            end = stop
+        want.append((key, text if text is None else "".join(out) + text[end:], spans, row, len(found[text])))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(len(f) for f in found.values()) >= 8
+    assert S.replaced(docs.limit(0), key=b"k").collect() == []
