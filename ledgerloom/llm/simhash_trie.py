@@ -412,8 +412,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Equal texts are one document from the start. Others are linked if their similarity on five-word shingles is 0.8 or more,
     exactly; they are compared if they share a band of least hashes of the shingles and their SimHash is not far off, or are
-    joined by others that do. Rows with
-    a null id are no candidates; a null text counts as empty, and texts without words are copies of each other.
+    joined by others that do. Rows with a null id are no candidates; a null text counts as empty, and texts without words
+    are copies of each other. Bands travel with a row number, not with their signature: several texts of one id stay apart.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).filter("id is not null")
     keyed = rows.select("id", F.sha2("text", 256).alias("digest"))
@@ -422,11 +422,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     exact = keyed.join(repeated, "digest").filter("id <> first").select("id", F.col("first").alias("root")).distinct()
     exact = materialize(exact, "exact")
     single = rows.join(exact, "id", "left_anti")
-    sketches = materialize(near_sketches(single), "sketches")
-    words = sketches.select("id", "sig", F.posexplode("bands").alias("tree", "word"))
-    shared = words.groupBy("tree", "word").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "word")
-    words = materialize(words.join(shared, ["tree", "word"], "left_semi"), "words")
+    sketches = materialize(near_sketches(single).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    bands = sketches.select("row", F.posexplode("bands").alias("tree", "word"))  # signatures join what is left of them
+    shared = bands.groupBy("tree", "word").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "word")
+    hits = materialize(bands.join(shared, ["tree", "word"], "left_semi"), "hits")
+    words = materialize(hits.join(sketches.select("row", "id", "sig"), "row").drop("row"), "words")
     joined = star_roots(hamming_links(words, 0, 1 << 16, NEAR_FAR)).select(F.col("u").alias("id"), F.col("v").alias("comp"))
     members = materialize(joined.unionByName(joined.select(F.col("comp").alias("id"), "comp").distinct()), "members")
-    edges = verified_links(near_runs(single.join(members, "id"))).unionByName(exact.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    edges = verified_links(near_runs(rows.join(members, "id"))).unionByName(exact.select(F.col("id").alias("u"), F.col("root").alias("v")))
     return star_roots(edges).select(F.col("u").alias("id"), F.col("v").alias("keep"))
