@@ -26,6 +26,8 @@ KEY = b"a key for tests; a run that is published takes its own"
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Señorita", "Г-жа", "Госпожа"]
 MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин"]
 OPEN_TITLES = ["Dr", "Prof", "Mx"]
+#: Small words inside names; they stay as they are.
+PARTICLES = ["af", "al", "bin", "da", "de", "del", "della", "den", "der", "di", "do", "dos", "du", "ibn", "la", "le", "ten", "ter", "van", "von", "zu"]
 GIVEN = {
     ("latin", "f"): ["Anna", "Clara", "Elena", "Emma", "Ida", "Julia", "Laura", "Marta", "Nora", "Olga", "Rosa", "Sara"],
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leo", "Marco", "Oscar", "Paul"],
@@ -69,7 +71,14 @@ NO_NAMES = frozenset("a an and as at but by for from had has he her his i if in
 _UPPER = r"[^\W\d_a-zа-я]"
 _WORD = rf"{_UPPER}(?:[^\W\d_]|['’](?!S(?!\w))(?={_UPPER}))+"
 _INITIAL = rf"{_UPPER}(?:\.(?=[ -]?{_UPPER})|(?!\w)(?=[ -]{_UPPER}[^\W\d_]))"
-_NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\s+)((?:{_INITIAL}[ -]?)*{_WORD}(?:[ -](?:{_INITIAL}[ -]?)*{_WORD})*)")
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)})[ ]+)*"
+_NAME_REST = rf"({_SMALL}(?:{_INITIAL}[ -]?)*{_WORD}(?:[ -]{_SMALL}(?:{_INITIAL}[ -]?)*{_WORD})*)"
+#: Titles may follow each other; a title in capitals is one only before a name in capitals.
+_NAME = re.compile(rf"(?<!\w)((?:(?:{_TITLE})\.?\s+)+)(?!(?:{_TITLE})(?!\w)){_NAME_REST}")
+CAPITAL_TITLES = {t.upper(): t for t in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES}
+_CAPITALS = "|".join(re.escape(t) for t in sorted(CAPITAL_TITLES, key=lambda t: (-len(t), t)))
+_CAPITAL_OPENING = re.compile(rf"(?<!\w)(?:{_CAPITALS})(?:\.\s*|\s+){_UPPER}")
+_CAPITAL_NAME = re.compile(rf"(?<!\w)((?:(?:{_CAPITALS})(?:\.\s*|\s+))+)(?!(?:{_CAPITALS})(?!\w))((?:{_UPPER}\.[ ]?)*{_UPPER}(?:{_UPPER}|['’](?={_UPPER}))+(?!\w)(?:[ -]{_UPPER}(?:{_UPPER}|['’](?={_UPPER}))+(?!\w))*)")
 _PART = re.compile(rf"{_WORD}|{_UPPER}\.?")
 
 
@@ -79,7 +88,7 @@ def may_hold(text: Column) -> Column:
     marks = text.rlike("[0-9@=:_]") | text.rlike(r"[^\x00-\x7F&&[\p{Nd}\p{Cn}]]")
     for opening in [k for k, _ in KEY_SHAPES if "_" not in k]:
         marks = marks | text.contains(opening)
-    for title in FEMALE_TITLES + MALE_TITLES + OPEN_TITLES:
+    for title in [*FEMALE_TITLES, *MALE_TITLES, *OPEN_TITLES, *CAPITAL_TITLES]:
         marks = marks | text.contains(title)
     return F.coalesce(marks, F.lit(False))
 
@@ -93,8 +102,13 @@ def script_of(text: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
 
 
-def gender_of(title: str) -> str:
-    return "f" if title in FEMALE_TITLES else "m" if title in MALE_TITLES else "x"
+def gender_of(titles: str) -> str:
+    """By the first of a chain of titles that shows one."""
+    for title in titles.replace(".", " ").split():
+        title = CAPITAL_TITLES.get(title, title)
+        if title in FEMALE_TITLES or title in MALE_TITLES:
+            return "f" if title in FEMALE_TITLES else "m"
+    return "x"
 
 
 def luhn(digits: str) -> bool:
@@ -124,14 +138,17 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     found += [(m.start(), m.end(), "card", plain_digits(m[0])) for m in _CARD.finditer(text)]
     for pattern, least, most in _PHONES:
         found += [(m.start(), m.end(), "phone", form) for m in pattern.finditer(text) if least <= len(form := plain_digits(m[0])) <= most]
-    for m in _NAME.finditer(text):
-        parts = list(_PART.finditer(m[3]))
+    named = list(_NAME.finditer(text))
+    if _CAPITAL_OPENING.search(text):
+        named += _CAPITAL_NAME.finditer(text)
+    for m in named:
+        parts = list(_PART.finditer(m[2]))
         stop = next((k for k, p in enumerate(parts) if k and p[0].lower() in NO_NAMES and len(p[0]) > 1), len(parts))
         for k, p in enumerate(parts[:stop]):
             initial = len(p[0].rstrip(".")) == 1
             given = initial or k == 0 and stop > 1
             kind = f"given:{script_of(p[0])}:{gender_of(m[1])}" if given else f"family:{script_of(p[0])}"
-            found.append((m.start(3) + p.start(), m.start(3) + p.end(), kind, p[0].lower().rstrip(".").replace("’", "'")))
+            found.append((m.start(2) + p.start(), m.start(2) + p.end(), kind, p[0].lower().rstrip(".").replace("’", "'")))
     out, end = [], -1
     for at in sorted(range(len(found)), key=lambda i: (found[i][0], i)):
         if found[at][0] >= end:
@@ -196,7 +213,11 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "ssn":
         return "".join([pick("1234578"), *(pick(digits) for _ in range(2)), pick("123456789"), pick(digits), pick("123456789"), *(pick(digits) for _ in range(3))])
     if kind == "phone":
-        return "".join([canonical[:-7], "555", *(pick(digits) for _ in range(4))]) if attempt == 0 and len(canonical) >= 7 else "".join(pick(digits) for _ in canonical)
+        n = len(canonical)  # country and area stay; only where a prefix is used up does the draw reach into it
+        if attempt == 0 and n >= 7:
+            return canonical[:-7] + "555" + "".join(pick(digits) for _ in range(4))
+        head = max(n - 7, min(3, n - 4)) if attempt < 8 else max(n - 10, 1)
+        return canonical[:head] + "".join(pick(digits) for _ in range(n - head))
     if kind == "card":
         body = "".join(pick(digits) for _ in canonical[:-1])
         return next(body + d for d in digits if luhn(body + d)) if luhn(canonical) else body + pick(digits)

@@ -131,3 +131,32 @@ def test_replaced_equals_one_text_at_a_time(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert sum(len(f) for f in found.values()) >= 8
     assert S.replaced(docs.limit(0), key=b"k").collect() == []
+
+
+def test_titles_in_chains_and_capitals_and_small_words():
+    assert names_in("Prof. Dr. Weber and Herr Dr. Karl Braun; Dr. who, Prof. Dr.") == ["Weber", "Karl", "Braun"]
+    assert names_in("Ms. de la Cruz, Mr. van Gogh, Herr Ludwig van Beethoven") == ["Cruz", "Gogh", "Ludwig", "Beethoven"]
+    assert names_in("MR. SMITH, MRS O'BRIEN and PROF. DR. ANNA WEBER-KLEIN") == ["SMITH", "O'BRIEN", "ANNA", "WEBER", "KLEIN"]
+    assert names_in("MS Word, DR Congo and MR") == []
+    kinds = {text: [k for _, _, k, _ in S.find_entities(text)] for text in ("Herr Dr. Karl Braun", "FRAU DR. EVA BRAUN")}
+    assert [k[0] for k in kinds.values()] == ["given:latin:m", "given:latin:f"]
+
+
+def test_bare_titles_are_no_names_of_the_text():
+    text = "Prof. Dr. Weber met Dr. Braun. Dr said Weber."
+    assert [text[a:b] for a, b, _, _ in S.with_bare_names(text, S.find_entities(text))] == ["Weber", "Braun", "Weber"]
+
+
+@pytest.mark.parametrize("shown", ["+1 (415) 555-2671", "+44 20 7946 0958", "020 7946 0958", "+49 (30) 901820", "+123 4567 8"])
+def test_phones_keep_country_and_grouping_on_every_draw(shown):
+    canonical = S.plain_digits(shown)
+    seen = set()
+    for attempt in range(12):
+        other = S.as_shown(shown, "phone", S.surrogate(S.KEY, "phone", canonical, attempt))
+        assert re.sub(r"\d", "0", other) == re.sub(r"\d", "0", shown)
+        assert other[: 2 if shown[0] == "+" else 1] == shown[: 2 if shown[0] == "+" else 1]
+        if attempt < 8:
+            keep = max(len(canonical) - 7, min(3, len(canonical) - 4)) if attempt else len(canonical) - 7
+            assert S.plain_digits(other)[:keep] == canonical[:keep]
+        seen.add(other)
+    assert len(seen) > 10
