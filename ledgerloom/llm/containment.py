@@ -27,6 +27,10 @@ BLOCK_BYTES = 64 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: The exponent of the smallest class.
+SMALLEST = 3
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits."""
     return _WORD.findall((text or "").lower())
@@ -34,12 +38,15 @@ def words_of(text: str | None) -> list[str]:
 
 def size_class(n: int) -> int:
     """The exponent of the class: 8 shingles or fewer are class 3, 9 to 16 class 4, and so on."""
-    return max(3, (n - 1).bit_length())
+    return max(SMALLEST, (n - 1).bit_length())
 
 
 def signature(hashes: np.ndarray, exponent: int | None) -> np.ndarray:
     """Keys of a MinHash signature: slot in the high bits, then the least hash of the slot's shingles. Stretches of
-    2 ** (exponent + 1) shingles have signatures of their own (None: the whole is one); their keys are merged."""
+    2 ** (exponent + 1) shingles have signatures of their own (None: the whole is one); their keys are merged. In the
+    smallest class every shingle is a key, so an item of one shingle is never hidden by a lesser hash in its slot."""
+    if exponent == SMALLEST or exponent is None and len(hashes) <= 1 << SMALLEST:
+        return np.unique(hashes)
     slot_and_hash = hashes
     n = len(hashes)
     if exponent is None or n <= 2 << exponent:

@@ -38,3 +38,11 @@ def test_matches_brute_force(spark):
         got = [tuple(r) for r in C.contained_items(d, b, block=block).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert C.contained_items(d, b.limit(0)).collect() == [] and C.contained_items(d.limit(0), b).collect() == []
+
+
+def test_an_item_of_one_shingle_is_found_wherever_it_stands():
+    """Every run of five words of a text of 20,000 words is an item: none is hidden by a lesser hash of its slot."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    index = C.Index([(i, " ".join(words[i : i + 5])) for i in range(len(words) - 4)])
+    assert {m[0] for m in index.matches(words, C.WordHashes(), 0.8)} == set(range(len(words) - 4))
