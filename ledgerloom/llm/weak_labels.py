@@ -36,13 +36,14 @@ _MASKED = re.compile(r"\b\w+[*@#$]+\w+\b")
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y) of at most ``limit`` labelled training rows, those of the least hashes of their ids.
 
-    ``train`` says by the id Column which rows may be learned from. The chosen ids are bounded by ``limit`` and broadcast.
+    ``train`` says by the id Column which rows may be learned from. The chosen ids are bounded by ``limit`` and broadcast;
+    of an id with several rows the least text stands, so the rows are bounded too.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(train(F.col("id")) & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(limit)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "id")
+    return rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
 
 def terms_of(text: str) -> list[str]:

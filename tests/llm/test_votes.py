@@ -134,3 +134,12 @@ def test_alignment_finds_offset(spark):
     vectors = spark.createDataFrame([(100, [0.1, -0.5, None, 0.9] * 16), (1, [0.1, -0.5, 0.0, 0.9] * 16), (2, None), (3, [float("nan")] * 3)], "id long, media array<double>")
     got = {r.id: r for r in C.aligned(vectors, C.melody).collect()}
     assert got[100].class_id == got[1].class_id == 1 and got[2].n_items == got[3].n_items == 0
+
+
+def test_sample_holds_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 10 if i < 300 else i, f"text {i:03d}") for i in range(400)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = W.labelled_sample(docs, labels, "toxic", lambda key: key.isNotNull(), limit=50).collect()
+    assert len(got) <= 50 and len({r.id for r in got}) == len(got)
+    every = {r.id: (r.text, r.y) for r in W.labelled_sample(docs, labels, "toxic", lambda key: key.isNotNull()).collect()}
+    assert len(every) == 110 and every[4] == ("text 004", 0) and every[3] == ("", 1)
