@@ -212,9 +212,38 @@ def merge_warnings(merged: DataFrame, keys: list[str]) -> DataFrame:
     rows = merged.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col("status") == "review", F.col("field")))).alias("review_fields"), *[amount(a).alias(f"_{a}") for a in AMOUNTS])
     net, stamp, vat, total = (F.col(f"_{a}") for a in AMOUNTS)
     off = F.coalesce(F.abs(net + stamp + vat - total) > 1, F.lit(False))
-    messages = F.transform("review_fields", lambda f: F.concat(f, F.lit(": the two readings differ")))
-    warnings = F.concat(messages, F.when(off, F.array(F.lit("amounts: net + stamp + vat is not the total"))).otherwise(F.array().cast("array<string>")))
-    return rows.select(*keys, "review_fields", warnings.alias("warnings"))
+    return rows.select(*keys, "review_fields", _merge_messages(F.col("review_fields"), off).alias("warnings"))
+
+
+def verified_reading(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``first`` with the values of a second, structured reading, one row per document, in one join.
+
+    A non-empty value of the second reading wins. Where the comparison keys of both differ, the field goes into ``review_fields``
+    and gives a warning; so do amounts whose sum misses the total by more than 1. A missing ``policy_type`` comes from
+    ``doc_type``. Documents that only the first reader saw stay as they are, documents that only the second saw are left out.
+    Null and blank text count as not read; ``columns`` a reading lacks count as blank. ``second`` has one row per key.
+    """
+    mine = {c.lower(): c for c in first.columns}
+    other = second.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns if c in second.columns])
+    rows = first.select("*", *[F.lit(None).cast("string").alias(c) for c in columns if c.lower() not in mine])
+    joined = rows.join(other, F.col(key) == F.col("_key"), "left")
+    blank = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    values, differ = {}, []
+    for c in (c for c in columns if c in second.columns):
+        one, two = F.col(c), F.col(f"_{c}")
+        values[c] = F.when(blank(two).isNotNull(), two.cast(rows.schema[c].dataType)).otherwise(one)
+        clash = blank(one).isNotNull() & blank(two).isNotNull() & (X.comparison_key(one) != X.comparison_key(two))
+        differ.append(F.when(clash, F.lit(c)))
+    review = F.array_sort(F.array_compact(F.array(*differ))) if differ else F.array().cast("array<string>")
+    merged = infer_policy_type(joined.withColumn("review_fields", review).withColumns(values))
+    amounts = [F.col(a).try_cast("decimal(18,2)") if a in merged.columns else F.lit(None).cast("decimal(18,2)") for a in AMOUNTS]
+    off = F.coalesce(F.abs(amounts[0] + amounts[1] + amounts[2] - amounts[3]) > 1, F.lit(False))
+    return merged.select(*rows.columns, "review_fields", _merge_messages(F.col("review_fields"), off).alias("warnings"))
+
+
+def _merge_messages(review_fields: Column, off: Column) -> Column:
+    messages = F.transform(review_fields, lambda f: F.concat(f, F.lit(": the two readings differ")))
+    return F.concat(messages, F.when(off, F.array(F.lit("amounts: net + stamp + vat is not the total"))).otherwise(F.array().cast("array<string>")))
 
 
 def infer_policy_type(df: DataFrame) -> DataFrame:

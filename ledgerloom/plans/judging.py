@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates as D, numbers as N, text as X
 from ledgerloom.functions.filenames import bucket_key, storage_key
-from ledgerloom.operators import aggregates as A, extract as E, legacy as LG, rules as RU, validate as V
+from ledgerloom.operators import aggregates as A, extract as E, legacy as LG, older as OL, rules as RU, validate as V
 from ledgerloom.plans import roles as R
 from ledgerloom.plans.registry import query
 from ledgerloom.schemas import LEGACY_COLUMNS
@@ -104,6 +104,17 @@ def ext_1b(spark, sf):
     return R.table(spark, sf, "documents").select("doc_id", F.get(whole, F.lit(0)).alias("whole_vin"), RU.insurer_by_marker(F.col("text")).alias("company_code"))
 
 
+@query(
+    "ext_1c_older_schedule_fields",
+    """SELECT doc_id, truth_number AS policy_number, truth_company AS company_code, truth_name AS insured_name, truth_address AS insured_address, truth_plate AS license_plate,
+       truth_chassis AS chassis_no, truth_make AS car_make, truth_model AS car_model, truth_year AS car_year, truth_start AS coverage_start, truth_end AS coverage_end,
+       truth_net AS net_premium, truth_stamp AS stamp_duty, truth_vat AS vat, truth_total AS total_premium, truth_broker AS broker_name, truth_license AS broker_license FROM older_schedules""",
+)
+def ext_1c(spark, sf):
+    df = OL.read_older_fields(R.older_schedules(spark, sf).select("doc_id", "text", "filename"), filename="filename").drop("text", "filename")
+    return as_text(as_double(df, *MONEY), "coverage_start", "coverage_end").withColumn("car_year", F.col("car_year").cast("long"))
+
+
 @query(
     "ext_2_label_values",
     """SELECT doc_id, concat_ws('|', trim(regexp_extract(text, 'Stamp Duty ([^\\n]*)', 1)), regexp_extract(text, 'Stamp Duty [^\\n]*\\n([^\\n]*)', 1)) AS "values" FROM schedules""",
@@ -297,6 +308,35 @@ def mrg_1b(spark, sf):
     return out.select("id", F.array_join("review_fields", ",").alias("review_fields"), F.size("warnings").cast("long").alias("warnings"))
 
 
+@query(
+    "mrg_1c_verified_reading",
+    """WITH l AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'motor_main' WHEN doc_id % 4 = 1 THEN 'motor_prb' ELSE 'fire' END AS doc_type FROM older_schedules),
+       s AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN replace(truth_number, '/', ' / ') END AS n, CASE WHEN doc_id % 5 = 0 THEN 'ใหม่ 1' WHEN doc_id % 5 = 1 THEN truth_plate END AS p, truth_total + doc_id % 2 AS t FROM older_schedules WHERE doc_id % 9 <> 0)
+       SELECT l.doc_id, doc_type, CASE WHEN doc_id_type = 'P' THEN 'FIRE' WHEN doc_type = 'motor_main' THEN 'M' WHEN doc_type = 'motor_prb' THEN 'P' END AS policy_type,
+         coalesce(s.n, truth_number) AS policy_number, coalesce(s.p, truth_plate) AS license_plate, truth_stamp AS stamp_duty, truth_vat AS vat, coalesce(s.t, truth_total) AS total_premium, truth_net AS net_premium,
+         concat_ws(',', CASE WHEN s.p = 'ใหม่ 1' THEN 'license_plate' END, CASE WHEN s.t <> truth_total THEN 'total_premium' END) AS review_fields,
+         CASE WHEN s.p = 'ใหม่ 1' THEN 1 ELSE 0 END + CASE WHEN s.t <> truth_total THEN 1 ELSE 0 END + CASE WHEN abs(truth_net + truth_stamp + truth_vat - coalesce(s.t, truth_total)) > 1 THEN 1 ELSE 0 END AS warnings
+       FROM (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'P' END AS doc_id_type FROM l) l LEFT JOIN s ON l.doc_id = s.doc_id""",
+)
+def mrg_1c(spark, sf):
+    """The older reader's fields, and a second reading of some of them: blanks about the slash, other plates, totals 1 higher."""
+    docs = R.older_schedules(spark, sf)
+    first = OL.read_older_fields(docs.select("doc_id", "text", "filename"), filename="filename").selectExpr(
+        "doc_id", "case doc_id % 4 when 0 then 'motor_main' when 1 then 'motor_prb' else 'fire' end AS doc_type",
+        "case when doc_id % 10 = 0 then 'FIRE' end AS policy_type", "policy_number", "license_plate", *MONEY,
+    )
+    second = docs.filter("doc_id % 9 <> 0").selectExpr(
+        "doc_id", "case when doc_id % 6 = 0 then replace(truth_number, '/', ' / ') end AS policy_number",
+        "case when doc_id % 5 = 0 then 'ใหม่ 1' when doc_id % 5 = 1 then truth_plate end AS license_plate",
+        "cast(truth_total + doc_id % 2 as decimal(18,2)) AS total_premium",
+    )
+    out = as_double(V.verified_reading(first, second, "doc_id", ["license_plate", "policy_number", "total_premium"]), *MONEY)
+    return out.select(
+        "doc_id", "doc_type", "policy_type", "policy_number", "license_plate", *MONEY,
+        F.array_join("review_fields", ",").alias("review_fields"), F.size("warnings").cast("long").alias("warnings"),
+    )
+
+
 @query(
     "mrg_2_fill_missing",
     """SELECT p.id, coalesce(p.pdf_filename, a.id) AS pdf_filename, coalesce(p.pdf_size, a.pdf_size) AS pdf_size FROM policies p

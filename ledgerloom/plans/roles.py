@@ -207,6 +207,78 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return _pick(orders.join(customer, orders.o_custkey == customer.c_custkey), SCHEDULE_COLUMNS)
 
+_PRICE = "cast(cast(o_totalprice as decimal(18,2)) as string)"
+_DAY = "case when day(o_orderdate) > 28 then 28 else day(o_orderdate) end"
+_THAI = "translate(cast(c_custkey as string), '0123456789', 'กขคงจฉชซดต')"
+_LATIN = "translate(cast(c_custkey as string), '0123456789', 'abdefghijk')"
+_TAIL = "lpad(cast(o_custkey as string), 8, '0')"
+_SPAN = f"concat({_HOUSE}, ' ', {_PLACE}, ' กรุงเทพ 10', lpad(cast(c_nationkey as string), 3, '0'))"
+_OLDER_NAME = f"concat(case when o_orderkey % 3 = 2 then 'คุณ ' else '' end, {_WORD}, ' ', {_THAI})"
+_OLDER_PLATE = "concat(case when o_orderkey % 3 = 2 then '1' else '' end, 'กข ', cast(100 + o_custkey % 9000 as string), case when o_orderkey % 3 = 0 then ' กท' else '' end)"
+_OLDER_MAKE = "case c_nationkey % 3 when 0 then 'TOYOTA' when 1 then 'KIA' else 'MAZDA' end"
+_OLDER_MODEL = "case c_nationkey % 3 when 0 then 'YARIS' when 1 then 'SORENTO' else 'CX-30' end"
+_OLDER_TEXT = (
+    f"concat({_OLDER_PLATE}, case when o_orderkey % 4 = 1 then concat(' MRH', {_TAIL}, ' 2559 sedan') else '' end, chr(10), "
+    "case o_orderkey % 4 when 0 then concat('Policy Numbcr : DO-70-41/', lpad(cast(o_orderkey as string), 8, '0')) "
+    "when 1 then concat('ref Do-72-s9/', lpad(cast(o_orderkey as string), 8, '0')) "
+    "when 2 then concat('A1-34-56r', lpad(cast(o_orderkey as string), 8, '0')) else 'number unknown' end, chr(10), "
+    f"case o_orderkey % 3 when 0 then concat('ผู้เอาประกันภัย: ', {_OLDER_NAME}, chr(10)) when 1 then concat({_OLDER_NAME}, '  Insured Name', chr(10)) "
+    f"else concat({_OLDER_NAME}, chr(10)) end, 'Use: own since 1999', chr(10), "
+    f"case o_orderkey % 3 when 0 then concat('ที่อยู่ ', {_SPAN}) when 1 then concat('Address ', {_SPAN}, '  Driver any') else concat('at ', {_SPAN}, ' อาชีพ') end, chr(10), "
+    f"case when o_orderkey % 4 = 0 then concat('Chassis No : MR$H', {_TAIL}, chr(10)) else '' end, {_OLDER_MAKE}, ' ', {_OLDER_MODEL}, chr(10), "
+    "case when o_orderkey % 4 = 2 then concat('Model Yr: ', cast(year(o_orderdate) + 543 as string), chr(10)) else '' end, "
+    f"'period ', cast({_DAY} as string), '/', cast(month(o_orderdate) as string), '/', cast(year(o_orderdate) + 543 as string), "
+    f"case when o_orderkey % 7 < 5 then concat(' until ', cast({_DAY} as string), '/', cast(month(o_orderdate) as string), '/', cast(year(o_orderdate) + 544 as string)) else '' end, chr(10), "
+    f"case o_orderkey % 3 when 0 then concat('Net Prem', case when o_orderkey % 2 = 0 then 'i' else '' end, 'ium (Baht) ', {_PRICE}) "
+    f"when 1 then concat('Net Preniium ', chr(10), 'NETT AMOUNT 20.50 ', {_PRICE}, ' 333.00') "
+    f"else concat('Net Premium : ', substr({_PRICE}, 1, length({_PRICE}) - 6), chr(39), substr({_PRICE}, length({_PRICE}) - 5)) end, chr(10), "
+    "'Stamp Duty ', cast(c_nationkey + 1 as string), '.00', chr(10), 'VAT : ', cast(c_custkey as string), 'o5.50', chr(10), "
+    f"case when o_orderkey % 5 = 1 then concat('TOTAL AMOUNT 150.00 ', {_PRICE}) else concat('Grand Total: ', {_PRICE}) end, chr(10), "
+    f"'Agent : ', case when o_orderkey % 4 = 3 then 'Some Insurance' else concat('Somchai ', {_LATIN}) end, chr(10), 'License No: ', lpad(cast(c_custkey as string), 10, '0'), chr(10), "
+    "case o_orderstatus when 'O' then 'company code: xyz' when 'F' then 'Falcon' else '' end)"
+)
+_IN_LINE = "o_totalprice > 100 and o_totalprice < 500000"
+_PRICE_OUT = "cast(cast(o_totalprice as decimal(18,2)) as double)"
+OLDER_COLUMNS = {
+    "doc_id": "o_orderkey",
+    "text": _OLDER_TEXT,
+    "filename": "case when o_orderkey % 8 = 0 then 'CHADA KODWA 09.07.17.pdf' end",
+    "truth_number": (
+        "case o_orderkey % 4 when 0 then concat('D0-70-41/', lpad(cast(o_orderkey as string), 8, '0')) "
+        "when 1 then concat('D0-72-S9/', lpad(cast(o_orderkey as string), 8, '0')) when 2 then concat('A1-34-56/', lpad(cast(o_orderkey as string), 8, '0')) end"
+    ),
+    "truth_company": "case o_orderstatus when 'O' then 'XYZ' when 'F' then 'FAL' end",
+    "truth_name": f"case when o_orderkey % 8 = 0 then 'Chada Kodwa' else {_OLDER_NAME} end",
+    "truth_address": f"case when o_orderkey % 3 <> 2 or c_nationkey % 5 <> 2 then {_SPAN} end",
+    "truth_plate": _OLDER_PLATE,
+    "truth_chassis": f"case o_orderkey % 4 when 0 then concat('MRH', {_TAIL}) when 1 then concat('MRH', {_TAIL}) end",
+    "truth_make": _OLDER_MAKE,
+    "truth_model": _OLDER_MODEL,
+    "truth_year": "case o_orderkey % 4 when 1 then cast(2016 as bigint) when 2 then cast(year(o_orderdate) as bigint) else cast(1999 as bigint) end",
+    "truth_start": f"concat(cast(year(o_orderdate) as string), '-', lpad(cast(month(o_orderdate) as string), 2, '0'), '-', lpad(cast({_DAY} as string), 2, '0'))",
+    "truth_end": (
+        f"case when o_orderkey % 7 < 5 then concat(cast(year(o_orderdate) + 1 as string), '-', lpad(cast(month(o_orderdate) as string), 2, '0'), '-', "
+        f"lpad(cast({_DAY} as string), 2, '0')) when o_orderkey % 8 = 0 then '2017-07-09' end"
+    ),
+    "truth_net": (
+        f"case when o_orderkey % 6 = 0 then {_PRICE_OUT} when o_orderkey % 6 = 3 then floor({_PRICE_OUT}) when {_IN_LINE} then {_PRICE_OUT} "
+        "when o_orderkey % 3 = 1 then cast(333 as double) end"
+    ),
+    "truth_stamp": "cast(c_nationkey + 1 as double)",
+    "truth_vat": "cast(c_custkey as double) * 100 + 5.5",
+    "truth_total": f"case when o_orderkey % 5 <> 1 or {_IN_LINE} then {_PRICE_OUT} else cast(150 as double) end",
+    "truth_broker": f"case when o_orderkey % 4 <> 3 then concat('Somchai ', {_LATIN}) end",
+    "truth_license": "lpad(cast(c_custkey as string), 10, '0')",
+}
+ROLE_SQL["older_schedules"] = _select(OLDER_COLUMNS, "orders JOIN customer ON o_custkey = c_custkey")
+
+
+def older_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders join customer: the text of an older schedule as a scan gives it, with the facts a reader should find."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return _pick(orders.join(customer, orders.o_custkey == customer.c_custkey), OLDER_COLUMNS)
+
+
 
 _NET, _STAMP, _VAT = (
     "cast(l_extendedprice as decimal(18,2))",
