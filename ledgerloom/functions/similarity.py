@@ -21,6 +21,21 @@ def sequence_ratio(a: str, b: str) -> Column:
     return ratio(a, b)
 
 
+def ratio_bound(a: str, b: str) -> Column:
+    """No less than ``sequence_ratio``: twice the characters both hold, repeats counted, over all characters; null for null or
+    empty text. Stays in the JVM, so that pairs which can't reach a ratio never get to Python."""
+
+    def bag(text: Column) -> Column:
+        def numbered(i: Column) -> Column:
+            char, upto = F.substring(text, i, F.lit(1)), F.substring(text, F.lit(1), i)
+            return F.concat(char, (i - F.length(F.replace(upto, char, F.lit("")))).cast("string"))
+
+        return F.transform(F.sequence(F.lit(1), F.length(text)), numbered)
+
+    x, y = (F.nullif(F.col(c), F.lit("")) for c in (a, b))
+    return 2.0 * F.size(F.array_intersect(bag(x), bag(y))) / (F.length(x) + F.length(y))
+
+
 def closest_of(word: str, choices: Column) -> Column:
     """The choice most like the word, ratio 0.78 or better; null otherwise."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.functions import dates as D, text as X
 from ledgerloom.functions.filenames import with_archive_name
-from ledgerloom.functions.similarity import sequence_ratio
+from ledgerloom.functions.similarity import ratio_bound, sequence_ratio
 from ledgerloom.operators.extract import vin_candidates
 from ledgerloom.operators.linkage import contained_either_way
 from ledgerloom.operators.windows import keyed_positions, keyed_running
@@ -85,6 +85,7 @@ def similar_names(mains: DataFrame, prbs: DataFrame) -> DataFrame:
     )
     a, b = F.length("main_name"), F.length("prb_name")
     blocked = blocked.filter((F.col("main_name") != F.col("prb_name")) & (2 * F.least(a, b) >= NAME_RATIO * (a + b)))
+    blocked = blocked.filter(ratio_bound("main_name", "prb_name") >= NAME_RATIO - 1e-9)
     close = blocked.filter(sequence_ratio("main_name", "prb_name") >= NAME_RATIO)
     equal = m.join(p, "text", "left_semi").select(F.col("text").alias("main_name"), F.col("text").alias("prb_name"))
     return equal.unionByName(close.select("main_name", "prb_name"))

@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.similarity import ratio_bound
 from ledgerloom.operators import pairing as P, rules as RU, windows as WN
 from ledgerloom.schemas import BATCH_DOCUMENTS
 
@@ -168,6 +169,24 @@ def test_similar_names_miss_nothing(spark):
     assert got == want
 
 
+def test_ratio_bound_is_never_below_the_ratio_and_cuts_pairs(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abกข่😀") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["a" * 230, "ab" * 130, "a.b*c$1"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words] + [("", "a"), (None, "a")], "a string, b string")
+    rows = pairs.select("a", "b", ratio_bound("a", "b").alias("bound")).collect()
+    assert [r.bound for r in rows if not r.a] == [None, None]
+    truth = [(r.bound, SequenceMatcher(None, r.a, r.b).ratio()) for r in rows if r.a]
+    assert all(bound >= ratio - 1e-12 for bound, ratio in truth)
+    assert sum(ratio >= 0.85 for _, ratio in truth) <= sum(bound >= 0.85 for bound, _ in truth) < len(truth) / 10
+
+
+def test_the_bound_stands_before_python(spark):
+    df = spark.createDataFrame([("abcdef",), ("abcdeg",)], "name string")
+    plan = P.similar_names(df, df)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("ArrowEvalPython", 1)
+    assert "array_intersect" in below and "array_intersect" not in above
+
+
 def test_anchor_cascade(spark):
     candidates = spark.createDataFrame(
         [("c1", ["N1"], ["V1"], ["P1"], ["a"], [2024]), ("c2", ["N2"], ["V1"], ["P1"], ["b"], [2025]), ("c3", ["N2"], [], ["P2"], [], [])],
