@@ -644,63 +644,80 @@ def scored_files(policies: DataFrame, files: DataFrame, top: int = 3) -> DataFra
     Policies: id, policy_type, license_plate, address, person, coverage_start, coverage_end.
     """
     kind, target, plate = _wanted(policies)
-    wanted = F.struct(
-        (kind == "P").alias("wanted"),
-        F.coalesce(target, F.lit(-1)).alias("target"),
-        F.when(~plate.isin("", "OTHER"), plate).alias("plate"),
-        X.address_compact("address").alias("address"),
-        X.name_key_anchored(F.trim("person")).alias("person"),
-    )
-    rows = cut_lineage(policies.select("id", wanted.alias("probe")))
-    probes = rows.select("probe", "probe.*").distinct()
-    scans = with_scan_facts(files.select("name").distinct()).select(
-        "name", "plate", "year", "compulsory", "address_key", X.name_key_anchored("plain").alias("person_key")
-    )
-    groups = cut_lineage(_first_names(scans, ["plate", "year", "compulsory", "address_key", "person_key"], top))
-    facts = ["year", "compulsory", "name"]
-    with_plate, without = groups.filter("plate is not null"), groups.filter("plate is null")
-    right_kind = F.col("compulsory") == F.col("wanted")
-
-    def tier(number: int, score: int, reason: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        """The best ``top`` files per (kind wanted, year, key) asked for, then per probe. A key that a third of all
-        files share is cut to ``top`` names per year and kind before any probe meets it."""
-        few = _first_names(right.select("_on", *facts).distinct(), ["_on", "year", "compulsory"], top)
-        hit = F.col("year") == F.col("target")
-        order = [(~right_kind).cast("int"), F.desc("score"), F.col("name")]
-        asked = left.select("wanted", "target", "_on").distinct().join(few, "_on")
-        asked = asked.withColumn("same", F.coalesce(hit, F.lit(False))).withColumn("miss", (~right_kind).cast("int"))
-        asked = asked.withColumn("score", F.when(F.col("same"), F.least(F.lit(100), F.lit(score + 20))).otherwise(F.lit(score)))
-        place = F.row_number().over(W.partitionBy("wanted", "target", "_on").orderBy(*order))
-        best = asked.withColumn("_r", place).filter(F.col("_r") <= top)
-        text = F.when(F.col("same"), F.lit(reason + "+year")).otherwise(F.lit(reason))
-        return left.select("probe", "wanted", "target", "_on").join(best, ["wanted", "target", "_on"]).select(
-            "probe", F.lit(number).alias("tier"), "miss", "score", text.alias("reason"), "name"
+    first = lambda c, n: F.when(F.length(c) >= n, F.substring(c, 1, n))
+    address, person = X.address_compact("address"), X.name_key_anchored(F.trim("person"))
+    rows = policies.select(
+        "id", (kind == "P").alias("wanted"), F.coalesce(target, F.lit(-1)).alias("target"), F.when(~plate.isin("", "OTHER"), plate).alias("plate"),
+        F.substring(address, 1, 15).alias("address"), F.when(F.length(person) >= 6, F.substring(person, 1, 15)).alias("person"),
+    )
+    scans = with_scan_facts(files.select("name").distinct()).withColumn("person_key", X.name_key_anchored("plain"))
+    bare = F.col("plate").isNull()
+    # A name file answers when its key (at most 15 characters) starts the name, or starts with the name's first 8.
+    scans = cut_lineage(
+        scans.select(
+            "name", "year", "compulsory", "plate", F.when(bare, F.substring("address_key", 1, 15)).alias("address"),
+            F.when(bare & (F.length("person_key") >= 6), F.substring("person_key", 1, 15)).alias("person"),
         )
+    )
 
-    on = lambda df, c: df.withColumn("_on", c).filter("_on is not null")
-    first = lambda c, n: F.when(F.length(c) >= n, F.substring(c, 1, n))
+    def listed(on: Column, score: int, reason: str) -> DataFrame:
+        """Per key the files that can be among the best: ``top`` of each year and kind. A key that a third of all files share
+        is one row here, and no list is longer than the years allow."""
+        few = _first_names(scans.select(on.alias("_on"), "year", "compulsory", "name").filter("_on is not null"), ["_on", "year", "compulsory"], top)
+        one = F.struct("year", "compulsory", "name", F.lit(score).alias("score"), F.lit(reason).alias("reason"))
+        return few.groupBy("_on").agg(F.collect_list(one).alias("_files"))
+
+    def gathered(df: DataFrame, key: str, on: Column, *lists: DataFrame) -> DataFrame:
+        """``key`` with the files of every text that it asks ``lists`` for, one after the other."""
+        asked = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_on", F.explode(on))
+        found = reduce(DataFrame.unionByName, [asked.join(x, "_on") for x in lists])
+        return found.groupBy(key).agg(F.flatten(F.collect_list("_files")).alias("_files"))
+
+    def best(found: Column) -> Column:
+        """The ``top`` of a row's files, among those of the right kind if there are any."""
+
+        def scored(f: Column) -> Column:
+            same = F.coalesce(f["year"] == F.col("target"), F.lit(False))
+            score = F.when(same, F.least(F.lit(100), f["score"] + 20)).otherwise(f["score"])
+            reason = F.when(same, F.concat(f["reason"], F.lit("+year"))).otherwise(f["reason"])
+            return F.struct((f["compulsory"] != F.col("wanted")).cast("int").alias("miss"), (-score).alias("down"), f["name"].alias("file"), reason.alias("reason"))
+
+        return F.slice(F.array_sort(F.array_distinct(F.transform(found, scored))), 1, top)
+
+    answered = []
+
+    def settle(left: DataFrame, found: Column) -> DataFrame:
+        """Keeps the answers of a tier and gives back the rows that have none, for the next."""
+        tried = cut_lineage(left.withColumn("_best", best(found)).select("id", "_best", *[F.when(F.col("_best").isNull(), F.col(c)).alias(c) for c in rows.columns[1:]]))
+        answered.append(tried.filter("_best is not null").select("id", F.filter("_best", lambda x: x["miss"] == F.get("_best", F.lit(0))["miss"]).alias("_best")))
+        return tried.filter("_best is null").drop("_best")
+
+    rows = cut_lineage(rows)
     shorter = F.filter(prefixes(F.col("plate"), 5), lambda p: p != F.col("plate"))
-    # A name file answers when its key (at most 15 characters) starts the name, or starts with the name's first 8.
-    name_files = without.filter(F.length("person_key") >= 6).withColumn("_nk", F.substring("person_key", 1, 15))
-    name_wanted = probes.filter(F.length("person") >= 6)
-    tiers = [
-        tier(0, 100, "plate-exact", on(probes, F.col("plate")), on(with_plate, F.col("plate"))),
-        tier(0, 80, "plate-prefix", probes.select("*", F.explode(shorter).alias("_on")), on(with_plate, F.col("plate"))),
-        tier(1, 90, "addr-15", on(probes, first(F.col("address"), 15)), on(without, first(F.col("address_key"), 15))),
-        tier(2, 70, "addr-10", on(probes, first(F.col("address"), 10)), on(without, first(F.col("address_key"), 10))),
-        tier(3, 60, "name", name_wanted.select("*", F.explode(prefixes(F.col("person"), 6, 15)).alias("_on")), on(name_files, F.col("_nk"))),
-        tier(3, 60, "name", on(name_wanted, F.substring("person", 1, 8)), name_files.select("*", F.explode(prefixes(F.col("_nk"), 6, 8)).alias("_on"))),
-    ]
-    hits = cut_lineage(reduce(DataFrame.unionByName, tiers)).distinct()
-    lead = hits.groupBy("probe").agg(F.min(F.struct("tier", "miss")).alias("_lead"))
-    kept = hits.join(lead, "probe").filter((F.col("tier") == F.col("_lead.tier")) & (F.col("miss") == F.col("_lead.miss")))
-    place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "name"))
-    ranked = kept.withColumn("rank", place).filter(F.col("rank") <= top).select("probe", "rank", F.col("name").alias("file"), "score", "reason")
-    best = ranked.filter("rank = 1").select("probe", F.col("score").alias("_best"))
-    confidence = F.when(F.col("_best") >= 100, "HIGH").when(F.col("_best") >= 80, "MED").when(F.col("_best").isNotNull(), "LOW").otherwise("NONE")
-    return (
-        rows.select("id", "probe").join(ranked.join(best, "probe"), "probe", "left").select("id", confidence.alias("confidence"), "rank", "file", "score", "reason")
-    )
+    exact, longer = listed(F.col("plate"), 100, "plate-exact"), listed(F.col("plate"), 80, "plate-prefix")
+    of_plate = gathered(rows, "plate", shorter, longer).unionByName(exact.withColumnRenamed("_on", "plate"))
+    of_plate = of_plate.groupBy("plate").agg(F.flatten(F.collect_list("_files")).alias("_files"))
+    rest = settle(rows.join(of_plate, "plate", "left"), F.col("_files"))
+    for size, score in ((15, 90), (10, 70)):
+        found = listed(first(F.col("address"), size), score, f"addr-{size}")
+        rest = settle(rest.withColumn("_on", first(F.col("address"), size)).join(found, "_on", "left"), F.col("_files"))
+    by_start = gathered(rest, "person", prefixes(F.col("person"), 6, 15), listed(F.col("person"), 60, "name"))
+    starts = scans.select(F.explode(prefixes(F.col("person"), 6, 8)).alias("_on"), "year", "compulsory", "name")
+    few = _first_names(starts, ["_on", "year", "compulsory"], top)
+    by_stem = few.groupBy("_on").agg(F.collect_list(F.struct("year", "compulsory", "name", F.lit(60).alias("score"), F.lit("name").alias("reason"))).alias("_more"))
+    rest = rest.join(by_start, "person", "left").withColumn("_on", F.substring("person", 1, 8)).join(by_stem, "_on", "left")
+    none = F.array().cast(by_start.schema["_files"].dataType)
+    found = F.when(F.col("_files").isNotNull() | F.col("_more").isNotNull(), F.concat(F.coalesce("_files", none), F.coalesce("_more", none)))
+    rest = settle(rest, found)
+
+    hit = F.posexplode("_best").alias("rank", "_hit")
+    hits = reduce(DataFrame.unionByName, answered)
+    top_score = -F.get("_best", F.lit(0))["down"]
+    confidence = F.when(top_score >= 100, "HIGH").when(top_score >= 80, "MED").otherwise("LOW")
+    hits = hits.select("id", confidence.alias("confidence"), hit)
+    hits = hits.select("id", "confidence", (F.col("rank") + 1).alias("rank"), F.col("_hit.file").alias("file"), (-F.col("_hit.down")).alias("score"), F.col("_hit.reason").alias("reason"))
+    empty = [F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("rank", "file", "score", "reason")]
+    return hits.unionByName(rest.select("id", F.lit("NONE").alias("confidence"), *empty))
 
 
 # -- coverage and follow-up ------------------------------------------------------------------------------------------
