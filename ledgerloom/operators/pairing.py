@@ -491,23 +491,24 @@ def _taken(edges: DataFrame) -> DataFrame:
 
 
 def _first_free(mains: DataFrame, prbs: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(batch_id, m, ``name``, ``name``_n): in its turn, a main's first free partner of equal ``keys``, and how many are free.
+    """(batch_id, m, ``name``, ``name``_order, ``name``_n): in its turn, a main's first free partner of equal ``keys``, its place
+    in order, and how many are free.
 
     Partners only are used up, so the first free one moves on in order: partner p is it from the time when all before it
     are used until its own use. Times are the mains' turns.
     """
-    never = F.lit(2**62)
+    never, nobody = F.lit(2**62), F.lit(None).cast("struct<p:string,p_order:bigint,_until:bigint>")
     spans = keyed_running(prbs.withColumn("_until", F.coalesce("used_at", never)), keys, ["p_order"], {"_from": ("max", "_until")}, before=True)
     spans = cut_lineage(spans.withColumn("_from", F.coalesce("_from", F.lit(-1))))
-    starts = spans.filter("_until > _from").select(*keys, F.col("_from").alias("t"), F.lit(0).alias("_k"), F.struct("p", "_until").alias("_s"), F.lit(0).alias("_gone"), F.lit(None).cast("string").alias("m"))
-    uses = prbs.filter("used_at is not null").select(*keys, F.col("used_at").alias("t"), F.lit(0).alias("_k"), F.lit(None).cast("struct<p:string,_until:bigint>").alias("_s"), F.lit(1).alias("_gone"), F.lit(None).cast("string").alias("m"))
-    turns = mains.select(*keys, F.col("m_order").alias("t"), F.lit(-1).alias("_k"), F.lit(None).cast("struct<p:string,_until:bigint>").alias("_s"), F.lit(0).alias("_gone"), "m")
+    starts = spans.filter("_until > _from").select(*keys, F.col("_from").alias("t"), F.lit(0).alias("_k"), F.struct("p", F.col("p_order").cast("long").alias("p_order"), "_until").alias("_s"), F.lit(0).alias("_gone"), F.lit(None).cast("string").alias("m"))
+    uses = prbs.filter("used_at is not null").select(*keys, F.col("used_at").alias("t"), F.lit(0).alias("_k"), nobody.alias("_s"), F.lit(1).alias("_gone"), F.lit(None).cast("string").alias("m"))
+    turns = mains.select(*keys, F.col("m_order").alias("t"), F.lit(-1).alias("_k"), nobody.alias("_s"), F.lit(0).alias("_gone"), "m")
     rows = starts.unionByName(uses).unionByName(turns).withColumns({"_start": F.col("_s"), "_use": F.col("_gone")}).drop("_s", "_gone")
     rows = keyed_running(rows, keys, ["t", "_k"], {"_s": ("last", "_start"), "_gone": ("sum", "_use")}).filter("m is not null")
     total = prbs.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = rows.join(total, keys, "left")
-    first = F.when(F.col("_s._until") >= F.col("t"), F.col("_s.p"))
-    return rows.select("batch_id", "m", first.alias(name), (F.coalesce("_n", F.lit(0)) - F.col("_gone")).alias(f"{name}_n"))
+    first = F.when(F.col("_s._until") >= F.col("t"), F.col("_s"))
+    return rows.select("batch_id", "m", first["p"].alias(name), first["p_order"].alias(f"{name}_order"), (F.coalesce("_n", F.lit(0)) - F.col("_gone")).alias(f"{name}_n"))
 
 
 def pair_by_evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -530,7 +531,7 @@ def pair_by_evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     free = edges.join(used, ["batch_id", "p"], "left").filter("used_at is null or used_at >= m_order")
     best = W.partitionBy("batch_id", "m").orderBy(F.desc("score"), "p_order")
     ranked = free.withColumn("_rank", F.row_number().over(best)).withColumn("_years", F.count(F.when(F.col("same_year"), 1)).over(W.partitionBy("batch_id", "m"))).withColumn("_all", F.count("*").over(W.partitionBy("batch_id", "m")))
-    facts = F.struct("p", "score", "strong", "same_vins", "same_tokens", "apart", "same_year")
+    facts = F.struct("p", "p_order", "score", "strong", "same_vins", "same_tokens", "apart", "same_year")
     tops = ranked.filter("_rank <= 2").groupBy("batch_id", "m").agg(F.max(F.when(F.col("_rank") == 1, facts)).alias("b1"), F.max(F.when(F.col("_rank") == 2, F.col("score"))).alias("s2"), F.first("_years").alias("_years"), F.first("_all").alias("_all"))
     of_year = _first_free(mains.filter("year is not null"), prbs.filter("year is not null"), ["batch_id", "year"], "by_year")
     of_batch = _first_free(mains, prbs, ["batch_id"], "by_batch")
@@ -546,7 +547,8 @@ def pair_by_evidence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rows = rows.withColumn("_scores", F.sort_array(scores, asc=False))
     score, runner_up = F.get("_scores", F.lit(0)), F.coalesce(F.get("_scores", F.lit(1)), F.lit(0))
-    by_evidence = F.coalesce(F.col("b1.score") == score, F.lit(False))
+    earlier = (score == year_points) & (plain_year > 0) & (F.col("by_year_order") < F.col("b1.p_order"))  # a tie: the year alone is worth as much
+    by_evidence = F.coalesce((F.col("b1.score") == score) & ~F.coalesce(earlier, F.lit(False)), F.lit(False))
     partner = F.when(by_evidence, F.col("b1.p")).when(score == year_points, F.col("by_year")).otherwise(F.col("by_batch"))
     reasons = F.filter(
         F.array(

@@ -267,6 +267,15 @@ def test_evidence_pairs_in_a_large_batch(spark):
     assert sum(p[5] == "ready_for_review" for p in got) > 1000
 
 
+def test_a_tie_with_the_year_alone_goes_to_the_earlier_partner(spark):
+    """Near and four words are worth as much as the year: the partner of the year stands before, then behind the other."""
+    words = ["LONGA", "LONGB", "LONGC", "LONGD"]
+    for at in (1, 30):
+        rows = [("a", "m", 10, "motor_main", 2025, [], words), ("a", "y", at, "motor_prb", 2025, [], []), ("a", "w", 12, "motor_prb", 2024, [], words)]
+        assert paired(spark, rows) == one_after_another(rows)
+        assert paired(spark, rows)[0][0][:5] == ("a", "m", "y" if at == 1 else "w", 20, 20)
+
+
 def test_evidence_reasons(spark):
     rows = [("a", str(i), i, "motor_main" if i % 2 == 0 else "motor_prb", 2025, ["V"] if i < 2 else [], ["TOKEN1"]) for i in range(4)]
     pairs, unmatched = P.pair_by_evidence(spark.createDataFrame(rows, EVIDENCE))
