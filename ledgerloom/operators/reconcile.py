@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerloom.operators.windows import last_per_key
@@ -126,13 +128,24 @@ def copy_plan(source: DataFrame, target: DataFrame, by_time: bool = False, toler
     return source.join(there, "name", "left").withColumn("action", action).drop("_length", "_modified")
 
 
+def _looked_up(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which rows without a key, which find nothing, are dealt by where they come from: they else meet in one task.
+
+    Rows of one task stay together, four ways, so that they still compress; a row with a key carries only its length.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    by_key = F.length(F.concat(*[F.col(k).cast("string") for k in keys]))
+    elsewhere = -1 - F.spark_partition_id() * 4 - F.pmod(F.hash(*rows.columns), F.lit(4))
+    dealt = rows.withColumn("_deal", F.when(whole, by_key).otherwise(elsewhere))
+    return dealt.join(side.withColumn("_deal", by_key), [*keys, "_deal"], "left").drop("_deal")
+
+
 def coalesce_by_two_keys(docs: DataFrame, policies: DataFrame, position: str = "pos") -> DataFrame:
     """Record by policy number, else by exact plate. First record per key by id."""
     by_number = policies.filter("policy_number is not null").groupBy("policy_number").agg(F.min("id").alias("_by_number"))
     by_plate = policies.filter("license_plate is not null").groupBy("license_plate").agg(F.min("id").alias("_by_plate"))
     return (
-        docs.join(by_number, "policy_number", "left")
-        .join(by_plate, "license_plate", "left")
+        _looked_up(_looked_up(docs, by_number, ["policy_number"]), by_plate, ["license_plate"])
         .withColumn("policy_id", F.coalesce("_by_number", "_by_plate"))
         .withColumn("matched_by", F.when(F.col("_by_number").isNotNull(), "policy_number").when(F.col("_by_plate").isNotNull(), "license_plate"))
         .drop("_by_number", "_by_plate")
@@ -198,41 +211,30 @@ def unique_parent(docs: DataFrame, policies: DataFrame, number_key, vin_key, pla
     vehicles = p.filter(F.col("policy_type").isin("M", "STY"))
     v = anchors("chassis", vin_key("chassis_no"), vehicles).unionByName(anchors("plate", plate_key("license_plate"), vehicles))
     v = _newest(v, ["_kind", "_key"], newest)
-    by_year = v.groupBy("_kind", "_key", "_year").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
-    by_any = v.groupBy("_kind", "_key").agg(F.count("*").alias("_n_any"), F.min("id").alias("_id_any"))
     n = anchors("number", number_key("policy_number"), p)
-    n_company = n.groupBy("_key", "company_code").agg(F.count("*").alias("_n_company"), F.min("id").alias("_id_company"))
-    n_all = n.groupBy("_key").agg(F.count("*").alias("_n_number"), F.min("id").alias("_id_number"))
+
+    def counted(rows: DataFrame, detail: str | None) -> DataFrame:
+        """Policies and their least id per key, and per year or company if asked."""
+        told = F.lit("") if detail is None else F.col(detail).cast("string")
+        rows = rows.select("_kind", "_key", F.lit(detail is None).alias("_any"), told.alias("_detail"), "id").filter("_detail is not null")
+        return rows.groupBy("_kind", "_key", "_any", "_detail").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
+
+    known = reduce(DataFrame.unionByName, [counted(v, "_year"), counted(v, None), counted(n, "company_code"), counted(n, None)])
 
     prb = F.col("doc_type") == "motor_prb"
     vin, plate = vin_key("chassis_no"), plate_key("license_plate")
-    d = docs.withColumns(
-        {
-            "_kind": F.when(prb & (vin != ""), "chassis").when(prb & (plate != ""), "plate"),
-            "_key": F.when(prb & (vin != ""), vin).when(prb & (plate != ""), plate),
-            "_dyear": year_of_text("coverage_start"),
-            "_number": F.when(~prb, F.nullif(number_key("policy_number"), F.lit(""))),
-            "_company": F.nullif(F.col("company_code"), F.lit("")),
-        }
-    )
-    d = d.join(by_any, ["_kind", "_key"], "left").join(
-        by_year.withColumnRenamed("_year", "_dyear"), ["_kind", "_key", "_dyear"], "left"
-    )
-    d = d.join(n_all.withColumnRenamed("_key", "_number"), "_number", "left").join(
-        n_company.select(F.col("_key").alias("_number"), F.col("company_code").alias("_company"), "_n_company", "_id_company"),
-        ["_number", "_company"],
-        "left",
-    )
-    has_year, has_company = F.col("_dyear").isNotNull(), F.col("_company").isNotNull()
-    found = F.when(F.col("_number").isNotNull(), F.when(has_company, F.col("_n_company")).otherwise(F.col("_n_number"))).when(
-        F.col("_kind").isNotNull(), F.when(has_year, F.col("_n")).otherwise(F.col("_n_any"))
-    )
-    parent = F.when(F.col("_number").isNotNull(), F.when(has_company, F.col("_id_company")).otherwise(F.col("_id_number"))).otherwise(
-        F.when(has_year, F.col("_id")).otherwise(F.col("_id_any"))
-    )
-    one = F.coalesce(found, F.lit(0)) == 1
+    number, year, company = number_key("policy_number"), year_of_text("coverage_start"), F.nullif(F.col("company_code"), F.lit(""))
+    detail = F.when(prb, year).otherwise(company).cast("string")
+    asked = {  # a document asks one thing, so it is looked up once
+        "_kind": F.when(prb & (vin != ""), "chassis").when(prb & (plate != ""), "plate").when(~prb & (number != ""), "number"),
+        "_key": F.when(prb & (vin != ""), vin).when(prb & (plate != ""), plate).when(~prb & (number != ""), number),
+        "_any": detail.isNull(),
+        "_detail": F.coalesce(detail, F.lit("")),
+    }
+    d = _looked_up(docs.withColumns(asked), known, ["_kind", "_key", "_any", "_detail"])
+    one, parent = F.coalesce("_n", F.lit(0)) == 1, F.col("_id")
     reason = (
-        F.when(F.col("_number").isNotNull(), F.when(one, "policy_number_exact").otherwise("not_unique"))
+        F.when(F.col("_kind") == "number", F.when(one, "policy_number_exact").otherwise("not_unique"))
         .when(~prb, "no_reference")
         .when(F.col("_kind").isNull(), "missing_vehicle_identity")
         .when(~one, "not_unique")
