@@ -13,6 +13,7 @@ from ledgerloom.functions.text import (
     safe_file_text,
     squeeze,
 )
+from ledgerloom.session import once
 
 # Patterns of the archive's naming convention.
 PLATE_THEN_LABEL = rf"^(\d?[{THAI_CONSONANTS}]{{1,2}}\s?\d{{1,4}})(?=\s|พรบ|กธ|PA|สลักหลัง|ยกเลิก|\.pdf)"
@@ -47,20 +48,19 @@ def stem_of(name) -> Column:
 def with_archive_name(df: DataFrame, name: str = "name", suffix_length: int = 25) -> DataFrame:
     """Adds kind, key, number, suffix and year_be. Kinds in order of test: plate, address, name, unknown.
 
-    Staged so that each pattern runs once per row.
+    Staged so that each pattern runs once per row, and only on rows that no earlier kind took.
     """
     cleaned = F.trim(F.regexp_replace(F.regexp_replace(stem_of(name), r"_\d{4}$", ""), r"(?U)\s*\(.*?\)\s*", " "))
     year = F.coalesce(_found(F.col(name), YEAR_AFTER_LABEL, 1), _found(F.col(name), YEAR_AFTER_LABEL, 2)).try_cast("int") + 2500
-    staged = df.select("*", cleaned.alias("_cleaned"), year.alias("year_be"))
-    text = F.col("_cleaned")
-    staged = staged.select(
-        "*",
-        F.replace(F.coalesce(_found(text, PLATE_THEN_LABEL, 1), _found(text, OLD_PLATE_THEN_LABEL, 1)), F.lit(" "), F.lit("")).alias("_plate"),
-        _found(text, HOUSE_THEN_PLACE, 1).alias("_house"),
-        F.substring(_found(text, HOUSE_THEN_PLACE, 2), 1, suffix_length).alias("_place"),
-        F.trim(_found(text, NAME_THEN_LABEL, 1)).alias("_person"),
+    staged = once(df, _cleaned=cleaned, year_be=year)
+    text, plate, house, place, person = (F.col(c) for c in ("_cleaned", "_plate", "_house", "_place", "_person"))
+    staged = once(staged, _plate=F.replace(F.coalesce(_found(text, PLATE_THEN_LABEL, 1), _found(text, OLD_PLATE_THEN_LABEL, 1)), F.lit(" "), F.lit("")))
+    staged = once(
+        staged,
+        _house=F.when(plate.isNull(), _found(text, HOUSE_THEN_PLACE, 1)),
+        _place=F.when(plate.isNull(), F.substring(_found(text, HOUSE_THEN_PLACE, 2), 1, suffix_length)),
     )
-    plate, house, place, person = (F.col(c) for c in ("_plate", "_house", "_place", "_person"))
+    staged = once(staged, _person=F.when(plate.isNull() & house.isNull(), F.trim(_found(text, NAME_THEN_LABEL, 1))))
     is_address, is_name = plate.isNull() & house.isNotNull(), F.length(person) >= 3
     return staged.select(
         *df.columns,
@@ -137,7 +137,7 @@ def with_scan_facts(df: DataFrame) -> DataFrame:
     def key(text: Column) -> Column:
         return F.nullif(address_compact(text), F.lit(""))
 
-    facts = df.select("*", stem_of("name").alias("_stem")).select(
+    facts = once(df, _stem=stem_of("name")).select(
         *df.columns,
         _found(stem, SCAN_PLATE, 1).alias("plate"),
         scan_year(stem).alias("year"),

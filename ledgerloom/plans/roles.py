@@ -6,9 +6,9 @@ alike, so both sides of a check start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.session import spread
+from ledgerloom.session import once, spread
 
 LETTERS = "กขคฆงจฉชซญฐณดตถทธนบปผฝพฟภมยรลวศษ"  # 32 plate letters
 
@@ -159,10 +159,10 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem join orders join customer: one scanned file per line, named the way the archive names them.
-    Orders meet their customers first: the lines, which are most, are shuffled once."""
+    Orders meet their customers first: the lines, which are most, are shuffled once. A name is made once, however often it is read."""
     line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     joined = line.join(orders.join(customer, orders.o_custkey == customer.c_custkey), line.l_orderkey == orders.o_orderkey)
-    return _pick(joined, FILE_COLUMNS)
+    return _pick(once(joined, name=F.expr(FILE_COLUMNS["name"])), {**FILE_COLUMNS, "name": "name"})
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
