@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, functions as F
 
 from ledgerloom.functions.text import blank_to_null, western_digits
@@ -50,12 +53,8 @@ def first_nonzero(*values: Column) -> Column:
 def vin_check_digit_ok(value) -> Column:
     vin = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
     digits = F.translate(vin, VIN_LETTERS, VIN_VALUES)
-    weights = F.array(*[F.lit(w) for w in VIN_WEIGHTS])
-    values = F.transform(F.sequence(F.lit(1), F.lit(17)), lambda at: F.substring(digits, at, F.lit(1)).try_cast("int"))
-    total = F.aggregate(
-        F.zip_with(values, weights, lambda v, w: v * w), F.lit(0), lambda acc, term: acc + F.coalesce(term, F.lit(0))
-    )
-    expected = F.when(total % 11 == 10, F.lit("X")).otherwise((total % 11).cast("string"))
+    terms = [F.coalesce(F.substring(digits, at, 1).try_cast("int") * weight, F.lit(0)) for at, weight in enumerate(VIN_WEIGHTS, 1)]
+    expected = F.substring(F.lit("0123456789X"), reduce(add, terms) % 11 + 1, F.lit(1))
     return vin.rlike(VIN_SHAPE) & (F.substring(vin, 9, 1) == expected)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions import dates as D, text as X
 from ledgerloom.functions.numbers import VIN_SHAPE, vin_check_digit_ok
 from ledgerloom.schemas import SUPPORT_TYPES
+from ledgerloom.session import once
 
 AMOUNTS = ["net_premium", "stamp_duty", "vat", "total_premium"]
 # Least confidence by field for a value to be taken.
@@ -139,7 +140,7 @@ def consensus(reads: DataFrame, keys: list[str], field: Column, norm: str, read_
 def majority_identifier(reads: DataFrame, key: str, value: str) -> DataFrame:
     """The one reading with a right check digit, else the most frequent if seen twice (smallest on ties)."""
     sizes = reads.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    marked = sizes.withColumn("_ok", vin_check_digit_ok(value))
+    marked = once(sizes, _ok=vin_check_digit_ok(value))
     grouped = marked.groupBy(key).agg(
         F.count_if("_ok").alias("_valid"),
         F.min(F.when(F.col("_ok"), F.col(value))).alias("_checked"),
