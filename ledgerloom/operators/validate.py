@@ -199,9 +199,21 @@ def merge_readings(first: DataFrame, second: DataFrame, keys: list[str]) -> Data
     """
     f = first.select(*keys, F.col("value").alias("first_value"))
     s = second.select(*keys, F.col("value").alias("second_value"))
-    joined = f.join(s, keys, "full_outer")
+    return _merged(f.join(s, keys, "full_outer"), keys)
+
+
+def merge_wide_readings(first: DataFrame, second: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``merge_readings`` of two tables with a column per field, as keys..., field, value, status. The tables are joined by
+    ``keys`` before their fields become rows: one row a document is shuffled and compared, not one a field."""
+    pack = lambda df, name: df.select(*keys, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(name))
+    joined = pack(first, "_first").join(pack(second, "_second"), keys, "full_outer")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col("_first")[f].alias("first_value"), F.col("_second")[f].alias("second_value")) for f in fields])
+    return _merged(joined.select(*keys, F.inline(pairs)), [*keys, "field"])
+
+
+def _merged(joined: DataFrame, keys: list[str]) -> DataFrame:
     one, two = F.nullif(F.col("first_value"), F.lit("")), F.nullif(F.col("second_value"), F.lit(""))
-    differ = one.isNotNull() & (X.comparison_key(one) != X.comparison_key(two))
+    differ = one.isNotNull() & (one != two) & (X.comparison_key(one) != X.comparison_key(two))
     status = F.when(two.isNull(), "kept").when(differ, "review").otherwise("candidate")
     return joined.select(*keys, F.coalesce(two, one).alias("value"), status.alias("status")).filter("value is not null")
 

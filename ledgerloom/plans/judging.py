@@ -301,10 +301,8 @@ def mrg_1b(spark, sf):
     """Two readings of the four amounts; the second reads the stamp 1 higher on first lines and the total 2 higher on third."""
     df = R.ledgers(spark, sf).select("id", F.split_part("id", F.lit("-"), F.lit(2)).cast("int").alias("n"), *[F.col(a).cast("decimal(18,2)").alias(a) for a in V.AMOUNTS])
     more = {"stamp_duty": F.when(F.col("n") == 1, 1).otherwise(0), "total_premium": F.when(F.col("n") == 3, 2).otherwise(0)}
-    first = df.unpivot("id", [F.col(a) for a in V.AMOUNTS], "field", "value")
-    second = df.withColumns({a: (F.col(a) + x).cast("decimal(18,2)") for a, x in more.items()}).unpivot("id", [F.col(a) for a in V.AMOUNTS], "field", "value")
-    text = lambda d: d.withColumn("value", F.col("value").cast("string"))
-    out = V.merge_warnings(V.merge_readings(text(first), text(second), ["id", "field"]), ["id"])
+    second = df.withColumns({a: (F.col(a) + x).cast("decimal(18,2)") for a, x in more.items()})
+    out = V.merge_warnings(V.merge_wide_readings(df, second, ["id"], V.AMOUNTS), ["id"])
     return out.select("id", F.array_join("review_fields", ",").alias("review_fields"), F.size("warnings").cast("long").alias("warnings"))
 
 
