@@ -38,3 +38,12 @@ def test_check_digits_need_no_arrays(spark):
     got = df.select(vin_check_digit_ok("v").alias("ok"))
     assert [r.ok for r in got.collect()] == [True, False, True, False, False]
     assert "aggregate(" not in plan_of(got)
+
+
+def test_stems_are_those_of_the_pattern(spark):
+    names = ["a.pdf", ".pdf", "..pdf", "a", "", "a.", "a.b.c", "กธ.42.pdf", "a.b\n", "a\n.b", "a.b\nc", "\n.b", "a.b\r\n", None, "a. ", "x_0001 (a) b.pdf", "ก (ข", "_1234"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pattern = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    rows = df.select("name", stem_of("name").alias("got"), pattern.alias("want")).collect()
+    assert [(r.name, r.got) for r in rows] == [(r.name, r.want) for r in rows]
+    assert any(r.got != r.name for r in rows)
