@@ -521,13 +521,13 @@ def file_by_expected_name(policies: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.min_by("file", "place").alias("file"))
 
 
-def scan_groups(files: DataFrame, keep: int = 1) -> DataFrame:
-    """Scanned files reduced to the first ``keep`` names per set of facts: no choice below looks at more.
+def scan_groups(files: DataFrame, facts: list[str], keep: int = 1) -> DataFrame:
+    """Scanned files reduced to the first ``keep`` names per set of ``facts``, those that the choice reads: no choice below
+    looks at more.
 
     Ranked per (facts, salt) first, so facts shared by a third of all files are cut in parallel.
     """
-    rows = with_scan_facts(files.select("name").distinct()).drop("plain", "address_key")
-    facts = [c for c in rows.columns if c != "name"]
+    rows = with_scan_facts(files.select("name").distinct()).select(*facts, "name")
     return cut_lineage(_least_names(rows, facts) if keep == 1 else _first_names(rows, facts, keep))
 
 
@@ -552,6 +552,16 @@ def _year_rank() -> Column:
     return F.when(F.col("year") == F.col("target"), 0).when(F.col("year").isNull(), 1).otherwise(2)
 
 
+def _least_listed(*first: str) -> Column:
+    """The best name of a row's ``_files``: by the fields ``first``, then right kind, same year, no year, name."""
+
+    def ranked(f: Column) -> Column:
+        year = F.when(f["year"] == F.col("target"), 0).when(f["year"].isNull(), 1).otherwise(2)
+        return F.struct(*[f[c].alias(c) for c in first], (f["compulsory"] != F.col("_p")).cast("int").alias("miss"), year.alias("off"), f["name"].alias("name"))
+
+    return F.array_min(F.transform("_files", ranked))["name"]
+
+
 def _probed(policies: DataFrame, address: Column) -> tuple[DataFrame, DataFrame]:
     """(policies with their probe, distinct probes): everything the choice depends on."""
     kind, target, plate = _wanted(policies)
@@ -578,7 +588,7 @@ def file_strict_cascade(policies: DataFrame, files: DataFrame) -> DataFrame:
     Policies: id, policy_type, license_plate, address, coverage_start, coverage_end.
     """
     rows, probes = _probed(policies, X.address_compact("address"))
-    groups = scan_groups(files)
+    groups = scan_groups(files, ["plate", "strict_key", "year", "compulsory", "special"])
     told = ["year", "compulsory", "special"]
     facts = [*told, "name"]
     plates = _least_names(groups.filter("plate is not null"), ["plate", *told])
@@ -615,37 +625,43 @@ def file_strict_cascade(policies: DataFrame, files: DataFrame) -> DataFrame:
 def file_by_prefix_key(policies: DataFrame, files: DataFrame) -> DataFrame:
     """id, file. Tries the whole address, its first 20 and 15 characters, then the name; the first that finds any wins.
 
-    A file key fits when it equals or extends the tried key, or is a start of it of at least 8 characters.
+    A file key fits when it equals or extends the tried key, or is a start of it of at least 8 characters. Which try wins
+    depends on the texts alone, so distinct texts are answered with a list, the first name per year and kind; a policy
+    meets one list and chooses inside its row.
     Policies: id, policy_type, address, person, coverage_start, coverage_end.
     """
-    full, person = X.address_compact("address"), X.address_compact("person")
+    kind, target, _ = _wanted(policies)
+    rows = policies.select("id", (kind == "P").alias("_p"), target.alias("target"), X.address_compact("address").alias("_full"), X.address_compact("person").alias("_person"))
+    full, person = F.col("_full"), F.col("_person")
     tries = F.array(
         F.struct(F.lit(0).alias("tier"), full.alias("tried")),
         F.struct(F.lit(1).alias("tier"), F.when(F.length(full) > 20, F.substring(full, 1, 20)).alias("tried")),
         F.struct(F.lit(2).alias("tier"), F.when(F.length(full) > 15, F.substring(full, 1, 15)).alias("tried")),
         F.struct(F.lit(3).alias("tier"), person.alias("tried")),
     )
-    kind, target, _ = _wanted(policies)
-    wanted = F.struct((kind == "P").alias("compulsory_wanted"), target.alias("target"), F.filter(tries, lambda t: F.length(t["tried"]) > 0).alias("tries"))
-    rows = cut_lineage(policies.select("id", wanted.alias("probe")))
-    probes = rows.select("probe", "probe.*").distinct()
-    tried = probes.select("probe", "target", "compulsory_wanted", F.explode("tries").alias("t")).select("probe", "target", "compulsory_wanted", "t.*")
+    rows = cut_lineage(rows)
+    texts = rows.select("_full", "_person").distinct()
+    tried = cut_lineage(texts.select("_full", "_person", F.inline(F.filter(tries, lambda t: F.length(t["tried"]) > 0))))
     words = tried.select("tried").distinct()
-    groups = _least_names(scan_groups(files).filter("prefix_key is not null"), ["prefix_key", "year", "compulsory"])
+    groups = scan_groups(files, ["prefix_key", "year", "compulsory"]).filter("prefix_key is not null")
     keys = groups.select("prefix_key").distinct()
     words, keys = cut_lineage(words), cut_lineage(keys)
     extends = prefix_pairs(words.select(F.col("tried").alias("short")), keys.select(F.col("prefix_key").alias("long")))
     starts = prefix_pairs(keys.filter(F.length("prefix_key") >= 8).select(F.col("prefix_key").alias("short")), words.select(F.col("tried").alias("long")))
-    pairs = extends.select(F.col("short").alias("tried"), F.col("long").alias("prefix_key")).unionByName(starts.select(F.col("long").alias("tried"), F.col("short").alias("prefix_key"))).distinct()
-    hits = tried.join(pairs, "tried").join(groups, "prefix_key")
-    order = F.struct("tier", (F.col("compulsory") != F.col("compulsory_wanted")).cast("int"), _year_rank(), "name")
-    return _answer(rows, hits, order)
+    starts = starts.filter("short <> long")  # equal texts come from the other direction
+    pairs = extends.select(F.col("short").alias("tried"), F.col("long").alias("prefix_key")).unionByName(starts.select(F.col("long").alias("tried"), F.col("short").alias("prefix_key")))
+    found = _least_names(pairs.join(groups, "prefix_key"), ["tried", "year", "compulsory"])
+    lists = found.groupBy("tried").agg(F.collect_list(F.struct("year", "compulsory", "name")).alias("_files"))
+    best = tried.join(lists, "tried").groupBy("_full", "_person").agg(F.min_by("_files", "tier").alias("_files"))
+    asks = (full != "") | (person != "")
+    answered = rows.filter(asks).join(best, ["_full", "_person"], "left").select("id", _least_listed().alias("file"))
+    return answered.unionByName(rows.filter(~asks).select("id", F.lit(None).cast("string").alias("file")))
 
 
 def file_by_first_token(policies: DataFrame, files: DataFrame) -> DataFrame:
     """id, file. Any policy with a plate by plate; then fire types by the first word of the address."""
     rows, probes = _probed(policies, F.split_part(F.substring(F.trim("address"), 1, 40), F.lit(" "), F.lit(1)))
-    groups = scan_groups(files)
+    groups = scan_groups(files, ["plate", "first_token", "year", "compulsory"])
     told = ["year", "compulsory"]
     facts = [*told, "name"]
     plates = _least_names(groups.filter("plate is not null"), ["plate", *told])
