@@ -585,41 +585,48 @@ def file_strict_cascade(policies: DataFrame, files: DataFrame) -> DataFrame:
 
     Address tiers: equal (a file key also answers to its first 12 characters), then the first 15 or 12 characters,
     then the first file key sharing the first 10. Within a tier: not special, right kind, same year, no year, name.
+    Which tier wins depends on the address alone, so a distinct plate or address has one list, the first name per year and
+    kind; a policy meets one list and chooses inside its row.
     Policies: id, policy_type, license_plate, address, coverage_start, coverage_end.
     """
-    rows, probes = _probed(policies, X.address_compact("address"))
-    groups = scan_groups(files, ["plate", "strict_key", "year", "compulsory", "special"])
+    kind, target, plate = _wanted(policies)
+    by_address = kind.isin("FIRE", "ASSET", "IAR", "BURGLAR", "PA", "TA")
+    asked = F.when(kind.isin("M", "P"), plate).when(by_address, X.address_compact("address"))
+    rows = policies.select("id", (kind == "P").alias("_p"), target.alias("target"), by_address.alias("_by_address"), F.nullif(asked, F.lit("")).alias("_asked"))
+    rows = cut_lineage(rows)
+    asking = rows.filter("_asked is not null")
+    texts = cut_lineage(asking.select("_by_address", F.col("_asked").alias("text")).distinct())
     told = ["year", "compulsory", "special"]
-    facts = [*told, "name"]
-    plates = _least_names(groups.filter("plate is not null"), ["plate", *told])
-    pairs = contained_pairs(
-        plates.select(F.col("plate").alias("key")).distinct(),
-        probes.filter("kind in ('M', 'P') and plate <> ''").select(F.col("plate").alias("text")).distinct(),
-    )
-    by_plate = (
-        probes.filter("kind in ('M', 'P')")
-        .join(pairs.withColumnRenamed("text", "plate").withColumnRenamed("key", "_fp"), "plate")
-        .join(plates.withColumnRenamed("plate", "_fp"), "_fp")
-        .withColumn("tier", F.lit(0))
-    )
+    groups = scan_groups(files, ["plate", "strict_key", *told])
+    listed = F.collect_list(F.struct(*told, "name")).alias("_files")
+
+    plates = _least_names(groups.filter("plate is not null"), ["plate", *told]).groupBy("plate").agg(listed)
+    pairs = contained_pairs(groups.select(F.col("plate").alias("key")).filter("key is not null").distinct(), texts.filter("not _by_address").select("text"))
+    held = pairs.withColumnRenamed("key", "plate").join(plates, "plate").select("text", F.inline("_files"))
+    of_plate = _least_names(held, ["text", *told]).groupBy("text").agg(listed)
+
     addressed = groups.filter("plate is null and strict_key is not null")
-    keyed = addressed.select(F.explode(F.array_distinct(F.array("strict_key", F.substring("strict_key", 1, 12)))).alias("akey"), *facts)
-    keyed = _least_names(keyed, ["akey", *told])
-    wanting = probes.filter("kind in ('FIRE', 'ASSET', 'IAR', 'BURGLAR', 'PA', 'TA') and address <> ''")
-    size = F.length("address")
-    starts = F.when(size >= 15, F.array(F.struct(F.lit(2).alias("tier"), F.substring("address", 1, 15).alias("akey")), F.struct(F.lit(2).alias("tier"), F.substring("address", 1, 12).alias("akey"))))
-    tiers = F.concat(F.array(F.struct(F.lit(1).alias("tier"), F.col("address").alias("akey"))), F.coalesce(starts, F.array()))
-    exact = wanting.select("probe", "target", "kind", F.explode(tiers).alias("t")).select("probe", "target", "kind", "t.*").join(keyed, "akey")
+    keyed = addressed.select(F.explode(F.array_distinct(F.array("strict_key", F.substring("strict_key", 1, 12)))).alias("akey"), *told, "name")
+    keyed = cut_lineage(_least_names(keyed, ["akey", *told]).groupBy("akey").agg(listed))
+    addresses = texts.filter("_by_address").select("text")
+    text = F.col("text")
+    tries = [F.struct(F.lit(1).alias("tier"), text.alias("akey"))]
+    tries += [F.struct(F.lit(2).alias("tier"), F.when(F.length(text) >= 15, F.substring(text, 1, n)).alias("akey")) for n in (15, 12)]
+    exact = addresses.select("text", F.inline(F.array(*tries))).filter("akey is not null")
     # Third tier: the first key (in name order) of at least 10 characters that starts as the address does.
-    first_key = keyed.filter(F.length("akey") >= 10).groupBy("akey").agg(F.min("name").alias("_first"))
-    by_start = first_key.select(F.explode(prefixes(F.col("akey"), 1, 10)).alias("_start"), "akey", "_first").groupBy("_start").agg(
-        F.min_by("akey", F.struct("_first", "akey")).alias("akey")
-    )
-    third = wanting.withColumn("_start", F.substring("address", 1, 10)).join(by_start, "_start").join(keyed, "akey").withColumn("tier", F.lit(3))
-    shape = ["probe", "target", "kind", "tier", *facts]
-    hits = by_plate.select(*shape).unionByName(exact.select(*shape)).unionByName(third.select(*shape))
-    order = F.struct("tier", F.col("special").cast("int"), (F.col("compulsory") != (F.col("kind") == "P")).cast("int"), _year_rank(), "name")
-    return _answer(rows, hits, order)
+    start = F.substring(text, 1, 10)
+    sizes = sorted(r.n for r in addresses.select(F.length(start).alias("n")).distinct().collect())  # at most ten numbers
+    starts = F.array(*[F.substring("akey", 1, n) for n in sizes]).cast("array<string>")
+    first_key = keyed.filter(F.length("akey") >= 10).select("akey", F.array_min(F.transform("_files", lambda f: f["name"])).alias("_first"))
+    by_start = first_key.select(F.explode(starts).alias("_start"), "akey", "_first").groupBy("_start").agg(F.min_by("akey", F.struct("_first", "akey")).alias("akey"))
+    third = addresses.withColumn("_start", start).join(by_start, "_start").select("text", F.lit(3).alias("tier"), "akey")
+    hits = exact.unionByName(third).join(keyed, "akey").groupBy("text").agg(F.collect_list(F.struct("tier", "_files")).alias("_hits"))  # four at most
+    first = F.array_min(F.transform("_hits", lambda h: h["tier"]))
+    of_address = hits.select("text", F.flatten(F.transform(F.filter("_hits", lambda h: h["tier"] == first), lambda h: h["_files"])).alias("_files"))
+
+    lists = of_plate.select(F.lit(False).alias("_by_address"), F.col("text").alias("_asked"), "_files").unionByName(of_address.select(F.lit(True).alias("_by_address"), F.col("text").alias("_asked"), "_files"))
+    answered = asking.join(lists, ["_by_address", "_asked"], "left").select("id", _least_listed("special").alias("file"))
+    return answered.unionByName(rows.filter("_asked is null").select("id", F.lit(None).cast("string").alias("file")))
 
 
 def file_by_prefix_key(policies: DataFrame, files: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def data(spark):
     return policies, spark.createDataFrame([(n,) for n in [*names, *names]], "name string")
 
 
-@pytest.mark.parametrize("operator", [L.file_by_prefix_key])
+@pytest.mark.parametrize("operator", [L.file_by_prefix_key, L.file_strict_cascade])
 def test_one_text_with_many_policies_and_files(spark, operator):
     policies, files = data(spark)
     out = operator(policies, files)
