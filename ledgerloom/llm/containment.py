@@ -155,6 +155,6 @@ def contained_items(
 
             return batch
 
-        part = arrow_map(rows, make, schema)
+        part = arrow_map(rows, make, schema, by_row=True)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)

@@ -319,7 +319,7 @@ def near_sketches(docs: DataFrame) -> DataFrame:
 
         return batch
 
-    return arrow_map(docs.select("id", "text"), make, "id long, prints array<long>, sig binary")
+    return arrow_map(docs.select("id", "text"), make, "id long, prints array<long>, sig binary", by_row=True)
 
 
 def alike(a: list[bytes], b: list[bytes] | None = None) -> list[tuple[int, int]]:
@@ -380,7 +380,7 @@ def near_runs(docs: DataFrame) -> DataFrame:
 
         return batch
 
-    return arrow_map(docs.select("id", "comp", "text"), make, "id long, comp long, runs binary")
+    return arrow_map(docs.select("id", "comp", "text"), make, "id long, comp long, runs binary", by_row=True)
 
 
 def verified_links(runs: DataFrame, block: int = BLOCK_RUNS) -> DataFrame:

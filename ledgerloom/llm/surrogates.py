@@ -258,7 +258,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 
         return batch
 
-    return arrow_map(docs.select("id", "text"), make, "id long, start int, end int, kind string, canonical string")
+    return arrow_map(docs.select("id", "text"), make, "id long, start int, end int, kind string, canonical string", by_row=True)
 
 
 def assign(entities: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
@@ -325,7 +325,7 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
         return batch
 
-    told = arrow_map(suspects, detect, suspects.select("*", none).schema).unionByName(docs.filter(~may).select("*", none))
+    told = arrow_map(suspects, detect, suspects.select("*", none).schema, by_row=True).unionByName(docs.filter(~may).select("*", none))
     told = materialize(told.withColumn(row_col, F.monotonically_increasing_id()), "told")
     clean = told.filter(F.col(spans_col).isNull()).select(*columns, *([F.lit(0).alias(count_col)] if count_col else []))
     held = told.filter(F.col(spans_col).isNotNull())
@@ -351,4 +351,4 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         return batch
 
     joined = held.drop(spans_col).join(spans, row_col).drop(row_col)
-    return clean.unionByName(arrow_map(joined, replace, clean.schema))
+    return clean.unionByName(arrow_map(joined, replace, clean.schema, by_row=True))

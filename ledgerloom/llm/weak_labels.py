@@ -276,7 +276,7 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
 
         return batch
 
-    rows = arrow_map(sample, make, "y int, votes array<int>, features array<double>").collect()
+    rows = arrow_map(sample, make, "y int, votes array<int>, features array<double>", by_row=True).collect()
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(terms, np.zeros(0), np.zeros(0), np.zeros(0), None, float(y.mean()) if len(y) else 0.0)
@@ -304,4 +304,4 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text
 
         return batch
 
-    return arrow_map(docs, make, docs.withColumn(score_col, F.lit(0.0)).schema)
+    return arrow_map(docs, make, docs.withColumn(score_col, F.lit(0.0)).schema, by_row=True)
