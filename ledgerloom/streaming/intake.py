@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -106,30 +107,38 @@ def process_pointers(arrivals: DataFrame, target: str, checkpoint: str) -> Strea
 
 
 COMPLETE_BATCH = "batch_id string, files int"
+HELD = 256
 
 
 def _barrier() -> StatefulProcessor:
     """Made here so that the class travels to the workers by value."""
 
     class Barrier(StatefulProcessor):
-        """Holds the files of a batch until the expected number is there, then releases the batch once."""
+        """Holds the files of a batch until the expected number is there, then releases the batch once. Files are held by the
+        hash of their id, some ``HELD`` to an entry as first expected: a call to the state store costs more than its bytes."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.files = handle.getMapState("files", "file_id string", "seen boolean")
-            self.count = handle.getValueState("count", "n int")
-            self.released = handle.getValueState("released", "done boolean")
+            self.files = handle.getMapState("files", "slot int", "file_ids array<string>")
+            self.batch = handle.getValueState("batch", "n int, slots int, released boolean")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            expected, count = 0, self.count.get()[0] if self.count.exists() else 0
+            expected, (count, slots, released) = 0, self.batch.get() or (0, 0, False)
             for part in rows:
                 expected = max(expected, int(part["expected"].max()))
+                slots = slots or max(1, expected // HELD)
+                arrived: dict[int, set] = {}
                 for file_id in part["file_id"]:
-                    if not self.files.containsKey((file_id,)):
-                        self.files.updateValue((file_id,), (True,))
-                        count += 1
-            self.count.update((count,))
-            if count >= expected and not self.released.exists():
-                self.released.update((True,))
+                    arrived.setdefault(zlib.crc32((file_id or "").encode()) % slots, set()).add(file_id)
+                for slot, ids in arrived.items():
+                    entry = self.files.getValue((slot,))
+                    held = list(entry[0]) if entry else []
+                    new = ids.difference(held)
+                    if new:
+                        self.files.updateValue((slot,), (held + list(new),))
+                        count += len(new)
+            done = count >= expected and not released
+            self.batch.update((count, slots, released or done))
+            if done:
                 yield pd.DataFrame({"batch_id": [key[0]], "files": [count]})
 
         def close(self) -> None:
@@ -141,7 +150,7 @@ def _barrier() -> StatefulProcessor:
 def complete_batches(arrivals: DataFrame) -> DataFrame:
     """Batches all of whose files have arrived (columns batch_id, file_id, expected). Needs the RocksDB state store.
 
-    State is one entry per file and a count per batch; neither is read as a whole. Files follow by a join on batch_id.
+    State is an entry per some files and a count per batch; of the entries only those are read that arriving files belong to. Files follow by a join on batch_id.
     """
     return arrivals.select("batch_id", "file_id", "expected").groupBy("batch_id").transformWithStateInPandas(
         statefulProcessor=_barrier(), outputStructType=COMPLETE_BATCH, outputMode="Append", timeMode="None"
