@@ -61,10 +61,12 @@ MODELS = {
     "MG": ["ZS EV", "ZS", "HS", "EP", "VS", "MG3", "MG5"],
     "SUZUKI": ["SWIFT", "CIAZ", "VITARA", "ERTIGA", "JIMNY", "CARRY"],
 }
+#: Behind four digits: they are not a plate's, which stand behind one or two consonants that are a word of their own.
+NOT_A_PLATE = r"(?<!(?<![\p{L}\p{M}\p{N}_])\d?[ก-ฮ]{1,2}[\s\-]{0,5}\d{4})"
 YEARS = [
     r"[A-Z0-9]{10,17}\s++(\d{4})\s++(?:sedan|wagon|suv|pickup|hatchback|van|saloon|truck)",
     r"(?:model\s*yr|ปีที่ผลิต|ปีรถ|year\s*of)[:\s]*(\d{4})",
-    rf"{START}(199\d|20[0-2]\d){END}",
+    rf"{START}(199\d|20[0-2]\d){END}{NOT_A_PLATE}",
 ]
 _SUM = r"([\d',o ]+(?:\.\d{1,2})?)"
 SUMS = {
@@ -138,7 +140,7 @@ def older_model(upper: Column, make: Column) -> Column:
 
 
 def older_year(text: Column) -> Column:
-    """1990 to 2030; 2500 to 2580 is Buddhist."""
+    """1990 to 2030; 2500 to 2580 is Buddhist. Without a label the first such number counts that isn't a plate's."""
     found = F.transform(F.array(*[_first(text, p) for p in YEARS]), lambda v: X.western_digits(v).try_cast("int"))
     western = F.transform(found, lambda y: F.when(y.between(2500, 2580), y - 543).otherwise(y))
     return F.get(F.filter(western, lambda y: F.coalesce(y.between(1990, 2030), F.lit(False))), F.lit(0))
